@@ -1,50 +1,59 @@
-"""UTC calendar columns."""
+"""UTC calendar expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from datetime import date, datetime
+
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
-def utc_wall_clock(df: DataFrame, name: str) -> Column:
+def day(value: date) -> str:
+    return f"DATE'{value.isoformat()}'"
+
+
+def utc_time(value: datetime) -> str:
+    return f"TIMESTAMP_NTZ'{value.isoformat(sep=' ')}'"
+
+
+def utc_wall_clock(df: DataFrame, name: str) -> str:
     """The column as a zone-less UTC timestamp, whatever the session time zone is.
 
     Zone-less input is taken to be UTC already.
     """
     dtype = df.schema[name].dataType
     if isinstance(dtype, T.TimestampNTZType):
-        return F.col(name)
+        return name
     if isinstance(dtype, T.TimestampType):
-        return F.convert_timezone(None, F.lit("UTC"), F.col(name).cast("timestamp_ntz"))
+        return f"convert_timezone('UTC', CAST({name} AS TIMESTAMP_NTZ))"
     raise TypeError(f"{name} must be a timestamp, not {dtype.simpleString()}")
 
 
-def day_literal(df: DataFrame, name: str, day) -> Column:
-    """Midnight UTC of ``day`` in the type of the raw column, so the comparison is pushed to the scan."""
+def midnight(df: DataFrame, name: str, value: date) -> str:
+    """Midnight UTC in the type of the raw column, so the comparison is pushed to the scan."""
     if isinstance(df.schema[name].dataType, T.TimestampNTZType):
-        return F.to_timestamp_ntz(F.lit(f"{day.isoformat()} 00:00:00"))
-    return F.to_timestamp(F.lit(f"{day.isoformat()}T00:00:00Z"))
+        return f"TIMESTAMP_NTZ'{value.isoformat()} 00:00:00'"
+    return f"TIMESTAMP_LTZ'{value.isoformat()} 00:00:00+00:00'"
 
 
-def iso_weekday(day: Column) -> Column:
+def iso_weekday(x: str) -> str:
     """Monday = 1 … Sunday = 7."""
-    return F.weekday(day) + F.lit(1)
+    return f"weekday({x}) + 1"
 
 
-def weekday_name(day: Column) -> Column:
+def weekday_name(x: str) -> str:
     """Mon … Sun."""
-    return F.dayname(day)
+    return f"dayname({x})"
 
 
-def time_dimensions(start: Column) -> dict[str, Column]:
+def time_dimensions(start: str) -> dict[str, str]:
     """The calendar columns that staging adds for a UTC start time."""
-    day = F.to_date(start)
+    today = f"to_date({start})"
     return {
-        "activity_date": day,
-        "day_num": iso_weekday(day),
-        "day_of_week": weekday_name(day),
-        "year_iso": F.extract(F.lit("YEAROFWEEK"), day),
-        "week_iso": F.weekofyear(day),
-        "week_start_date": F.date_sub(day, F.weekday(day)).cast("timestamp_ntz"),
+        "activity_date": today,
+        "day_num": iso_weekday(today),
+        "day_of_week": weekday_name(today),
+        "year_iso": f"extract(YEAROFWEEK FROM {today})",
+        "week_iso": f"weekofyear({today})",
+        "week_start_date": f"CAST(date_sub({today}, weekday({today})) AS TIMESTAMP_NTZ)",
     }

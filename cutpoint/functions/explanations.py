@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from cutpoint.functions import labels as L
 from cutpoint.functions import welch as W
+from cutpoint.functions.numeric import text
 
 
-def explain(label: Column, texts: dict[str, str | Column], default: str | None = None) -> Column:
-    """Look a label's text up."""
-    chosen = None
-    for key, text in texts.items():
-        value = F.lit(text) if isinstance(text, str) else text
-        chosen = F.when(label == key, value) if chosen is None else chosen.when(label == key, value)
-    return chosen.otherwise(F.lit(default))
-
-
-def number(x: Column, places: int) -> Column:
-    """A number as text with a fixed count of decimals, whatever its type."""
-    return F.round(x.try_cast("decimal(38,10)"), places).cast("string")
+def explain(label: str, texts: dict[str, str]) -> str:
+    """Look a label's text up. A text that starts with ``concat(`` is an expression."""
+    arms = " ".join(
+        f"WHEN {text(key)} THEN {value if value.startswith('concat(') else text(value)}"
+        for key, value in texts.items()
+    )
+    return f"CASE {label} {arms} END"
 
 
 SUFFICIENCY = {

@@ -2,140 +2,132 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from cutpoint.config import GEN1, GEN2, Thresholds
 from cutpoint.functions import labels as L
-from cutpoint.functions.numeric import first_match, ratio
+from cutpoint.functions.numeric import labelled, ratio
 from cutpoint.functions.welch import INSUFFICIENT_DF, MIN_DF, critical_value
 
 
-def _labels(arms: list[tuple[Column, str]], default: str) -> Column:
-    return first_match([(condition, F.lit(label)) for condition, label in arms], F.lit(default))
-
-
-def data_sufficiency(period: Column, days: Column) -> Column:
-    before, after = period == GEN1, period == GEN2
-    return _labels(
+def data_sufficiency(period: str, days: str) -> str:
+    after, before = f"{period} = '{GEN2}'", f"{period} = '{GEN1}'"
+    return labelled(
         [
-            (after & (days < 7), L.GEN2_CRITICAL),
-            (after & (days < 14), L.GEN2_WARNING),
-            (after & (days >= 14), L.GEN2_OK),
-            (before & (days < 14), L.GEN1_CRITICAL),
-            (before & (days < 30), L.GEN1_WARNING),
-            (before & (days >= 30), L.GEN1_OK),
+            (f"{after} AND {days} < 7", L.GEN2_CRITICAL),
+            (f"{after} AND {days} < 14", L.GEN2_WARNING),
+            (f"{after} AND {days} >= 14", L.GEN2_OK),
+            (f"{before} AND {days} < 14", L.GEN1_CRITICAL),
+            (f"{before} AND {days} < 30", L.GEN1_WARNING),
+            (f"{before} AND {days} >= 30", L.GEN1_OK),
         ],
         L.OK,
     )
 
 
-def tail_latency(before: Column, after: Column) -> Column:
+def tail_latency(before: str, after: str) -> str:
     """On the mean daily P99 of each period."""
-    return _labels(
+    return labelled(
         [
-            (after > before * 2, L.TAIL_WARNING),
-            (after > before * 1.5, L.TAIL_CAUTION),
-            (after <= before * 0.8, L.TAIL_IMPROVED),
+            (f"{after} > {before} * 2", L.TAIL_WARNING),
+            (f"{after} > {before} * 1.5D", L.TAIL_CAUTION),
+            (f"{after} <= {before} * 0.8D", L.TAIL_IMPROVED),
         ],
         L.OK,
     )
 
 
-def queue_saturation(before: Column, after: Column) -> Column:
+def queue_saturation(before: str, after: str) -> str:
     """On the mean daily P95 queue seconds. A base under one second counts as one second."""
-    base = F.when(before.isNotNull(), F.greatest(before, F.lit(1.0)))
-    return _labels(
+    base = f"(CASE WHEN {before} IS NOT NULL THEN greatest({before}, 1D) END)"
+    return labelled(
         [
-            ((before < 0.1) & (after < 0.1), L.QUEUE_NEGLIGIBLE),
-            (after > base * 2, L.QUEUE_WARNING),
-            (after > base * 1.5, L.QUEUE_CAUTION),
-            ((before > 1) & (after <= before * 0.8), L.QUEUE_IMPROVED),
+            (f"{before} < 0.1D AND {after} < 0.1D", L.QUEUE_NEGLIGIBLE),
+            (f"{after} > {base} * 2", L.QUEUE_WARNING),
+            (f"{after} > {base} * 1.5D", L.QUEUE_CAUTION),
+            (f"{before} > 1 AND {after} <= {before} * 0.8D", L.QUEUE_IMPROVED),
         ],
         L.OK,
     )
 
 
-def breakeven(cost_change: Column) -> Column:
+def breakeven(cost_change: str) -> str:
     """An unknown change takes the last label."""
-    return _labels(
+    return labelled(
         [
-            (cost_change <= 0, L.COST_LOWER),
-            (cost_change <= 5, L.COST_NEUTRAL),
-            (cost_change <= 15, L.COST_HIGHER),
+            (f"{cost_change} <= 0", L.COST_LOWER),
+            (f"{cost_change} <= 5", L.COST_NEUTRAL),
+            (f"{cost_change} <= 15", L.COST_HIGHER),
         ],
         L.COST_MUCH_HIGHER,
     )
 
 
-def cost_consistency(all_gap: Column, pattern_gap: Column) -> Column:
+def cost_consistency(all_gap: str, pattern_gap: str) -> str:
     """On the gaps between average and weighted cost change, in percentage points."""
-    return _labels(
+    return labelled(
         [
-            ((all_gap > 10) | (pattern_gap > 10), L.DIVERGENCE_WARNING),
-            ((all_gap > 5) | (pattern_gap > 5), L.DIVERGENCE_NOTICE),
+            (f"{all_gap} > 10 OR {pattern_gap} > 10", L.DIVERGENCE_WARNING),
+            (f"{all_gap} > 5 OR {pattern_gap} > 5", L.DIVERGENCE_NOTICE),
         ],
         L.DIVERGENCE_OK,
     )
 
 
-def reliability(t: Column, df: Column, before: Column, after: Column, limits: Thresholds) -> Column:
+def reliability(t: str, df: str, before: str, after: str, limits: Thresholds) -> str:
     """On the Welch test of the daily rates; the effect size is that of the overall rates."""
-    drop = F.abs(after - before)
-    failure_change = F.abs(ratio(before - after, F.lit(100.0) - before)) * 100
-    large = (drop >= limits.reliability_drop_pp) | (
-        failure_change > limits.reliability_failure_increase_pct
+    failure_change = f"abs({ratio(f'({before} - {after})', f'(100D - {before})')}) * 100"
+    large = (
+        f"(abs({after} - {before}) >= {limits.reliability_drop_pp}D"
+        f" OR {failure_change} > {limits.reliability_failure_increase_pct}D)"
     )
-    below_95 = t < -critical_value(df, 95)
-    return _labels(
+    below_95 = f"{t} < -{critical_value(df, 95)}"
+    return labelled(
         [
-            (df < MIN_DF, INSUFFICIENT_DF),
-            (below_95 & large, L.DEGRADED),
+            (f"{df} < {MIN_DF}", INSUFFICIENT_DF),
+            (f"{below_95} AND {large}", L.DEGRADED),
             (below_95, L.MINOR_05),
-            (t < -critical_value(df, 90), L.MINOR_10),
+            (f"{t} < -{critical_value(df, 90)}", L.MINOR_10),
         ],
         L.NO_DEGRADATION,
     )
 
 
-def error_trend(is_new: Column, before: Column, after: Column) -> Column:
+def error_trend(is_new: str, before: str, after: str) -> str:
     """On the errors per query of each period."""
-    return _labels(
+    return labelled(
         [
             (is_new, L.NEW_ERROR),
-            (after > before * 2.0, L.RATE_DOUBLED),
-            (after > before * 1.5, L.RATE_UP_50),
-            (after > before * 1.2, L.RATE_UP_20),
-            (after > before * 1.15, L.RATE_UP_15),
-            (after > before * 1.10, L.RATE_UP_10),
-            (after > before * 1.05, L.RATE_UP_5),
-            (after < before * 0.95, L.RATE_DOWN_5),
+            (f"{after} > {before} * 2.0D", L.RATE_DOUBLED),
+            (f"{after} > {before} * 1.5D", L.RATE_UP_50),
+            (f"{after} > {before} * 1.2D", L.RATE_UP_20),
+            (f"{after} > {before} * 1.15D", L.RATE_UP_15),
+            (f"{after} > {before} * 1.10D", L.RATE_UP_10),
+            (f"{after} > {before} * 1.05D", L.RATE_UP_5),
+            (f"{after} < {before} * 0.95D", L.RATE_DOWN_5),
         ],
         L.RATE_STABLE,
     )
 
 
-def pattern_status(before: Column, after: Column) -> Column:
+def pattern_status(before: str, after: str) -> str:
     """On the rounded median seconds of each period."""
-    return _labels(
-        [(after > before * 1.20, L.REGRESSION), (after < before * 0.80, L.IMPROVEMENT)], L.STABLE
+    return labelled(
+        [(f"{after} > {before} * 1.20D", L.REGRESSION), (f"{after} < {before} * 0.80D", L.IMPROVEMENT)],
+        L.STABLE,
     )
 
 
-def data_quality(days: Column) -> Column:
-    return _labels(
+def data_quality(days: str) -> str:
+    return labelled(
         [
-            (days < 7, L.QUALITY_CRITICAL),
-            (days < 14, L.QUALITY_PRELIMINARY),
-            (days < 21, L.QUALITY_ADEQUATE),
+            (f"{days} < 7", L.QUALITY_CRITICAL),
+            (f"{days} < 14", L.QUALITY_PRELIMINARY),
+            (f"{days} < 21", L.QUALITY_ADEQUATE),
         ],
         L.QUALITY_STRONG,
     )
 
 
-def pattern_coverage(before: Column, after: Column) -> Column:
+def pattern_coverage(before: str, after: str) -> str:
     """On the lower of the two coverages; an unknown one counts as none."""
-    lower = F.least(F.coalesce(before, F.lit(0.0)), F.coalesce(after, F.lit(0.0)))
-    return _labels(
-        [(lower >= 90, L.COVERAGE_HIGH), (lower >= 70, L.COVERAGE_MODERATE)], L.COVERAGE_LOW
-    )
+    lower = f"least(coalesce({before}, 0D), coalesce({after}, 0D))"
+    return labelled([(f"{lower} >= 90", L.COVERAGE_HIGH), (f"{lower} >= 70", L.COVERAGE_MODERATE)], L.COVERAGE_LOW)

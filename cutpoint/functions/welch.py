@@ -1,13 +1,10 @@
-"""Welch's two-sample test and the confidence intervals built on it, as column expressions."""
+"""Welch's two-sample test and the confidence intervals built on it, as SQL expressions."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from cutpoint.functions.numeric import first_match, ratio
+from cutpoint.functions.numeric import first_match, labelled, number, ratio
 
 # Two-sided critical values of Student's t by degrees of freedom (upper bound of the
 # range, value), and the value beyond the last range. Below MIN_DF no value is given.
@@ -26,87 +23,87 @@ NOT_SIGNIFICANT = "NOT SIGNIFICANT"
 
 @dataclass(frozen=True)
 class Sample:
-    """Count, mean and sample variance of one period's daily values."""
+    """Expressions for count, mean and sample variance of one period's daily values."""
 
-    n: Column
-    mean: Column
-    var: Column
+    n: str
+    mean: str
+    var: str
 
     @property
-    def mean_variance(self) -> Column:
-        return self.var / F.nullif(self.n, F.lit(0))
+    def mean_variance(self) -> str:
+        return f"({self.var} / nullif({self.n}, 0))"
 
 
-def standard_error(before: Sample, after: Sample) -> Column:
-    return F.sqrt(before.mean_variance + after.mean_variance)
+def standard_error(before: Sample, after: Sample) -> str:
+    return f"sqrt({before.mean_variance} + {after.mean_variance})"
 
 
-def t_statistic(before: Sample, after: Sample) -> Column:
-    return ratio(after.mean - before.mean, standard_error(before, after))
+def t_statistic(before: Sample, after: Sample) -> str:
+    return ratio(f"({after.mean} - {before.mean})", standard_error(before, after))
 
 
-def degrees_of_freedom(before: Sample, after: Sample) -> Column:
+def degrees_of_freedom(before: Sample, after: Sample) -> str:
     """Welch–Satterthwaite. NULL when both variances are zero or a period has one value."""
 
-    def share(s: Sample) -> Column:
-        return s.mean_variance * s.mean_variance / F.nullif(s.n - 1, F.lit(0))
+    def share(s: Sample) -> str:
+        return f"{s.mean_variance} * {s.mean_variance} / nullif({s.n} - 1, 0)"
 
-    pooled = before.mean_variance + after.mean_variance
-    return ratio(pooled * pooled, share(before) + share(after))
+    pooled = f"({before.mean_variance} + {after.mean_variance})"
+    return ratio(f"{pooled} * {pooled}", f"({share(before)} + {share(after)})")
 
 
-def critical_value(df: Column, level: int) -> Column:
+def critical_value(df: str, level: int) -> str:
     """Critical value for 90 or 95. NULL df matches no range and takes the value beyond them."""
     table, beyond = {90: (T_90, T_90_BEYOND), 95: (T_95, T_95_BEYOND)}[level]
-    arms = [(df < MIN_DF, F.lit(None).cast("double"))]
-    arms += [(df < bound, F.lit(value)) for bound, value in table]
-    return first_match(arms, F.lit(beyond))
+    arms = [(f"{df} < {MIN_DF}", "CAST(NULL AS DOUBLE)")]
+    arms += [(f"{df} < {bound}", number(value)) for bound, value in table]
+    return f"({first_match(arms, number(beyond))})"
 
 
-def significance(t: Column, df: Column) -> Column:
+def significance(t: str, df: str) -> str:
     """Two-sided label."""
-    return first_match(
+    return labelled(
         [
-            (df < MIN_DF, F.lit(INSUFFICIENT_DF)),
-            (F.abs(t) > critical_value(df, 95), F.lit(SIGNIFICANT_05)),
-            (F.abs(t) > critical_value(df, 90), F.lit(SIGNIFICANT_10)),
+            (f"{df} < {MIN_DF}", INSUFFICIENT_DF),
+            (f"abs({t}) > {critical_value(df, 95)}", SIGNIFICANT_05),
+            (f"abs({t}) > {critical_value(df, 90)}", SIGNIFICANT_10),
         ],
-        F.lit(NOT_SIGNIFICANT),
+        NOT_SIGNIFICANT,
     )
 
 
-def drop_significance(t: Column, df: Column) -> Column:
+def drop_significance(t: str, df: str) -> str:
     """Label for a fall only (the second period is lower)."""
-    return first_match(
+    return labelled(
         [
-            (df < MIN_DF, F.lit(INSUFFICIENT_DF)),
-            (t < -critical_value(df, 95), F.lit(SIGNIFICANT_05)),
-            (t < -critical_value(df, 90), F.lit(SIGNIFICANT_10)),
+            (f"{df} < {MIN_DF}", INSUFFICIENT_DF),
+            (f"{t} < -{critical_value(df, 95)}", SIGNIFICANT_05),
+            (f"{t} < -{critical_value(df, 90)}", SIGNIFICANT_10),
         ],
-        F.lit(NOT_SIGNIFICANT),
+        NOT_SIGNIFICANT,
     )
 
 
-def linear_interval(effect: Column, t_crit: Column, error: Column, base: Column) -> tuple[Column, Column]:
+def linear_interval(effect: str, t_crit: str, error: str, base: str) -> tuple[str, str]:
     """effect ± t · error / base in percent; the base is treated as known."""
-    half_width = ratio(t_crit * error, base) * F.lit(100.0)
-    return effect - half_width, effect + half_width
+    half_width = f"{ratio(f'{t_crit} * {error}', base)} * 100D"
+    return f"({effect} - {half_width})", f"({effect} + {half_width})"
 
 
-def fieller_interval(before: Sample, after: Sample, t_crit: Column) -> tuple[Column, Column]:
+def fieller_interval(before: Sample, after: Sample, t_crit: str) -> tuple[str, str]:
     """Fieller interval of the ratio of the two means, given as speedup percentages.
 
     The interval is the range of r in which (mean_after − r · mean_before) is within t standard
     errors of zero: a quadratic in r. NULL when it is not a finite range.
     """
-    t2 = t_crit * t_crit
-    a = before.mean * before.mean - t2 * before.mean_variance
-    half_b = before.mean * after.mean
-    c = after.mean * after.mean - t2 * after.mean_variance
-    quarter_disc = half_b * half_b - a * c
-    usable = (a > 0) & (quarter_disc >= 0)
-    root = F.sqrt(F.when(usable, quarter_disc))
-    safe_a = F.when(usable, a)
-    slowest = (half_b + root) / safe_a
-    fastest = (half_b - root) / safe_a
-    return (F.lit(1.0) - slowest) * F.lit(100.0), (F.lit(1.0) - fastest) * F.lit(100.0)
+    t2 = f"{t_crit} * {t_crit}"
+    a = f"({before.mean} * {before.mean} - {t2} * {before.mean_variance})"
+    half_b = f"({before.mean} * {after.mean})"
+    c = f"({after.mean} * {after.mean} - {t2} * {after.mean_variance})"
+    quarter_disc = f"({half_b} * {half_b} - {a} * {c})"
+
+    def bound(sign: str) -> str:
+        root = f"({half_b} {sign} sqrt({quarter_disc})) / {a}"
+        return f"(CASE WHEN {a} > 0 AND {quarter_disc} >= 0 THEN (1D - {root}) * 100D END)"
+
+    return bound("+"), bound("-")

@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from cutpoint.config import Config
-from cutpoint.operators.scope import did_work, from_result_cache, succeeded
+from cutpoint.operators.scope import DID_WORK, FROM_RESULT_CACHE, SUCCEEDED
+from cutpoint.session import group_by
 
 EXEC = "exec"
 QUEUE = "queue"
+FLAGS = ["is_pattern", "is_live", "is_cached", "is_success"]
+
+# Successful run of a matched pattern that did work: the scope of the performance reports.
+IS_COMPARABLE = "(is_pattern AND is_live AND is_success)"
+QUEUE_MS = (
+    "coalesce(queued_overload_time, 0) + coalesce(queued_provisioning_time, 0)"
+    " + coalesce(queued_repair_time, 0)"
+)
 
 
 def workload_cells(marked_rows: DataFrame, cfg: Config, *, with_queue: bool) -> DataFrame:
@@ -20,46 +28,20 @@ def workload_cells(marked_rows: DataFrame, cfg: Config, *, with_queue: bool) ->
     from one scan. The table grows with days × distinct milliseconds, not with runs, and one
     aggregate, combined on the map side, makes it.
     """
-    kinds = marked_rows.select(
-        *cfg.keys,
-        "activity_date",
+    day = [*cfg.keys, "activity_date"]
+    kinds = marked_rows.selectExpr(
+        *day,
         "is_pattern",
-        did_work().alias("is_live"),
-        from_result_cache().alias("is_cached"),
-        succeeded().alias("is_success"),
-        F.when(did_work(), F.col("execution_time")).alias("exec_ms"),
-        *(
-            [
-                (
-                    F.coalesce("queued_overload_time", F.lit(0))
-                    + F.coalesce("queued_provisioning_time", F.lit(0))
-                    + F.coalesce("queued_repair_time", F.lit(0))
-                ).alias("queue_ms")
-            ]
-            if with_queue
-            else []
-        ),
-    )
-    flags = ["is_pattern", "is_live", "is_cached", "is_success"]
-    run = F.struct(
-        F.lit(EXEC).alias("measure"), *flags, F.col("exec_ms").cast("long").alias("ms")
+        f"{DID_WORK} AS is_live",
+        f"{FROM_RESULT_CACHE} AS is_cached",
+        f"{SUCCEEDED} AS is_success",
+        f"CAST(CASE WHEN {DID_WORK} THEN execution_time END AS BIGINT) AS ms",
+        *([f"CAST({QUEUE_MS} AS BIGINT) AS queue_ms"] if with_queue else []),
     )
     if with_queue:
-        wait = F.struct(
-            F.lit(QUEUE).alias("measure"),
-            *[F.lit(False).alias(f) for f in flags],
-            F.col("queue_ms").cast("long").alias("ms"),
-        )
-        kinds = kinds.select(*cfg.keys, "activity_date", F.inline(F.array(run, wait)))
+        run = f"struct('{EXEC}' AS measure, {', '.join(FLAGS)}, ms)"
+        wait = f"struct('{QUEUE}' AS measure, {', '.join(f'false AS {f}' for f in FLAGS)}, queue_ms AS ms)"
+        kinds = kinds.selectExpr(*day, f"inline(array({run}, {wait}))")
     else:
-        kinds = kinds.select(*cfg.keys, "activity_date", run.alias("r")).select(
-            *cfg.keys, "activity_date", "r.*"
-        )
-    return kinds.groupBy(*cfg.keys, "activity_date", "measure", *flags, "ms").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-
-
-def is_comparable():
-    """Successful run of a matched pattern that did work: the scope of the performance reports."""
-    return F.col("is_pattern") & F.col("is_live") & F.col("is_success")
+        kinds = kinds.selectExpr(*day, f"'{EXEC}' AS measure", *FLAGS, "ms")
+    return group_by(kinds, [*day, "measure", *FLAGS, "ms"], ["count(1) AS n"])

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from cutpoint.config import GEN1, GEN2
 from cutpoint.functions.welch import (
@@ -18,46 +17,47 @@ from cutpoint.functions.welch import (
 PERIODS = {"b": GEN1, "g": GEN2}
 
 
-def per_period(name: str, aggregate, value: Column) -> list[Column]:
+def per_period(name: str, aggregate: str, value: str) -> list[str]:
     """``aggregate`` of ``value`` over each period's rows, named b_<name> and g_<name>."""
     return [
-        aggregate(F.when(F.col("period_type") == label, value)).alias(f"{side}_{name}")
+        f"{aggregate}(CASE WHEN period_type = '{label}' THEN {value} END) AS {side}_{name}"
         for side, label in PERIODS.items()
     ]
 
 
-def moments(name: str, value: Column, present: Column | None = None) -> list[Column]:
+def moments(name: str, value: str, present: str | None = None) -> list[str]:
     """Day count, mean and sample variance per period.
 
     ``present`` says which days count; when omitted, those with a value.
     """
-    counted = value if present is None else F.when(present, F.lit(1))
+    counted = value if present is None else f"CASE WHEN {present} THEN 1 END"
     return [
-        *per_period(f"{name}_n", F.count, counted),
-        *per_period(f"{name}_mean", F.avg, value),
-        *per_period(f"{name}_var", F.var_samp, value),
+        *per_period(f"{name}_n", "count", counted),
+        *per_period(f"{name}_mean", "avg", value),
+        *per_period(f"{name}_var", "var_samp", value),
     ]
 
 
 def samples(name: str) -> tuple[Sample, Sample]:
     """The columns made by ``moments``."""
-    return tuple(
-        Sample(F.col(f"{s}_{name}_n"), F.col(f"{s}_{name}_mean"), F.col(f"{s}_{name}_var"))
-        for s in PERIODS
-    )
-
-
-def in_both_periods(count_name: str) -> Column:
-    return (F.col(f"b_{count_name}") > 0) & (F.col(f"g_{count_name}") > 0)
-
-
-def with_welch(df: DataFrame, name: str) -> DataFrame:
-    """Add t, degrees of freedom, 90% critical value and standard error for ``moments`` columns."""
-    before, after = samples(name)
-    return df.withColumns(
-        {
-            f"{name}_t": t_statistic(before, after),
-            f"{name}_df": degrees_of_freedom(before, after),
-            f"{name}_se": standard_error(before, after),
-        }
-    ).withColumn(f"{name}_t90", critical_value(F.col(f"{name}_df"), 90))
+    return tuple(Sample(f"{s}_{name}_n", f"{s}_{name}_mean", f"{s}_{name}_var") for s in PERIODS)
+
+
+def in_both_periods(count_name: str) -> str:
+    return f"(b_{count_name} > 0 AND g_{count_name} > 0)"
+
+
+def add(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add computed columns."""
+    return df.selectExpr("*", *[f"{expression} AS {name}" for name, expression in columns.items()])
+
+
+def with_welch(df: DataFrame, *names: str) -> DataFrame:
+    """Add t, degrees of freedom, standard error and 90% critical value for ``moments`` columns."""
+    tests = {}
+    for name in names:
+        before, after = samples(name)
+        tests[f"{name}_t"] = t_statistic(before, after)
+        tests[f"{name}_df"] = degrees_of_freedom(before, after)
+        tests[f"{name}_se"] = standard_error(before, after)
+    return add(add(df, tests), {f"{name}_t90": critical_value(f"{name}_df", 90) for name in names})

@@ -2,41 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from cutpoint.config import Config
 from cutpoint.functions.dates import iso_weekday, weekday_name
 from cutpoint.functions.numeric import percent, ratio, rounded
-from cutpoint.operators.cells import EXEC, QUEUE, is_comparable
+from cutpoint.operators.cells import EXEC, IS_COMPARABLE, QUEUE
 from cutpoint.operators.quantiles import exact_percentiles
 from cutpoint.operators.scope import in_scope, in_window, period_label
+from cutpoint.session import group_by
 
 
-def seconds(x100: str | Column) -> Column:
+def seconds(x100: str) -> str:
     """Hundredths of a millisecond to seconds."""
-    col = F.col(x100) if isinstance(x100, str) else x100
-    return col / F.lit(100_000.0)
+    return f"({x100} / 100000D)"
 
 
 def daily_counts(cells: DataFrame, cfg: Config) -> DataFrame:
     """Run counts per day, all scopes side by side."""
 
-    def runs(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
-
-    return (
-        cells.filter(F.col("measure") == EXEC)
-        .groupBy(*cfg.keys, "activity_date")
-        .agg(
-            F.sum("n").alias("total_queries"),
-            runs(F.col("is_success")).alias("success_count"),
-            runs(F.col("is_cached")).alias("cached_queries"),
-            runs(F.col("is_live")).alias("live_queries"),
-            runs(F.col("is_pattern")).alias("pattern_queries"),
-            runs(F.col("is_pattern") & F.col("is_live")).alias("pattern_live_queries"),
-            runs(is_comparable()).alias("query_count"),
-        )
+    def runs(condition: str, name: str) -> str:
+        return f"coalesce(sum(CASE WHEN {condition} THEN n END), 0) AS {name}"
+
+    return group_by(
+        cells.where(f"measure = '{EXEC}'"),
+        [*cfg.keys, "activity_date"],
+        [
+            "sum(n) AS total_queries",
+            runs("is_success", "success_count"),
+            runs("is_cached", "cached_queries"),
+            runs("is_live", "live_queries"),
+            runs("is_pattern", "pattern_queries"),
+            runs("is_pattern AND is_live", "pattern_live_queries"),
+            runs(IS_COMPARABLE, "query_count"),
+        ],
     )
 
 
@@ -44,41 +43,38 @@ def daily_percentiles(cells: DataFrame, cfg: Config, *, with_queue: bool) -> Dat
     """Execution and (on request) queue percentiles per day, from the same cells."""
     keys = [*cfg.keys, "activity_date"]
     group = [*keys, "measure"]
-    used = is_comparable() | (F.col("measure") == QUEUE) if with_queue else is_comparable()
-    found = exact_percentiles(
-        cells.filter(used), group, "ms", [50, 95, 99], few_groups=not cfg.keys
-    )
+    used = f"{IS_COMPARABLE} OR measure = '{QUEUE}'" if with_queue else IS_COMPARABLE
+    found = exact_percentiles(cells.where(used), group, "ms", [50, 95, 99], few_groups=not cfg.keys)
     if not with_queue:
         return found.drop("measure")
 
-    def of(measure: str, name: str, alias: str) -> Column:
-        return F.max(F.when(F.col("measure") == measure, F.col(name))).alias(alias)
+    def of(measure: str, name: str, alias: str) -> str:
+        return f"max(CASE WHEN measure = '{measure}' THEN {name} END) AS {alias}"
 
     exec_columns = [c for c in found.columns if c not in group]
-    return found.groupBy(*keys).agg(
-        *[of(EXEC, c, c) for c in exec_columns],
-        of(QUEUE, "p50_x100", "queue_p50_x100"),
-        of(QUEUE, "p95_x100", "queue_p95_x100"),
+    return group_by(
+        found,
+        keys,
+        [
+            *[of(EXEC, c, c) for c in exec_columns],
+            of(QUEUE, "p50_x100", "queue_p50_x100"),
+            of(QUEUE, "p95_x100", "queue_p95_x100"),
+        ],
     )
 
 
 def daily_queries(cells: DataFrame, cfg: Config, *, with_queue: bool) -> DataFrame:
     """Per day with runs: counts, success rates, percentiles, tail and queue figures."""
     keys = [*cfg.keys, "activity_date"]
-    day = daily_counts(cells, cfg).join(
+    days = daily_counts(cells, cfg).join(
         daily_percentiles(cells, cfg, with_queue=with_queue), keys, "left"
     )
-    tail_n = F.col("n_values") - F.col("below95_n")
-    tail_ms = F.col("sum_values") - F.col("below95_sum")
-    queue = (
-        [
-            rounded(seconds("queue_p50_x100"), 4).alias("median_queue_sec"),
-            rounded(seconds("queue_p95_x100"), 4).alias("p95_queue_sec"),
-        ]
-        if with_queue
-        else []
-    )
-    return day.select(
+
+    def sec(x100: str, name: str) -> str:
+        return f"{rounded(seconds(x100), 4)} AS {name}"
+
+    queue = [sec("queue_p50_x100", "median_queue_sec"), sec("queue_p95_x100", "p95_queue_sec")]
+    return days.selectExpr(
         *keys,
         "total_queries",
         "success_count",
@@ -86,60 +82,47 @@ def daily_queries(cells: DataFrame, cfg: Config, *, with_queue: bool) -> DataFra
         "live_queries",
         "pattern_queries",
         "query_count",
-        rounded(percent(F.col("success_count"), F.col("total_queries")), 4).alias(
-            "daily_success_rate_pct"
-        ),
-        rounded(seconds("p50_x100"), 4).alias("median_exec_sec"),
-        rounded(seconds("p95_x100"), 4).alias("p95_exec_sec"),
-        rounded(seconds("p99_x100"), 4).alias("p99_exec_sec"),
-        F.when(F.col("query_count") > 0, F.coalesce(tail_n, F.lit(0))).alias("p95_tail_count"),
-        rounded(percent(tail_ms, F.col("sum_values")), 1).alias("p95_tail_weight_pct"),
-        rounded(percent(F.col("query_count"), F.col("pattern_live_queries")), 2).alias(
-            "success_rate_pct"
-        ),
-        *queue,
+        f"{rounded(percent('success_count', 'total_queries'), 4)} AS daily_success_rate_pct",
+        sec("p50_x100", "median_exec_sec"),
+        sec("p95_x100", "p95_exec_sec"),
+        sec("p99_x100", "p99_exec_sec"),
+        "CASE WHEN query_count > 0 THEN coalesce(n_values - below95_n, 0) END AS p95_tail_count",
+        f"{rounded(percent('sum_values - below95_sum', 'sum_values'), 1)} AS p95_tail_weight_pct",
+        f"{rounded(percent('query_count', 'pattern_live_queries'), 2)} AS success_rate_pct",
+        *(queue if with_queue else []),
     )
 
 
 def daily_metering(metering: DataFrame, cfg: Config) -> DataFrame:
     """Credits per metered day. Decimal sums do not depend on the order of the rows."""
-    return (
-        metering.filter(in_window(cfg) & in_scope(cfg))
-        .groupBy(*cfg.keys, "activity_date")
-        .agg(F.sum("credits_used").alias("credits"))
-        .select(
-            *cfg.keys,
-            "activity_date",
-            F.round("credits", 4).cast("double").alias("daily_credits"),
-            F.lit(True).alias("is_metered"),
-        )
+    return group_by(
+        metering.where(f"{in_window(cfg)} AND {in_scope(cfg)}"),
+        [*cfg.keys, "activity_date"],
+        ["CAST(round(sum(credits_used), 4) AS DOUBLE) AS daily_credits", "true AS metered"],
     )
 
 
 def with_cost(queries: DataFrame, metering_days: DataFrame, cfg: Config) -> DataFrame:
     """Days with runs or metering. Cost figures exist on metered days only."""
     days = queries.join(metering_days, [*cfg.keys, "activity_date"], "full")
-    metered = F.col("is_metered")
-
-    def per_query(count: str) -> Column:
-        return rounded(ratio(F.col("daily_credits"), F.col(count)), 6)
-
-    return days.select(
-        *[c for c in days.columns if c not in ("is_metered",)],
-        F.coalesce(metered, F.lit(False)).alias("is_metered"),
-        F.when(metered, F.coalesce("live_queries", F.lit(0))).alias("all_query_count"),
-        per_query("live_queries").alias("all_credits_per_query"),
-        F.when(metered, F.coalesce("query_count", F.lit(0))).alias("pattern_query_count"),
-        per_query("query_count").alias("wh_credits_per_pattern_query"),
+
+    def per_query(count: str, name: str) -> str:
+        return f"{rounded(ratio('daily_credits', count), 6)} AS {name}"
+
+    return days.selectExpr(
+        *[c for c in days.columns if c != "metered"],
+        "coalesce(metered, false) AS is_metered",
+        "CASE WHEN metered THEN coalesce(live_queries, 0) END AS all_query_count",
+        per_query("live_queries", "all_credits_per_query"),
+        "CASE WHEN metered THEN coalesce(query_count, 0) END AS pattern_query_count",
+        per_query("query_count", "wh_credits_per_pattern_query"),
     )
 
 
 def with_calendar(days: DataFrame, cfg: Config) -> DataFrame:
-    day = F.col("activity_date")
-    return days.withColumns(
-        {
-            "period_type": period_label(cfg),
-            "day_of_week_num": iso_weekday(day),
-            "day_of_week": weekday_name(day),
-        }
+    return days.selectExpr(
+        "*",
+        f"{period_label(cfg)} AS period_type",
+        f"{iso_weekday('activity_date')} AS day_of_week_num",
+        f"{weekday_name('activity_date')} AS day_of_week",
     )

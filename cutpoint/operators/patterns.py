@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutpoint.config import Config
-from cutpoint.operators.scope import in_scope, in_window, is_after
+from cutpoint.operators.scope import PATTERN, in_scope, in_window, is_after
+from cutpoint.session import group_by, query
 
-PATTERN = "query_parameterized_hash"
+IN_BOTH = "gen1_runs > 0 AND gen2_runs > 0"
 
 
 def pattern_presence(query_history: DataFrame, cfg: Config) -> DataFrame:
@@ -17,19 +18,20 @@ def pattern_presence(query_history: DataFrame, cfg: Config) -> DataFrame:
     One pass, combined on the map side, so a pattern with a third of all rows costs its shuffle
     partition one row per map task. Cached and failed runs count: presence is all that matters.
     """
-    return (
-        query_history.filter(in_window(cfg) & in_scope(cfg) & F.col(PATTERN).isNotNull())
-        .groupBy(*cfg.keys, PATTERN)
-        .agg(
-            F.count_if(~is_after(cfg)).alias("gen1_runs"),
-            F.count_if(is_after(cfg)).alias("gen2_runs"),
-        )
+    rows = query_history.where(f"{in_window(cfg)} AND {in_scope(cfg)} AND {PATTERN} IS NOT NULL")
+    return group_by(
+        rows,
+        [*cfg.keys, PATTERN],
+        [
+            f"count_if(NOT {is_after(cfg)}) AS gen1_runs",
+            f"count_if({is_after(cfg)}) AS gen2_runs",
+        ],
     )
 
 
 def matched_only(presence: DataFrame) -> DataFrame:
     """Patterns of both periods: the intersection of the two periods' pattern sets."""
-    return presence.filter((F.col("gen1_runs") > 0) & (F.col("gen2_runs") > 0))
+    return presence.where(IN_BOTH)
 
 
 def mark_matched(rows: DataFrame, presence: DataFrame, cfg: Config) -> DataFrame:
@@ -38,40 +40,45 @@ def mark_matched(rows: DataFrame, presence: DataFrame, cfg: Config) -> DataFrame
     A matched set within the broadcast limits leaves the fact rows where they are. A larger one is
     joined by a shuffle in which no pattern can overload a partition, see ``_mark_by_shuffle``.
     """
-    matched = matched_only(presence)
-    size = matched.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.octet_length(PATTERN)), F.lit(0)).alias("bytes"),
+    size = query(
+        f"""SELECT count_if({IN_BOTH}) AS matched,
+                   coalesce(sum(CASE WHEN {IN_BOTH} THEN octet_length({PATTERN}) END), 0) AS bytes,
+                   coalesce(sum(gen1_runs + gen2_runs), 0) AS runs
+            FROM {{presence}}""",
+        presence=presence,
     ).first()
     on = [*cfg.keys, PATTERN]
-    flags = matched.select(*on, F.lit(True).alias("is_pattern"))
-    if size["n"] <= cfg.tuning.broadcast_max_rows and size["bytes"] <= cfg.tuning.broadcast_max_bytes:
+    flags = matched_only(presence).selectExpr(*on, "true AS matched_flag")
+    limits = cfg.tuning
+    if size["matched"] <= limits.broadcast_max_rows and size["bytes"] <= limits.broadcast_max_bytes:
         marked = rows.join(F.broadcast(flags), on, "left")
     else:
-        marked = _mark_by_shuffle(rows, presence, flags, on)
-    return marked.withColumn("is_pattern", F.coalesce("is_pattern", F.lit(False)))
+        marked = _mark_by_shuffle(rows, presence, flags, on, size["runs"])
+    return marked.selectExpr(*rows.columns, "coalesce(matched_flag, false) AS is_pattern")
 
 
-def _mark_by_shuffle(rows: DataFrame, presence: DataFrame, flags: DataFrame, on: list[str]) -> DataFrame:
+def _mark_by_shuffle(
+    rows: DataFrame, presence: DataFrame, flags: DataFrame, on: list[str], total_runs: int
+) -> DataFrame:
     """Shuffle join in which only patterns with a small share of the rows meet by key.
 
-    With P shuffle partitions, fewer than P + 1 patterns can each hold more than 1/P of the rows.
-    Those frequent ones are answered by a broadcast of at most P rows; they, and rows without a
-    pattern, are then spread over all partitions by a row hash instead of their key.
+    With P shuffle partitions, fewer than P patterns can each hold more than 1/P of the runs.
+    Those frequent ones are answered by a broadcast of fewer than P rows; they, and rows without a
+    pattern, are then spread over all partitions by a hash of the row instead of their key.
     """
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = F.col("gen1_runs") + F.col("gen2_runs")
-    total = presence.agg(F.coalesce(F.sum(runs), F.lit(0))).first()[0]
-    frequent = presence.filter(runs * partitions > total).select(
-        *on, ((F.col("gen1_runs") > 0) & (F.col("gen2_runs") > 0)).alias("frequent_flag")
+    frequent = presence.where(f"(gen1_runs + gen2_runs) * {partitions} > {total_runs}").selectExpr(
+        *on, f"({IN_BOTH}) AS frequent_flag"
     )
-    others = [c for c in rows.columns if c not in on]
-    settled = F.col("frequent_flag").isNotNull() | F.col(PATTERN).isNull()
-    spread = F.lit(1) + F.pmod(F.xxhash64(*others), F.lit(partitions))
+    others = ", ".join(c for c in rows.columns if c not in on)
+    spread = f"1 + pmod(xxhash64({others}), {partitions})"
     return (
         rows.join(F.broadcast(frequent), on, "left")
-        .withColumn("slot", F.when(settled, spread).otherwise(F.lit(0).cast("long")))
-        .join(flags.withColumn("slot", F.lit(0).cast("long")), [*on, "slot"], "left")
-        .withColumn("is_pattern", F.coalesce("frequent_flag", "is_pattern"))
-        .drop("frequent_flag", "slot")
+        .selectExpr(
+            "*",
+            f"CASE WHEN frequent_flag IS NOT NULL OR {PATTERN} IS NULL THEN {spread}"
+            " ELSE 0L END AS slot",
+        )
+        .join(flags.selectExpr("*", "0L AS slot"), [*on, "slot"], "left")
+        .selectExpr(*rows.columns, "coalesce(frequent_flag, matched_flag) AS matched_flag")
     )

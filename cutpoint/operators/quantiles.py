@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cutpoint.session import group_by, listed, query
+
 # Values per bucket. With milliseconds a bucket is one second.
 BUCKET_WIDTH = 1000
 
@@ -31,89 +33,78 @@ def exact_percentiles(
 
     NULL values are left out. A group without values gives no row.
     """
-    hist = hist.filter(F.col(value).isNotNull()).withColumn(
-        "bucket", F.floor(F.col(value) / F.lit(BUCKET_WIDTH))
+    by = listed(*group)
+    values = hist.where(f"{value} IS NOT NULL").selectExpr(
+        *group, f"{value} AS v", "n", f"floor({value} / {BUCKET_WIDTH}) AS bucket"
+    )
+    totals = group_by(
+        values, [*group, "bucket"], ["sum(n) AS bucket_n", "sum(v * n) AS bucket_sum"]
+    )
+    upto = f"OVER (PARTITION BY {by} ORDER BY bucket ROWS UNBOUNDED PRECEDING)"
+    buckets = query(
+        f"""SELECT {by}, bucket,
+                   sum(bucket_n) OVER (PARTITION BY {by}) AS n_values,
+                   sum(bucket_sum) OVER (PARTITION BY {by}) AS sum_values,
+                   sum(bucket_n) {upto} AS end_n,
+                   sum(bucket_n) {upto} - bucket_n AS start_n,
+                   sum(bucket_sum) {upto} - bucket_sum AS start_sum
+            FROM {{totals}}""",
+        totals=totals,
     )
-    weighted = F.col(value) * F.col("n")
-    in_group = Window.partitionBy(*group)
-    up_to_bucket = in_group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = (
-        hist.groupBy(*group, "bucket")
-        .agg(F.sum("n").alias("bucket_n"), F.sum(weighted).alias("bucket_sum"))
-        .select(
-            *group,
-            "bucket",
-            F.sum("bucket_n").over(in_group).alias("n_values"),
-            F.sum("bucket_sum").over(in_group).alias("sum_values"),
-            F.sum("bucket_n").over(up_to_bucket).alias("end_n"),
-            (F.sum("bucket_n").over(up_to_bucket) - F.col("bucket_n")).alias("start_n"),
-            (F.sum("bucket_sum").over(up_to_bucket) - F.col("bucket_sum")).alias("start_sum"),
+    wanted = buckets.where(
+        " OR ".join(
+            _holds(rank, "start_n", "end_n") for p in percents for rank in (_lower(p), _upper(p))
         )
     )
-    start, end = F.col("start_n"), F.col("end_n")
-    wanted = F.lit(False)
-    for p in percents:
-        wanted = wanted | _holds(_lower(p), start, end) | _holds(_upper(p), start, end)
-    wanted_buckets = buckets.filter(wanted)
     if few_groups:
-        wanted_buckets = F.broadcast(wanted_buckets)
-
-    up_to_value = (
-        Window.partitionBy(*group, "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    ranked = hist.join(wanted_buckets, [*group, "bucket"]).select(
-        *group,
-        value,
-        "n_values",
-        "sum_values",
-        (F.col("start_n") + F.sum("n").over(up_to_value)).alias("upto_n"),
-        (F.col("start_n") + F.sum("n").over(up_to_value) - F.col("n")).alias("below_n"),
-        (F.col("start_sum") + F.sum(weighted).over(up_to_value) - weighted).alias("below_sum"),
+        wanted = F.broadcast(wanted)
+
+    upto = f"OVER (PARTITION BY {by}, bucket ORDER BY v ROWS UNBOUNDED PRECEDING)"
+    ranked = query(
+        f"""SELECT {by}, v, n_values, sum_values,
+                   start_n + sum(n) {upto} AS upto_n,
+                   start_n + sum(n) {upto} - n AS below_n,
+                   start_sum + sum(v * n) {upto} - v * n AS below_sum
+            FROM {{joined}}""",
+        joined=values.join(wanted, [*group, "bucket"]),
     )
-    below, upto = F.col("below_n"), F.col("upto_n")
-    picks = [F.first("n_values").alias("n_values"), F.first("sum_values").alias("sum_values")]
+    picks = ["first(n_values) AS n_values", "first(sum_values) AS sum_values"]
     for p in percents:
-        at_lower, at_upper = _holds(_lower(p), below, upto), _holds(_upper(p), below, upto)
+        at_lower = _holds(_lower(p), "below_n", "upto_n")
+        at_upper = _holds(_upper(p), "below_n", "upto_n")
         picks += [
-            F.max(F.when(at_lower, F.col(value))).alias(f"lower{p}"),
-            F.max(F.when(at_upper, F.col(value))).alias(f"upper{p}"),
+            f"max(CASE WHEN {at_lower} THEN v END) AS lower{p}",
+            f"max(CASE WHEN {at_upper} THEN v END) AS upper{p}",
             # The values at or above the percentile start at the upper rank's value: a percentile
             # strictly between two values excludes the lower one.
-            F.max(F.when(at_upper, F.col("below_n"))).alias(f"below{p}_n"),
-            F.max(F.when(at_upper, F.col("below_sum"))).alias(f"below{p}_sum"),
+            f"max(CASE WHEN {at_upper} THEN below_n END) AS below{p}_n",
+            f"max(CASE WHEN {at_upper} THEN below_sum END) AS below{p}_sum",
         ]
-    found = ranked.groupBy(*group).agg(*picks)
-    return found.select(
+    return group_by(ranked, group, picks).selectExpr(
         *group,
         "n_values",
         "sum_values",
-        *[
-            (
-                F.col(f"lower{p}") * F.lit(100)
-                + (F.col(f"upper{p}") - F.col(f"lower{p}")) * _remainder(p)
-            ).alias(f"p{p}_x100")
-            for p in percents
-        ],
+        *[f"lower{p} * 100 + (upper{p} - lower{p}) * {_remainder(p)} AS p{p}_x100" for p in percents],
         *[f"below{p}_{what}" for p in percents for what in ("n", "sum")],
     )
 
 
-def _position(p: int) -> Column:
+def _position(p: int) -> str:
     """(n − 1) · p, the rank in hundredths, in whole numbers."""
-    return (F.col("n_values") - F.lit(1)) * F.lit(p)
+    return f"((n_values - 1) * {p})"
 
 
-def _remainder(p: int) -> Column:
-    return F.pmod(_position(p), F.lit(100))
+def _remainder(p: int) -> str:
+    return f"({_position(p)} % 100)"
 
 
-def _lower(p: int) -> Column:
-    return ((_position(p) - _remainder(p)) / F.lit(100)).cast("long")
+def _lower(p: int) -> str:
+    return f"({_position(p)} DIV 100)"
 
 
-def _upper(p: int) -> Column:
-    return _lower(p) + F.when(_remainder(p) > 0, 1).otherwise(0)
+def _upper(p: int) -> str:
+    return f"(({_position(p)} + 99) DIV 100)"
 
 
-def _holds(rank: Column, start: Column, end: Column) -> Column:
-    return (start <= rank) & (rank < end)
+def _holds(rank: str, start: str, end: str) -> str:
+    return f"({start} <= {rank} AND {rank} < {end})"

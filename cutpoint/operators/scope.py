@@ -1,45 +1,34 @@
-"""Row scope: warehouse filter, date window, period label."""
+"""Row scope as SQL conditions: warehouse filter, date window, period label."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from cutpoint.config import GEN1, GEN2, Config
+from cutpoint.functions.dates import day
+from cutpoint.functions.numeric import text
 
+PATTERN = "query_parameterized_hash"
 
-def in_scope(cfg: Config) -> Column:
-    name = F.col("warehouse_name")
-    return name.isNotNull() if cfg.covers_everything else name.like(cfg.scope_like)
-
-
-def in_window(cfg: Config) -> Column:
-    """On the partition column itself, so that days outside are never read."""
-    return F.col("activity_date").between(F.lit(cfg.first_day), F.lit(cfg.last_day))
-
+# NULL status is neither a success nor an error; NULL bytes are neither work nor a cache hit.
+SUCCEEDED = "coalesce(execution_status = 'SUCCESS', false)"
+FAILED = "execution_status != 'SUCCESS'"
+DID_WORK = "coalesce(bytes_scanned > 0, false)"
+FROM_RESULT_CACHE = "coalesce(bytes_scanned = 0, false)"
 
-def is_after(cfg: Config) -> Column:
-    return F.col("activity_date") >= F.lit(cfg.cutover)
 
+def in_scope(cfg: Config) -> str:
+    if cfg.covers_everything:
+        return "warehouse_name IS NOT NULL"
+    return f"warehouse_name LIKE {text(cfg.scope_like)}"
 
-def period_label(cfg: Config) -> Column:
-    return F.when(is_after(cfg), GEN2).otherwise(GEN1)
 
-
-def succeeded() -> Column:
-    """NULL status counts as not successful."""
-    return F.coalesce(F.col("execution_status") == "SUCCESS", F.lit(False))
-
-
-def failed() -> Column:
-    """NULL status is no error either, hence not the negation of ``succeeded``."""
-    return F.coalesce(F.col("execution_status") != "SUCCESS", F.lit(False))
+def in_window(cfg: Config) -> str:
+    """On the partition column itself, so that days outside are never read."""
+    return f"activity_date BETWEEN {day(cfg.first_day)} AND {day(cfg.last_day)}"
 
 
-def did_work() -> Column:
-    """Scanned something. NULL bytes are neither work nor a cache hit."""
-    return F.coalesce(F.col("bytes_scanned") > 0, F.lit(False))
+def is_after(cfg: Config) -> str:
+    return f"activity_date >= {day(cfg.cutover)}"
 
 
-def from_result_cache() -> Column:
-    return F.coalesce(F.col("bytes_scanned") == 0, F.lit(False))
+def period_label(cfg: Config) -> str:
+    return f"CASE WHEN {is_after(cfg)} THEN '{GEN2}' ELSE '{GEN1}' END"

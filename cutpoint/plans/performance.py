@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from cutpoint.functions import explanations as X
 from cutpoint.functions import labels as L
 from cutpoint.functions.ladders import queue_saturation, tail_latency
-from cutpoint.functions.numeric import change_pct, percent, ratio, rounded, speedup_pct
+from cutpoint.functions.numeric import change_pct, percent, ratio, rounded, shown, speedup_pct, text
 from cutpoint.functions.welch import fieller_interval, linear_interval, significance
-from cutpoint.operators.cells import EXEC, is_comparable
-from cutpoint.operators.compare import PERIODS, in_both_periods, moments, per_period, samples, with_welch
+from cutpoint.operators.cells import EXEC, IS_COMPARABLE
+from cutpoint.operators.compare import PERIODS, add, in_both_periods, moments, per_period, samples, with_welch
 from cutpoint.operators.daily import daily_counts, seconds, with_calendar
 from cutpoint.operators.quantiles import exact_percentiles
 from cutpoint.plans.workload import Workload
+from cutpoint.session import group_by
 
-HAS_PERF = F.col("query_count") > 0
+HAS_PERF = "query_count > 0"
 
 
 def perf_daily(w: Workload) -> DataFrame:
     """Execution times and tail of each day's comparable runs. Days without any are left out."""
-    return w.query_days.filter(HAS_PERF).select(
+    return w.query_days.where(HAS_PERF).selectExpr(
         *w.cfg.keys,
         "activity_date",
         "period_type",
@@ -33,49 +33,44 @@ def perf_daily(w: Workload) -> DataFrame:
         "p99_exec_sec",
         "p95_tail_count",
         "p95_tail_weight_pct",
-        F.col("query_count").alias("successful_queries"),
+        "query_count AS successful_queries",
         "success_rate_pct",
     )
 
 
 def perf_welch_test(w: Workload) -> DataFrame:
     """Welch test per weekday. Exploratory: few days per weekday, no correction for seven tests."""
-    cfg = w.cfg
-    weekday = [*cfg.keys, "day_of_week_num", "day_of_week"]
-    least = cfg.thresholds.min_days_per_weekday
-    compared = with_welch(
-        w.query_days.filter(HAS_PERF)
-        .groupBy(*weekday)
-        .agg(*moments("exec", F.col("median_exec_sec"), HAS_PERF))
-        .filter((F.col("b_exec_n") >= least) & (F.col("g_exec_n") >= least)),
-        "exec",
-    )
+    weekday = [*w.cfg.keys, "day_of_week_num", "day_of_week"]
+    least = w.cfg.thresholds.min_days_per_weekday
+    found = group_by(
+        w.query_days.where(HAS_PERF), weekday, moments("exec", "median_exec_sec", HAS_PERF)
+    ).where(f"b_exec_n >= {least} AND g_exec_n >= {least}")
     before, after = samples("exec")
-    t, df, t90, error = (F.col(f"exec_{c}") for c in ("t", "df", "t90", "se"))
-    # The weekday test rounds its effect before it adds the interval.
-    speedup = rounded(speedup_pct(before.mean, after.mean), 2)
-    lower, upper = linear_interval(F.col("speedup_pct"), t90, error, before.mean)
-    label = significance(t, df)
-    return (
-        compared.withColumn("speedup_pct", speedup)
-        .select(
-            F.lit(L.EXPLORATORY).alias("test_scope"),
-            *weekday,
-            F.col("b_exec_n").alias("n_gen1"),
-            F.col("g_exec_n").alias("n_gen2"),
-            rounded(before.mean, 4).alias("gen1_median_exec_sec"),
-            rounded(after.mean, 4).alias("gen2_median_exec_sec"),
-            "speedup_pct",
-            rounded(t, 3).alias("t_statistic"),
-            rounded(df, 1).alias("degrees_of_freedom"),
-            t90.alias("t_critical_90"),
-            rounded(lower, 2).alias("speedup_ci_lower_90"),
-            rounded(upper, 2).alias("speedup_ci_upper_90"),
-            label.alias("significance"),
-            X.explain(label, X.WEEKDAY_SIGNIFICANCE).alias("significance_explanation"),
-        )
-        .orderBy(*cfg.keys, "day_of_week_num")
+    found = add(
+        with_welch(found, "exec"),
+        {
+            # The weekday test rounds its effect before it adds the interval.
+            "speedup_pct": rounded(speedup_pct(before.mean, after.mean), 2),
+            "significance": significance("exec_t", "exec_df"),
+        },
     )
+    lower, upper = linear_interval("speedup_pct", "exec_t90", "exec_se", before.mean)
+    return found.selectExpr(
+        f"{text(L.EXPLORATORY)} AS test_scope",
+        *weekday,
+        "b_exec_n AS n_gen1",
+        "g_exec_n AS n_gen2",
+        f"{rounded(before.mean, 4)} AS gen1_median_exec_sec",
+        f"{rounded(after.mean, 4)} AS gen2_median_exec_sec",
+        "speedup_pct",
+        f"{rounded('exec_t', 3)} AS t_statistic",
+        f"{rounded('exec_df', 1)} AS degrees_of_freedom",
+        "exec_t90 AS t_critical_90",
+        f"{rounded(lower, 2)} AS speedup_ci_lower_90",
+        f"{rounded(upper, 2)} AS speedup_ci_upper_90",
+        "significance",
+        f"{X.explain('significance', X.WEEKDAY_SIGNIFICANCE)} AS significance_explanation",
+    ).orderBy(*w.cfg.keys, "day_of_week_num")
 
 
 def perf_by_dow(w: Workload) -> DataFrame:
@@ -85,115 +80,106 @@ def perf_by_dow(w: Workload) -> DataFrame:
     this report follows; failed runs do count in the all-query percentiles.
     """
     cfg = w.cfg
-    weekday = [*cfg.keys, "day_of_week_num"]
-    cells = with_calendar(w.cells.filter((F.col("measure") == EXEC) & F.col("is_live")), cfg)
-    scopes = F.when(is_comparable(), F.array(F.lit("all"), F.lit("pattern"))).otherwise(
-        F.array(F.lit("all"))
-    )
+    weekday = [*cfg.keys, "day_of_week_num", "day_of_week"]
     group = [*weekday, "period_type", "scope"]
-    hist = (
-        cells.select(*weekday, "period_type", F.explode(scopes).alias("scope"), "ms", "n")
-        .groupBy(*group, "ms")
-        .agg(F.sum("n").alias("n"))
+    live = with_calendar(w.cells.where(f"measure = '{EXEC}' AND is_live"), cfg).selectExpr(
+        *weekday,
+        "period_type",
+        f"explode(CASE WHEN {IS_COMPARABLE} THEN array('all', 'pattern') ELSE array('all') END) AS scope",
+        "ms",
+        "n",
     )
+    hist = group_by(live, [*group, "ms"], ["sum(n) AS n"])
     found = exact_percentiles(hist, group, "ms", [50, 95, 99], few_groups=not cfg.keys)
-
-    def pick(side: str, scope: str, p: int) -> Column:
-        here = (F.col("period_type") == PERIODS[side]) & (F.col("scope") == scope)
-        return rounded(seconds(F.max(F.when(here, F.col(f"p{p}_x100")))), 4).alias(f"{side}_{scope}_{p}")
-
-    times = found.groupBy(*weekday).agg(
-        *[pick(s, scope, p) for s in PERIODS for scope in ("all", "pattern") for p in (50, 95, 99)]
-    )
-    counts = (
-        with_calendar(daily_counts(w.cells, cfg).filter(HAS_PERF), cfg)
-        .groupBy(*weekday, "day_of_week")
-        .agg(
-            *per_period("days", F.count, F.lit(1)),
-            *per_period("runs", F.sum, F.col("query_count")),
-        )
-        .filter(in_both_periods("days"))
-        .withColumns(
-            {f"{s}_avg": rounded(ratio(F.col(f"{s}_runs"), F.col(f"{s}_days")), 0) for s in PERIODS}
-        )
-        .withColumns(
-            {f"{s}_rate": rounded(percent(F.col(f"{s}_runs"), F.col(f"{s}_runs")), 2) for s in PERIODS}
-        )
-    )
-
-    def triple(scope: str, p: int, name: str) -> list[Column]:
-        b, g = F.col(f"b_{scope}_{p}"), F.col(f"g_{scope}_{p}")
-        return [
-            b.alias(f"{scope}_gen1_{name}_exec_sec"),
-            g.alias(f"{scope}_gen2_{name}_exec_sec"),
-            rounded(speedup_pct(b, g), 2).alias(f"{scope}_{name}_exec_speedup_pct"),
-        ]
-
-    return (
-        counts.join(times, weekday, "left")
-        .select(
-            *weekday,
-            "day_of_week",
-            F.col("b_days").alias("gen1_days"),
-            F.col("g_days").alias("gen2_days"),
-            F.col("b_avg").alias("gen1_avg_daily_queries"),
-            F.col("g_avg").alias("gen2_avg_daily_queries"),
-            rounded(change_pct(F.col("b_avg"), F.col("g_avg")), 2).alias("avg_daily_queries_change_pct"),
-            *[
-                c
-                for p, name in ((50, "median"), (95, "p95"), (99, "p99"))
+    names = {50: "median", 95: "p95", 99: "p99"}
+    picks = [
+        f"max(CASE WHEN period_type = '{label}' AND scope = '{scope}' THEN p{p}_x100 END)"
+        f" AS {side}_{scope}_{p}"
+        for side, label in PERIODS.items()
+        for scope in ("all", "pattern")
+        for p in names
+    ]
+    times = group_by(found, weekday, picks)
+    counts = group_by(
+        with_calendar(daily_counts(w.cells, cfg).where(HAS_PERF), cfg),
+        weekday,
+        [*per_period("days", "count", "1"), *per_period("runs", "sum", "query_count")],
+    ).where(in_both_periods("days"))
+    rates = {
+        f"{s}_{name}": value
+        for s in PERIODS
+        for name, value in {
+            "avg": rounded(ratio(f"{s}_runs", f"{s}_days"), 0),
+            "rate": rounded(percent(f"{s}_runs", f"{s}_runs"), 2),
+            **{
+                f"{scope}_{p}_sec": rounded(seconds(f"{s}_{scope}_{p}"), 4)
                 for scope in ("all", "pattern")
-                for c in triple(scope, p, name)
-            ],
-            F.col("b_rate").alias("gen1_success_rate_pct"),
-            F.col("g_rate").alias("gen2_success_rate_pct"),
-            rounded(F.col("g_rate") - F.col("b_rate"), 2).alias("success_rate_diff_pp"),
+                for p in names
+            },
+        }.items()
+    }
+    triples = [
+        column
+        for p, name in names.items()
+        for scope in ("all", "pattern")
+        for column in (
+            f"b_{scope}_{p}_sec AS {scope}_gen1_{name}_exec_sec",
+            f"g_{scope}_{p}_sec AS {scope}_gen2_{name}_exec_sec",
+            f"{rounded(speedup_pct(f'b_{scope}_{p}_sec', f'g_{scope}_{p}_sec'), 2)}"
+            f" AS {scope}_{name}_exec_speedup_pct",
         )
-        .orderBy(*weekday)
-    )
-
-
-def perf_moments() -> list[Column]:
+    ]
+    return add(counts.join(times, weekday, "left"), rates).selectExpr(
+        *weekday,
+        "b_days AS gen1_days",
+        "g_days AS gen2_days",
+        "b_avg AS gen1_avg_daily_queries",
+        "g_avg AS gen2_avg_daily_queries",
+        f"{rounded(change_pct('b_avg', 'g_avg'), 2)} AS avg_daily_queries_change_pct",
+        *triples,
+        "b_rate AS gen1_success_rate_pct",
+        "g_rate AS gen2_success_rate_pct",
+        f"{rounded('g_rate - b_rate', 2)} AS success_rate_diff_pp",
+    ).orderBy(*cfg.keys, "day_of_week_num")
+
+
+def perf_moments() -> list[str]:
     """Period aggregates over days behind the overall test."""
     return [
-        *moments("exec", F.col("median_exec_sec"), HAS_PERF),
-        *per_period("p95", F.avg, F.col("p95_exec_sec")),
-        *per_period("p99", F.avg, F.col("p99_exec_sec")),
-        *per_period("queue_p50", F.avg, F.col("median_queue_sec")),
-        *per_period("queue_p95", F.avg, F.col("p95_queue_sec")),
+        *moments("exec", "median_exec_sec", HAS_PERF),
+        *per_period("p95", "avg", "p95_exec_sec"),
+        *per_period("p99", "avg", "p99_exec_sec"),
+        *per_period("queue_p50", "avg", "median_queue_sec"),
+        *per_period("queue_p95", "avg", "p95_queue_sec"),
     ]
 
 
-def perf_present() -> Column:
+def perf_present() -> str:
     return in_both_periods("exec_n")
 
 
-def with_perf_results(df: DataFrame) -> DataFrame:
-    """Add the results of the overall test to a row of ``perf_moments``, as perf_* columns."""
+def perf_results() -> dict[str, str]:
+    """Results of the overall test, over ``perf_moments`` with the exec test added."""
     before, after = samples("exec")
-    lower, upper = fieller_interval(before, after, F.col("exec_t90"))
-    return with_welch(df, "exec").withColumns(
-        {
-            "perf_gen1_sec": rounded(before.mean, 4),
-            "perf_gen2_sec": rounded(after.mean, 4),
-            "perf_speedup_pct": rounded(speedup_pct(before.mean, after.mean), 2),
-            "perf_ci_lower": rounded(lower, 2),
-            "perf_ci_upper": rounded(upper, 2),
-            "perf_significance": significance(F.col("exec_t"), F.col("exec_df")),
-            "perf_tail": tail_latency(F.col("b_p99"), F.col("g_p99")),
-            "perf_queue": queue_saturation(F.col("b_queue_p95"), F.col("g_queue_p95")),
-        }
-    )
+    lower, upper = fieller_interval(before, after, "exec_t90")
+    return {
+        "perf_gen1_sec": rounded(before.mean, 4),
+        "perf_gen2_sec": rounded(after.mean, 4),
+        "perf_speedup_pct": rounded(speedup_pct(before.mean, after.mean), 2),
+        "perf_ci_lower": rounded(lower, 2),
+        "perf_ci_upper": rounded(upper, 2),
+        "perf_significance": significance("exec_t", "exec_df"),
+        "perf_tail": tail_latency("b_p99", "g_p99"),
+        "perf_queue": queue_saturation("b_queue_p95", "g_queue_p95"),
+    }
 
 
-def _queue_texts() -> dict[str, str | Column]:
-    move = F.concat(
-        X.number(F.col("b_queue_p95"), 2), F.lit("s → "), X.number(F.col("g_queue_p95"), 2), F.lit("s")
-    )
+def _queue_texts() -> dict[str, str]:
+    move = f"{shown('b_queue_p95', 2)}, 's → ', {shown('g_queue_p95', 2)}, 's.'"
     return {
         L.QUEUE_NEGLIGIBLE: "Queries hardly wait in either period (P95 under 0.1s).",
-        L.QUEUE_WARNING: F.concat(F.lit("P95 waiting time more than doubled: "), move, F.lit(".")),
-        L.QUEUE_CAUTION: F.concat(F.lit("P95 waiting time rose by over 50%: "), move, F.lit(".")),
+        L.QUEUE_WARNING: f"concat('P95 waiting time more than doubled: ', {move})",
+        L.QUEUE_CAUTION: f"concat('P95 waiting time rose by over 50%: ', {move})",
         L.QUEUE_IMPROVED: "P95 waiting time fell by a fifth or more.",
         L.OK: "P95 waiting time is comparable in both periods.",
     }
@@ -201,35 +187,33 @@ def _queue_texts() -> dict[str, str | Column]:
 
 def perf_summary(w: Workload) -> DataFrame:
     """Overall test: one row (per key). Empty unless both periods have comparable days."""
-    found = with_perf_results(
-        w.queue_days.groupBy(*w.cfg.keys).agg(*perf_moments()).filter(perf_present())
-    )
-    return found.select(
-        F.lit("PERFORMANCE").alias("metric_category"),
+    found = group_by(w.queue_days, [*w.cfg.keys], perf_moments()).where(perf_present())
+    return add(with_welch(found, "exec"), perf_results()).selectExpr(
+        "'PERFORMANCE' AS metric_category",
         *w.cfg.keys,
-        F.col("b_exec_n").alias("gen1_days"),
-        F.col("g_exec_n").alias("gen2_days"),
-        F.col("perf_gen1_sec").alias("gen1_daily_median_sec"),
-        F.col("perf_gen2_sec").alias("gen2_daily_median_sec"),
-        F.col("perf_speedup_pct").alias("speedup_pct"),
-        F.col("perf_ci_lower").alias("speedup_ci_lower_90"),
-        F.col("perf_ci_upper").alias("speedup_ci_upper_90"),
-        rounded(F.col("exec_t"), 3).alias("t_statistic"),
-        rounded(F.col("exec_df"), 1).alias("degrees_of_freedom"),
-        F.col("perf_significance").alias("significance"),
-        X.explain(F.col("perf_significance"), X.PERF_SIGNIFICANCE).alias("significance_explanation"),
-        rounded(F.col("b_p95"), 4).alias("gen1_mean_p95"),
-        rounded(F.col("g_p95"), 4).alias("gen2_mean_p95"),
-        rounded(F.col("b_p99"), 4).alias("gen1_mean_p99"),
-        rounded(F.col("g_p99"), 4).alias("gen2_mean_p99"),
-        F.col("perf_tail").alias("tail_latency_check"),
-        X.explain(F.col("perf_tail"), X.TAIL).alias("tail_latency_explanation"),
-        rounded(F.col("b_queue_p50"), 4).alias("gen1_mean_median_queue_sec"),
-        rounded(F.col("g_queue_p50"), 4).alias("gen2_mean_median_queue_sec"),
-        rounded(F.col("b_queue_p95"), 4).alias("gen1_mean_p95_queue_sec"),
-        rounded(F.col("g_queue_p95"), 4).alias("gen2_mean_p95_queue_sec"),
-        F.col("perf_queue").alias("queue_saturation_check"),
-        X.explain(F.col("perf_queue"), _queue_texts()).alias("queue_saturation_explanation"),
+        "b_exec_n AS gen1_days",
+        "g_exec_n AS gen2_days",
+        "perf_gen1_sec AS gen1_daily_median_sec",
+        "perf_gen2_sec AS gen2_daily_median_sec",
+        "perf_speedup_pct AS speedup_pct",
+        "perf_ci_lower AS speedup_ci_lower_90",
+        "perf_ci_upper AS speedup_ci_upper_90",
+        f"{rounded('exec_t', 3)} AS t_statistic",
+        f"{rounded('exec_df', 1)} AS degrees_of_freedom",
+        "perf_significance AS significance",
+        f"{X.explain('perf_significance', X.PERF_SIGNIFICANCE)} AS significance_explanation",
+        f"{rounded('b_p95', 4)} AS gen1_mean_p95",
+        f"{rounded('g_p95', 4)} AS gen2_mean_p95",
+        f"{rounded('b_p99', 4)} AS gen1_mean_p99",
+        f"{rounded('g_p99', 4)} AS gen2_mean_p99",
+        "perf_tail AS tail_latency_check",
+        f"{X.explain('perf_tail', X.TAIL)} AS tail_latency_explanation",
+        f"{rounded('b_queue_p50', 4)} AS gen1_mean_median_queue_sec",
+        f"{rounded('g_queue_p50', 4)} AS gen2_mean_median_queue_sec",
+        f"{rounded('b_queue_p95', 4)} AS gen1_mean_p95_queue_sec",
+        f"{rounded('g_queue_p95', 4)} AS gen2_mean_p95_queue_sec",
+        "perf_queue AS queue_saturation_check",
+        f"{X.explain('perf_queue', _queue_texts())} AS queue_saturation_explanation",
     )
 
 

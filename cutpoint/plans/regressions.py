@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutpoint.functions import explanations as X
+from cutpoint.functions.dates import day
 from cutpoint.functions.ladders import pattern_status
-from cutpoint.functions.numeric import rounded, speedup_pct
-from cutpoint.operators.compare import PERIODS
+from cutpoint.functions.numeric import rounded, speedup_pct, text
+from cutpoint.operators.compare import PERIODS, per_period
 from cutpoint.operators.daily import seconds
-from cutpoint.operators.patterns import PATTERN
 from cutpoint.operators.quantiles import exact_percentiles
-from cutpoint.operators.scope import did_work, period_label, succeeded
+from cutpoint.operators.scope import DID_WORK, PATTERN, SUCCEEDED, period_label
 from cutpoint.plans.workload import Workload
-from cutpoint.session import settle
+from cutpoint.session import group_by, settle
 
 SAMPLE_LENGTH = 200
 
 
+def _compared_runs(w: Workload) -> DataFrame:
+    """Successful runs of any pattern that did work."""
+    return w.rows.where(f"{DID_WORK} AND {SUCCEEDED} AND {PATTERN} IS NOT NULL")
+
+
 def _compared(w: Workload) -> DataFrame:
     """Patterns with enough runs in both periods: times, ladders and first day; no samples, no order.
 
@@ -28,58 +33,42 @@ def _compared(w: Workload) -> DataFrame:
     cfg = w.cfg
     by = [*cfg.keys, "pattern_hash"]
     least = cfg.thresholds.min_pattern_runs
-    hist = (
-        _compared_runs(w)
-        .select(
-            *by,
-            period_label(cfg).alias("period_type"),
-            F.col("execution_time").cast("long").alias("ms"),
-            "activity_date",
-        )
-        .groupBy(*by, "period_type", "ms")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("activity_date").alias("day"))
+    runs = _compared_runs(w).selectExpr(
+        *cfg.keys,
+        f"{PATTERN} AS pattern_hash",
+        f"{period_label(cfg)} AS period_type",
+        "CAST(execution_time AS BIGINT) AS ms",
+        "activity_date",
     )
-    before = F.col("period_type") == PERIODS["b"]
-    counts = hist.groupBy(*by).agg(
-        *[
-            F.coalesce(F.sum(F.when(F.col("period_type") == label, F.col("n"))), F.lit(0)).alias(f"{s}_n")
-            for s, label in PERIODS.items()
-        ],
-        F.min(F.when(before, F.col("day"))).alias("first_day"),
+    hist = group_by(
+        runs, [*by, "period_type", "ms"], ["count(1) AS n", "min(activity_date) AS first_day"]
+    )
+    first_day, _ = per_period("first_day", "min", "first_day")
+    counts = group_by(hist, by, [*per_period("runs", "sum", "n"), first_day]).where(
+        f"b_runs >= {least} AND g_runs >= {least}"
     )
     found = exact_percentiles(hist, [*by, "period_type"], "ms", [5, 50, 95])
-
-    def pick(side: str, p: int) -> Column:
-        here = F.col("period_type") == PERIODS[side]
-        return rounded(seconds(F.max(F.when(here, F.col(f"p{p}_x100")))), 4).alias(f"{side}_{p}")
-
-    times = found.groupBy(*by).agg(*[pick(s, p) for s in PERIODS for p in (5, 50, 95)])
-    b, g = F.col("b_50"), F.col("g_50")
-    return (
-        counts.filter((F.col("b_n") >= least) & (F.col("g_n") >= least))
-        .join(times, by, "left")
-        .select(
-            *by,
-            F.col("b_n").alias("gen1_count"),
-            F.col("g_n").alias("gen2_count"),
-            b.alias("gen1_median_sec"),
-            g.alias("gen2_median_sec"),
-            rounded(speedup_pct(b, g), 1).alias("speedup_pct"),
-            F.col("b_95").alias("gen1_p95_sec"),
-            F.col("g_95").alias("gen2_p95_sec"),
-            F.col("b_5").alias("gen1_05_sec"),
-            F.col("g_5").alias("gen2_05_sec"),
-            rounded(speedup_pct(F.col("b_95"), F.col("g_95")), 1).alias("p95_speedup_pct"),
-            rounded(F.col("g_n") * F.abs(g - b), 2).alias("impact_score"),
-            pattern_status(b, g).alias("status"),
-            "first_day",
-        )
+    times = group_by(
+        found, by, [a for p in (5, 50, 95) for a in per_period(str(p), "max", f"p{p}_x100")]
+    ).selectExpr(
+        *by,
+        *[f"{rounded(seconds(f'{s}_{p}'), 4)} AS {s}_{p}" for s in PERIODS for p in (5, 50, 95)],
     )
-
-
-def _compared_runs(w: Workload) -> DataFrame:
-    return w.rows.filter(did_work() & succeeded() & F.col(PATTERN).isNotNull()).withColumn(
-        "pattern_hash", F.col(PATTERN)
+    return counts.join(times, by, "left").selectExpr(
+        *by,
+        "b_runs AS gen1_count",
+        "g_runs AS gen2_count",
+        "b_50 AS gen1_median_sec",
+        "g_50 AS gen2_median_sec",
+        f"{rounded(speedup_pct('b_50', 'g_50'), 1)} AS speedup_pct",
+        "b_95 AS gen1_p95_sec",
+        "g_95 AS gen2_p95_sec",
+        "b_5 AS gen1_05_sec",
+        "g_5 AS gen2_05_sec",
+        f"{rounded(speedup_pct('b_95', 'g_95'), 1)} AS p95_speedup_pct",
+        f"{rounded('g_runs * abs(g_50 - b_50)', 2)} AS impact_score",
+        f"{pattern_status('b_50', 'g_50')} AS status",
+        "b_first_day AS first_day",
     )
 
 
@@ -93,29 +82,30 @@ def _with_samples(w: Workload, patterns: DataFrame, *, few: bool) -> DataFrame:
     """
     cfg = w.cfg
     by = [*cfg.keys, "pattern_hash"]
+    on = [*by, "activity_date"]
     # The comparison is always true; as a filter it lets the planner prune by these days.
-    first_days = patterns.filter(F.col("first_day") >= F.lit(cfg.first_day)).select(
-        *by, F.col("first_day").alias("activity_date")
+    first_days = patterns.where(f"first_day >= {day(cfg.first_day)}").selectExpr(
+        *by, "first_day AS activity_date"
     )
-    texts = _compared_runs(w).select(
-        *by,
+    texts = _compared_runs(w).selectExpr(
+        *cfg.keys,
+        f"{PATTERN} AS pattern_hash",
         "activity_date",
-        F.left("query_text", F.lit(SAMPLE_LENGTH)).alias("text"),
-        F.col("warehouse_name").alias("warehouse"),
+        f"left(query_text, {SAMPLE_LENGTH}) AS sample",
+        "warehouse_name AS warehouse",
     )
-    on = [*by, "activity_date"]
-    sample = [F.min("text").alias("sample_query"), F.min("warehouse").alias("sample_warehouse")]
+    sample = ["min(sample) AS sample_query", "min(warehouse) AS sample_warehouse"]
     if few:
-        samples = texts.join(F.broadcast(first_days), on).groupBy(*by).agg(*sample)
+        samples = group_by(texts.join(F.broadcast(first_days), on), by, sample)
     else:
-        samples = texts.groupBy(*on).agg(*sample).join(first_days, on).drop("activity_date")
+        samples = group_by(texts, on, sample).join(first_days, on).drop("activity_date")
     columns = [c for c in patterns.columns if c not in (*by, "first_day")]
-    return patterns.join(samples, by, "left").select(
+    return patterns.join(samples, by, "left").selectExpr(
         *by,
         "sample_query",
         "sample_warehouse",
         *columns,
-        X.explain(F.col("status"), X.PATTERN_STATUS).alias("status_explanation"),
+        f"{X.explain('status', X.PATTERN_STATUS)} AS status_explanation",
     )
 
 
@@ -134,5 +124,5 @@ def pattern_regressions(w: Workload) -> DataFrame:
 def top_patterns(w: Workload, status: str, limit: int = 20) -> DataFrame:
     """The patterns of one status with the largest impact. Samples are fetched for those only."""
     order = [F.desc("impact_score"), F.asc("pattern_hash")]
-    top = settle(_compared(w).filter(F.col("status") == status).orderBy(*order).limit(limit))
+    top = settle(_compared(w).where(f"status = {text(status)}").orderBy(*order).limit(limit))
     return _with_samples(w, top, few=True).orderBy(*order)

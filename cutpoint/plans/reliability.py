@@ -2,115 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from cutpoint.config import GEN2, Thresholds
+from cutpoint.config import GEN2
 from cutpoint.functions import explanations as X
 from cutpoint.functions import labels as L
-from cutpoint.functions.ladders import error_trend, reliability as reliability_status
-from cutpoint.functions.numeric import percent, ratio, rounded
+from cutpoint.functions.dates import day
+from cutpoint.functions.ladders import error_trend
+from cutpoint.functions.ladders import reliability as reliability_status
+from cutpoint.functions.numeric import percent, ratio, rounded, shown
 from cutpoint.functions.welch import INSUFFICIENT_DF, drop_significance
-from cutpoint.operators.cells import EXEC
-from cutpoint.operators.compare import in_both_periods, moments, per_period, with_welch
-from cutpoint.operators.daily import daily_counts, with_calendar
-from cutpoint.operators.scope import failed, period_label, succeeded
+from cutpoint.operators.compare import add, in_both_periods, moments, per_period, with_welch
+from cutpoint.operators.scope import FAILED, SUCCEEDED, period_label
 from cutpoint.plans.workload import Workload
+from cutpoint.session import group_by
 
 SAMPLE_LENGTH = 200
 
 
 def success_daily(w: Workload) -> DataFrame:
-    """Success rate of every run of each day: a cached success is a success."""
-    days = with_calendar(daily_counts(_status_cells(w), w.cfg), w.cfg)
-    return days.select(
+    """Success rate of every run of each day: a cached success is a success. One narrow pass."""
+    days = group_by(
+        w.rows,
+        [*w.cfg.keys, "activity_date"],
+        ["count(1) AS total_queries", f"count_if({SUCCEEDED}) AS success_count"],
+    )
+    return days.selectExpr(
         *w.cfg.keys,
         "activity_date",
-        "period_type",
+        f"{period_label(w.cfg)} AS period_type",
         "total_queries",
         "success_count",
-        rounded(percent(F.col("success_count"), F.col("total_queries")), 4).alias(
-            "daily_success_rate_pct"
-        ),
-    )
-
-
-def _status_cells(w: Workload) -> DataFrame:
-    """Cells of the whole workload need no pattern marks here: one pass over two columns."""
-
-    no = F.lit(False)
-    return (
-        w.rows.groupBy(*w.cfg.keys, "activity_date", succeeded().alias("is_success"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(
-            "*",
-            F.lit(EXEC).alias("measure"),
-            no.alias("is_pattern"),
-            no.alias("is_live"),
-            no.alias("is_cached"),
-        )
+        f"{rounded(percent('success_count', 'total_queries'), 4)} AS daily_success_rate_pct",
     )
 
 
-def reliability_moments() -> list[Column]:
+def reliability_moments() -> list[str]:
     """Period aggregates over days behind the reliability test."""
     return [
-        *moments("rate", F.col("daily_success_rate_pct")),
-        *per_period("total", F.sum, F.col("total_queries")),
-        *per_period("success", F.sum, F.col("success_count")),
+        *moments("rate", "daily_success_rate_pct"),
+        *per_period("total", "sum", "total_queries"),
+        *per_period("success", "sum", "success_count"),
     ]
 
 
-def reliability_present() -> Column:
+def reliability_present() -> str:
     return in_both_periods("rate_n")
 
 
-def with_reliability_results(df: DataFrame, limits: Thresholds) -> DataFrame:
-    """Add the results to a row of ``reliability_moments``, as rel_* columns. The rates are those
-    of the period totals, not means of daily rates."""
-    return (
-        with_welch(df, "rate")
-        .withColumns(
-            {
-                "rel_b": percent(F.col("b_success"), F.col("b_total")),
-                "rel_g": percent(F.col("g_success"), F.col("g_total")),
-            }
-        )
-        .withColumns(
-            {
-                "rel_gen1_rate": rounded(F.col("rel_b"), 4),
-                "rel_gen2_rate": rounded(F.col("rel_g"), 4),
-                "rel_diff_pp": rounded(F.col("rel_g") - F.col("rel_b"), 4),
-                "rel_status": reliability_status(
-                    F.col("rate_t"), F.col("rate_df"), F.col("rel_b"), F.col("rel_g"), limits
-                ),
-            }
-        )
-    )
+def reliability_rates() -> dict[str, str]:
+    """Success rates of the period totals (not means of daily rates)."""
+    return {f"rel_{s}": percent(f"{s}_success", f"{s}_total") for s in ("b", "g")}
 
 
-def _failure_change() -> Column:
-    b, g = F.col("rel_b"), F.col("rel_g")
-    return ratio(b - g, F.lit(100.0) - b) * F.lit(100.0)
+def reliability_results(limits) -> dict[str, str]:
+    """Over ``reliability_rates`` with the rate test added."""
+    return {
+        "rel_gen1_rate": rounded("rel_b", 4),
+        "rel_gen2_rate": rounded("rel_g", 4),
+        "rel_diff_pp": rounded("rel_g - rel_b", 4),
+        "rel_status": reliability_status("rate_t", "rate_df", "rel_b", "rel_g", limits),
+    }
 
 
-def _reliability_texts() -> dict[str, str | Column]:
-    rates = F.concat(
-        F.lit("success rate "),
-        X.number(F.col("rel_b"), 2),
-        F.lit("% → "),
-        X.number(F.col("rel_g"), 2),
-        F.lit("%"),
-    )
-    change = F.coalesce(X.number(_failure_change(), 1), F.lit("n/a"))
+FAILURE_CHANGE = f"{ratio('(rel_b - rel_g)', '(100D - rel_b)')} * 100D"
+
+
+def _reliability_texts() -> dict[str, str]:
+    rates = f"'success rate ', {shown('rel_b', 2)}, '% → ', {shown('rel_g', 2)}, '%'"
+    change = f"coalesce({shown(FAILURE_CHANGE, 1)}, 'n/a')"
     return {
         INSUFFICIENT_DF: "Too few days for a test of daily success rates.",
-        L.DEGRADED: F.concat(
-            F.lit("Fails clearly more often: "), rates, F.lit(", failure rate change "), change,
-            F.lit("%. See the error analysis."),
-        ),
-        L.MINOR_05: F.concat(F.lit("Fails slightly but significantly more often: "), rates, F.lit(".")),
-        L.MINOR_10: F.concat(F.lit("May fail more often (10% level only): "), rates, F.lit(".")),
+        L.DEGRADED: f"concat('Fails clearly more often: ', {rates}, ', failure rate change ', {change},"
+        " '%. See the error analysis.')",
+        L.MINOR_05: f"concat('Fails slightly but significantly more often: ', {rates}, '.')",
+        L.MINOR_10: f"concat('May fail more often (10% level only): ', {rates}, '.')",
         L.NO_DEGRADATION: "No significant fall of the daily success rate.",
     }
 
@@ -118,30 +84,27 @@ def _reliability_texts() -> dict[str, str | Column]:
 def reliability(w: Workload) -> DataFrame:
     """Reliability test: one row (per key). Empty unless both periods have runs."""
     cfg = w.cfg
-    found = with_reliability_results(
-        success_daily(w).groupBy(*cfg.keys).agg(*reliability_moments()).filter(reliability_present()),
-        cfg.thresholds,
-    )
-    b, g = F.col("rel_b"), F.col("rel_g")
-    return found.select(
-        F.lit("RELIABILITY").alias("metric_category"),
+    found = group_by(success_daily(w), [*cfg.keys], reliability_moments()).where(reliability_present())
+    found = add(with_welch(add(found, reliability_rates()), "rate"), reliability_results(cfg.thresholds))
+    return found.selectExpr(
+        "'RELIABILITY' AS metric_category",
         *cfg.keys,
-        F.col("b_total").alias("n_gen1"),
-        F.col("g_total").alias("n_gen2"),
-        F.col("rel_gen1_rate").alias("gen1_success_rate"),
-        F.col("rel_gen2_rate").alias("gen2_success_rate"),
-        F.col("rel_diff_pp").alias("success_rate_diff_pp"),
-        rounded(F.lit(100.0) - b, 4).alias("gen1_failure_rate_pct"),
-        rounded(F.lit(100.0) - g, 4).alias("gen2_failure_rate_pct"),
-        rounded(b - g, 4).alias("failure_rate_diff_pp"),
-        rounded(_failure_change(), 1).alias("failure_rate_change_pct"),
-        F.col("b_rate_n").alias("gen1_days"),
-        F.col("g_rate_n").alias("gen2_days"),
-        rounded(F.col("rate_t"), 3).alias("t_statistic"),
-        rounded(F.col("rate_df"), 1).alias("degrees_of_freedom"),
-        drop_significance(F.col("rate_t"), F.col("rate_df")).alias("significance"),
-        F.col("rel_status").alias("reliability_status"),
-        X.explain(F.col("rel_status"), _reliability_texts()).alias("reliability_explanation"),
+        "b_total AS n_gen1",
+        "g_total AS n_gen2",
+        "rel_gen1_rate AS gen1_success_rate",
+        "rel_gen2_rate AS gen2_success_rate",
+        "rel_diff_pp AS success_rate_diff_pp",
+        f"{rounded('100D - rel_b', 4)} AS gen1_failure_rate_pct",
+        f"{rounded('100D - rel_g', 4)} AS gen2_failure_rate_pct",
+        f"{rounded('rel_b - rel_g', 4)} AS failure_rate_diff_pp",
+        f"{rounded(FAILURE_CHANGE, 1)} AS failure_rate_change_pct",
+        "b_rate_n AS gen1_days",
+        "g_rate_n AS gen2_days",
+        f"{rounded('rate_t', 3)} AS t_statistic",
+        f"{rounded('rate_df', 1)} AS degrees_of_freedom",
+        f"{drop_significance('rate_t', 'rate_df')} AS significance",
+        "rel_status AS reliability_status",
+        f"{X.explain('rel_status', _reliability_texts())} AS reliability_explanation",
     )
 
 
@@ -149,74 +112,66 @@ def error_analysis(w: Workload) -> DataFrame:
     """Error statuses seen after the change, against before.
 
     One pass reduces the runs to (day, status) counts; totals and errors of both periods are read
-    off those. Sample texts come from a second pass over each status's first day only, so the wide
-    text column is not read for the whole window.
+    off those. Sample texts come from a second pass over each status's first day only: the join on
+    the partition column prunes the scan at run time, so the wide text column of the other days is
+    not read.
     """
     cfg = w.cfg
     keys = [*cfg.keys]
-    days = (
-        w.rows.groupBy(*keys, "activity_date", "execution_status")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("period_type", period_label(cfg))
-    )
-    totals = days.groupBy(*keys).agg(
-        *per_period("total", F.sum, F.col("n")),
-        *per_period("days", F.count_distinct, F.col("activity_date")),
+    days = group_by(
+        w.rows, [*keys, "activity_date", "execution_status"], ["count(1) AS n"]
+    ).selectExpr("*", f"{period_label(cfg)} AS period_type")
+    totals = group_by(
+        group_by(days, [*keys, "activity_date", "period_type"], ["sum(n) AS n"]),
+        keys,
+        [*per_period("total", "sum", "n"), *per_period("days", "count", "1")],
     )
-    after_day = F.when(F.col("period_type") == GEN2, F.col("activity_date"))
-    errors = (
-        days.filter(failed())
-        .groupBy(*keys, "execution_status")
-        .agg(
-            *per_period("errors", F.sum, F.col("n")),
-            F.min(after_day).alias("first_seen"),
-            F.max(after_day).alias("last_seen"),
-        )
-        .filter(F.col("g_errors").isNotNull())
+    errors = group_by(
+        days.where(FAILED),
+        [*keys, "execution_status"],
+        [
+            *per_period("errors", "sum", "n"),
+            f"min(CASE WHEN period_type = '{GEN2}' THEN activity_date END) AS first_seen",
+            f"max(CASE WHEN period_type = '{GEN2}' THEN activity_date END) AS last_seen",
+        ],
+    ).where("g_errors IS NOT NULL")
+    on = [*keys, "execution_status", "activity_date"]
+    first_days = errors.where(f"first_seen >= {day(cfg.cutover)}").selectExpr(
+        *keys, "execution_status", "first_seen AS activity_date"
     )
-    # Equality on the partition column lets Spark prune to the first days at run time.
-    first_days = errors.select(*keys, "execution_status", F.col("first_seen").alias("activity_date"))
+    texts = w.rows.where(FAILED).selectExpr(*on, f"left(query_text, {SAMPLE_LENGTH}) AS sample")
     samples = (
-        w.rows.filter(failed())
-        .select(
-            *keys, "execution_status", "activity_date", F.left("query_text", F.lit(SAMPLE_LENGTH)).alias("text")
-        )
-        .groupBy(*keys, "execution_status", "activity_date")
-        .agg(F.min("text").alias("sample_query"))
-        .join(first_days, [*keys, "execution_status", "activity_date"])
-        .drop("activity_date")
+        group_by(texts, on, ["min(sample) AS sample_query"]).join(first_days, on).drop("activity_date")
     )
     joined = errors.join(totals, keys) if keys else errors.crossJoin(totals)
     joined = joined.join(samples, [*keys, "execution_status"], "left")
-
-    b_errors = F.coalesce("b_errors", F.lit(0))
-    b_rate, g_rate = ratio(b_errors, F.col("b_total")), ratio(F.col("g_errors"), F.col("g_total"))
-    trend = error_trend(F.col("b_errors").isNull(), F.col("b_rate"), F.col("g_rate"))
-    return (
-        joined.withColumns({"b_rate": b_rate, "g_rate": g_rate})
-        .select(
-            *keys,
-            "execution_status",
-            b_errors.alias("gen1_error_count"),
-            F.col("g_errors").alias("gen2_error_count"),
-            rounded(ratio(b_errors * 1000, F.col("b_total")), 4).alias("gen1_errors_per_1000_queries"),
-            rounded(ratio(F.col("g_errors") * 1000, F.col("g_total")), 4).alias(
-                "gen2_errors_per_1000_queries"
-            ),
-            rounded(ratio(F.col("g_rate") - F.col("b_rate"), F.col("b_rate")) * 100, 1).alias(
-                "per_query_rate_change_pct"
-            ),
-            rounded(ratio(b_errors, F.col("b_days")), 2).alias("gen1_errors_per_day"),
-            rounded(ratio(F.col("g_errors"), F.col("g_days")), 2).alias("gen2_errors_per_day"),
-            F.coalesce("b_total", F.lit(0)).alias("gen1_total_queries"),
-            F.col("g_total").alias("gen2_total_queries"),
-            rounded(ratio(F.col("g_total"), F.col("g_days")), 1).alias("gen2_queries_per_day"),
-            rounded(ratio(F.col("b_total"), F.col("b_days")), 1).alias("gen1_queries_per_day"),
-            "first_seen",
-            "last_seen",
-            "sample_query",
-            trend.alias("error_trend"),
-            X.explain(trend, X.ERROR_TREND).alias("error_trend_explanation"),
-        )
-        .orderBy(*keys, F.desc("gen2_errors_per_1000_queries"), "execution_status")
-    )
+    rates = {
+        "b_count": "coalesce(b_errors, 0)",
+        "b_rate": ratio("coalesce(b_errors, 0)", "b_total"),
+        "g_rate": ratio("g_errors", "g_total"),
+        "error_trend": error_trend(
+            "b_errors IS NULL",
+            ratio("coalesce(b_errors, 0)", "b_total"),
+            ratio("g_errors", "g_total"),
+        ),
+    }
+    return add(joined, rates).selectExpr(
+        *keys,
+        "execution_status",
+        "b_count AS gen1_error_count",
+        "g_errors AS gen2_error_count",
+        f"{rounded(ratio('b_count * 1000D', 'b_total'), 4)} AS gen1_errors_per_1000_queries",
+        f"{rounded(ratio('g_errors * 1000D', 'g_total'), 4)} AS gen2_errors_per_1000_queries",
+        f"{rounded(percent('g_rate - b_rate', 'b_rate'), 1)} AS per_query_rate_change_pct",
+        f"{rounded(ratio('b_count', 'b_days'), 2)} AS gen1_errors_per_day",
+        f"{rounded(ratio('g_errors', 'g_days'), 2)} AS gen2_errors_per_day",
+        "coalesce(b_total, 0) AS gen1_total_queries",
+        "g_total AS gen2_total_queries",
+        f"{rounded(ratio('g_total', 'g_days'), 1)} AS gen2_queries_per_day",
+        f"{rounded(ratio('b_total', 'b_days'), 1)} AS gen1_queries_per_day",
+        "first_seen",
+        "last_seen",
+        "sample_query",
+        "error_trend",
+        f"{X.explain('error_trend', X.ERROR_TREND)} AS error_trend_explanation",
+    ).orderBy(*keys, "gen2_errors_per_1000_queries", "execution_status", ascending=[True] * len(keys) + [False, True])

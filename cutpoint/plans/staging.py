@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.errors import AnalysisException
 
 from cutpoint.config import Config, utc_today
-from cutpoint.functions.dates import day_literal, time_dimensions, utc_wall_clock
+from cutpoint.functions.dates import day, midnight, time_dimensions, utc_time, utc_wall_clock
 from cutpoint.operators.scope import in_scope, period_label
 from cutpoint.sources.schema import (
     METERING,
@@ -19,46 +18,52 @@ from cutpoint.sources.schema import (
     conform,
     read_staged,
 )
+from cutpoint.session import group_by
 
 EPOCH = datetime(1970, 1, 1)
 
 
-def stage_rows(source: DataFrame, cfg: Config, schema, as_of=None, since: datetime | None = None, *,
-               inclusive: bool = False) -> DataFrame:
+def _stage(
+    source: DataFrame,
+    schema,
+    cfg: Config,
+    as_of: datetime | date | None,
+    since: datetime | None,
+    *,
+    inclusive: bool,
+) -> DataFrame:
     """Source rows in scope, of complete UTC days, with UTC times and calendar columns.
 
     From the start of the first week when ``since`` is None, else from that UTC time on. The time
     limits are literals on the raw column, so a source sorted or partitioned by it skips data.
     """
     source = conform(source, schema)
-    raw = F.col("start_time")
-    if since is None:
-        lower = raw >= day_literal(source, "start_time", cfg.staging_start)
-    else:
-        mark = F.lit(since.isoformat(sep=" ")).cast("timestamp_ntz")
-        at = utc_wall_clock(source, "start_time")
-        after = at >= mark if inclusive else at > mark
-        lower = (raw >= day_literal(source, "start_time", since.date())) & after
-    start = F.col("start_time")
-    return (
-        source.filter(
-            in_scope(cfg)
-            & F.col("warehouse_name").isNotNull()
-            & lower
-            & (raw < day_literal(source, "start_time", utc_today(as_of)))
-        )
-        .withColumns({c: utc_wall_clock(source, c) for c in ("start_time", "end_time")})
-        .withColumns(time_dimensions(start))
-        .withColumn("last_inserted_at", F.localtimestamp())
+    start = utc_wall_clock(source, "start_time")
+    first = cfg.staging_start if since is None else since.date()
+    conditions = [
+        in_scope(cfg),
+        "warehouse_name IS NOT NULL",
+        f"start_time >= {midnight(source, 'start_time', first)}",
+        f"start_time < {midnight(source, 'start_time', utc_today(as_of))}",
+    ]
+    if since is not None:
+        conditions.append(f"{start} {'>=' if inclusive else '>'} {utc_time(since)}")
+    times = {c: utc_wall_clock(source, c) for c in ("start_time", "end_time")}
+    return source.where(" AND ".join(conditions)).selectExpr(
+        *[f"{times.get(c, c)} AS {c}" for c in source.columns],
+        *[f"{expression} AS {name}" for name, expression in time_dimensions(start).items()],
+        "localtimestamp() AS last_inserted_at",
     )
 
 
 def stage_query_rows(source: DataFrame, cfg: Config, as_of=None, since=None) -> DataFrame:
-    return stage_rows(source, cfg, QUERY_HISTORY_SOURCE, as_of, since)
+    """Query history: rows that start after ``since``."""
+    return _stage(source, QUERY_HISTORY_SOURCE, cfg, as_of, since, inclusive=False)
 
 
 def stage_metering_rows(source: DataFrame, cfg: Config, as_of=None, since=None) -> DataFrame:
-    return stage_rows(source, cfg, METERING_SOURCE, as_of, since, inclusive=True)
+    """Metering: rows that start at ``since`` or later."""
+    return _stage(source, METERING_SOURCE, cfg, as_of, since, inclusive=True)
 
 
 def _write(rows: DataFrame, path: str, sort_by: list[str], mode: str, overwrite: str = "static") -> None:
@@ -93,11 +98,11 @@ def high_water_mark(staged: DataFrame) -> datetime:
     The latest day is found first: it needs only the partition column, so the start times of one
     day are read instead of the whole table's.
     """
-    latest_day = staged.agg(F.max("activity_date")).first()[0]
+    latest_day = group_by(staged, [], ["max(activity_date)"]).first()[0]
     if latest_day is None:
         return EPOCH
-    latest = staged.filter(F.col("activity_date") == F.lit(latest_day)).agg(F.max("start_time"))
-    return latest.first()[0] or EPOCH
+    latest = staged.where(f"activity_date = {day(latest_day)}")
+    return group_by(latest, [], ["max(start_time)"]).first()[0] or EPOCH
 
 
 def _staged(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -124,7 +129,7 @@ def append_query_history(
         rows = stage_query_rows(source, cfg, as_of)
     elif overlap_days:
         since = mark - timedelta(days=overlap_days)
-        known = staged.filter(F.col("activity_date") >= F.lit(since.date())).select("query_id")
+        known = staged.where(f"activity_date >= {day(since.date())}").select("query_id")
         rows = stage_query_rows(source, cfg, as_of, since).join(known, "query_id", "left_anti")
         rows = rows.select(*[f.name for f in QUERY_HISTORY.fields])
     else:
@@ -144,9 +149,8 @@ def reload_metering(source: DataFrame, path: str, cfg: Config, as_of=None) -> No
     if mark == EPOCH:
         _write(stage_metering_rows(source, cfg, as_of), path, [], "append")
         return
-    kept = staged.filter(
-        (F.col("activity_date") == F.lit(mark.date()))
-        & (F.col("start_time") < F.lit(mark.isoformat(sep=" ")).cast("timestamp_ntz"))
+    kept = staged.where(
+        f"activity_date = {day(mark.date())} AND start_time < {utc_time(mark)}"
     )
     rows = kept.unionByName(stage_metering_rows(source, cfg, as_of, mark))
     _write(rows, path, [], "overwrite", "dynamic")
@@ -156,15 +160,8 @@ def coverage(query_history: DataFrame, metering: DataFrame, cfg: Config) -> Data
     """Days and latest day per staged table and period. Reads the partition column only."""
 
     def of(table: DataFrame, source: str) -> DataFrame:
-        return (
-            table.select("activity_date", period_label(cfg).alias("period_type"))
-            .groupBy("period_type")
-            .agg(
-                F.count_distinct("activity_date").alias("days_covered"),
-                F.max("activity_date").alias("last_date"),
-            )
-            .select(F.lit(source).alias("source"), "*")
-        )
+        days = table.selectExpr("activity_date", f"{period_label(cfg)} AS period_type")
+        aggregates = ["count(DISTINCT activity_date) AS days_covered", "max(activity_date) AS last_date"]
+        return group_by(days, ["period_type"], aggregates).selectExpr(f"'{source}' AS source", "*")
 
     return of(query_history, "qh").unionByName(of(metering, "wh")).orderBy("source", "period_type")
-

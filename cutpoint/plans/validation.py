@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutpoint.functions import explanations as X
 from cutpoint.functions.ladders import data_sufficiency
 from cutpoint.functions.numeric import percent, rounded
-from cutpoint.operators.compare import per_period
+from cutpoint.operators.compare import add, per_period
 from cutpoint.operators.daily import daily_counts, with_calendar
 from cutpoint.operators.scope import in_scope, in_window, period_label
 from cutpoint.plans.workload import Workload
+from cutpoint.session import group_by
 
 
 def data_validation(w: Workload) -> DataFrame:
@@ -19,63 +20,65 @@ def data_validation(w: Workload) -> DataFrame:
     cfg = w.cfg
     keys = [*cfg.keys]
     by = [*keys, "period_type"]
-    days = with_calendar(daily_counts(w.cells, cfg), cfg)
-    per_day = days.groupBy(*by).agg(
-        F.count("activity_date").alias("query_days"),
-        F.sum("total_queries").alias("total_queries"),
-        F.sum("success_count").alias("successful_queries"),
-        F.min("activity_date").alias("first_date"),
-        F.max("activity_date").alias("last_date"),
-        F.sum("pattern_queries").alias("pattern_queries"),
-        F.sum("cached_queries").alias("cached_queries"),
+    per_day = group_by(
+        with_calendar(daily_counts(w.cells, cfg), cfg),
+        by,
+        [
+            "count(activity_date) AS query_days",
+            "sum(total_queries) AS total_queries",
+            "sum(success_count) AS successful_queries",
+            "min(activity_date) AS first_date",
+            "max(activity_date) AS last_date",
+            "sum(pattern_queries) AS pattern_queries",
+            "sum(cached_queries) AS cached_queries",
+        ],
     )
-    warehouses = (
-        w.rows.select(*keys, period_label(cfg).alias("period_type"), F.col("warehouse_name").alias("name"))
-        .groupBy(*by)
-        .agg(F.count_distinct("name").alias("warehouse_count"))
+    warehouses = group_by(
+        w.rows.selectExpr(*keys, f"{period_label(cfg)} AS period_type", "warehouse_name AS name"),
+        by,
+        ["count(DISTINCT name) AS warehouse_count"],
     )
-    credits = (
-        w.metering.filter(in_window(cfg) & in_scope(cfg))
-        .groupBy(*keys, period_label(cfg).alias("period_type"))
-        .agg(F.round(F.sum("credits_used"), 2).cast("double").alias("total_credits"))
+    credits = group_by(
+        w.metering.where(f"{in_window(cfg)} AND {in_scope(cfg)}").selectExpr(
+            *keys, f"{period_label(cfg)} AS period_type", "credits_used"
+        ),
+        by,
+        ["CAST(round(sum(credits_used), 2) AS DOUBLE) AS total_credits"],
     )
-    patterns = w.matched_patterns.groupBy(*keys).agg(F.count("pattern_hash").alias("common_patterns"))
+    patterns = group_by(w.matched_patterns, keys, ["count(pattern_hash) AS common_patterns"])
     joined = per_day.join(warehouses, by, "left").join(credits, by, "left")
     joined = joined.join(patterns, keys, "left") if keys else joined.crossJoin(patterns)
-    total = F.col("total_queries")
-    label = data_sufficiency(F.col("period_type"), F.col("query_days"))
-    return joined.select(
+    label = {"data_sufficiency": data_sufficiency("period_type", "query_days")}
+    return add(joined, label).selectExpr(
         *by,
         "query_days",
         "warehouse_count",
         "total_queries",
         "successful_queries",
-        rounded(percent(F.col("successful_queries"), total), 2).alias("success_rate_pct"),
+        f"{rounded(percent('successful_queries', 'total_queries'), 2)} AS success_rate_pct",
         "first_date",
         "last_date",
         "total_credits",
-        F.coalesce("common_patterns", F.lit(0)).alias("common_patterns"),
-        rounded(percent(F.col("pattern_queries"), total), 1).alias("pattern_coverage_pct"),
+        "coalesce(common_patterns, 0) AS common_patterns",
+        f"{rounded(percent('pattern_queries', 'total_queries'), 1)} AS pattern_coverage_pct",
         "cached_queries",
-        rounded(percent(F.col("cached_queries"), total), 1).alias("cache_hit_rate_pct"),
-        label.alias("data_sufficiency"),
-        X.explain(label, X.SUFFICIENCY).alias("data_sufficiency_explanation"),
+        f"{rounded(percent('cached_queries', 'total_queries'), 1)} AS cache_hit_rate_pct",
+        "data_sufficiency",
+        f"{X.explain('data_sufficiency', X.SUFFICIENCY)} AS data_sufficiency_explanation",
     ).orderBy(*keys, F.desc("period_type"))
 
 
-def volume_moments() -> list[Column]:
+def volume_moments() -> list[str]:
     """The period figures that the decision takes from the validation."""
     return [
-        *per_period("query_days", F.count, F.col("total_queries")),
-        *per_period("all_queries", F.sum, F.col("total_queries")),
-        *per_period("matched_queries", F.sum, F.col("pattern_queries")),
+        *per_period("query_days", "count", "total_queries"),
+        *per_period("all_queries", "sum", "total_queries"),
+        *per_period("matched_queries", "sum", "pattern_queries"),
     ]
 
 
-def with_volume_results(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        {
-            f"{s}_coverage": rounded(percent(F.col(f"{s}_matched_queries"), F.col(f"{s}_all_queries")), 1)
-            for s in ("b", "g")
-        }
-    )
+def volume_results() -> dict[str, str]:
+    return {
+        f"{s}_coverage": rounded(percent(f"{s}_matched_queries", f"{s}_all_queries"), 1)
+        for s in ("b", "g")
+    }

@@ -6,13 +6,12 @@ from contextlib import contextmanager
 from functools import cached_property
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from cutpoint.config import Config
 from cutpoint.operators.cells import workload_cells
 from cutpoint.operators.daily import daily_metering, daily_queries, with_calendar, with_cost
-from cutpoint.operators.patterns import PATTERN, mark_matched, matched_only, pattern_presence
-from cutpoint.operators.scope import in_scope, in_window
+from cutpoint.operators.patterns import mark_matched, matched_only, pattern_presence
+from cutpoint.operators.scope import PATTERN, in_scope, in_window
 from cutpoint.session import settle
 
 
@@ -32,7 +31,7 @@ class Workload:
     @property
     def rows(self) -> DataFrame:
         """Query history in window and scope."""
-        return self.query_history.filter(in_window(self.cfg) & in_scope(self.cfg))
+        return self.query_history.where(f"{in_window(self.cfg)} AND {in_scope(self.cfg)}")
 
     @cached_property
     def presence(self) -> DataFrame:
@@ -41,9 +40,7 @@ class Workload:
 
     @property
     def matched_patterns(self) -> DataFrame:
-        return matched_only(self.presence).select(
-            *self.cfg.keys, F.col(PATTERN).alias("pattern_hash")
-        )
+        return matched_only(self.presence).selectExpr(*self.cfg.keys, f"{PATTERN} AS pattern_hash")
 
     @cached_property
     def marked_rows(self) -> DataFrame:
@@ -109,8 +106,8 @@ class Workload:
         kept.__dict__["cells"] = kept.__dict__["cells_with_queue"] = cells
         days = kept.all_days.persist()
         kept.__dict__["all_days"] = kept.__dict__["cost_days"] = days
-        kept.__dict__["query_days"] = kept.__dict__["queue_days"] = days.filter(
-            F.col("total_queries").isNotNull()
+        kept.__dict__["query_days"] = kept.__dict__["queue_days"] = days.where(
+            "total_queries IS NOT NULL"
         )
         try:
             yield kept

@@ -43,3 +43,20 @@ def settle(df: DataFrame) -> DataFrame:
     if shared_folder(df.sparkSession) is None:
         return df.persist()
     return df.checkpoint(eager=True)
+
+
+def query(statement: str, **tables: DataFrame) -> DataFrame:
+    """Spark SQL over DataFrames, named in braces in the statement."""
+    spark = next(iter(tables.values())).sparkSession
+    return spark.sql(statement, **tables)
+
+
+def listed(*columns: str) -> str:
+    """A SQL column list."""
+    return ", ".join(columns)
+
+
+def group_by(df: DataFrame, by: list[str], aggregates: list[str]) -> DataFrame:
+    """GROUP BY with aggregates given as SQL; one row without ``by``, even for no input."""
+    clause = f" GROUP BY {listed(*by)}" if by else ""
+    return query(f"SELECT {listed(*by, *aggregates)} FROM {{df}}{clause}", df=df)

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from cutpoint.config import Config
-from cutpoint.sources.schema import CREDITS, METERING_SOURCE, QUERY_HISTORY_SOURCE, conform
+from cutpoint.sources.schema import METERING_SOURCE, QUERY_HISTORY_SOURCE, conform
 
 # Binding A: one month of events with times within the day.
 EVENTS_CONFIG = Config(cutover=date(2024, 1, 16), lookback_days=15, lookahead_days=14)
@@ -20,74 +19,65 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _warehouse(key: str) -> Column:
-    return F.concat(F.lit("ANALYTICS_"), F.pmod(F.col(key), F.lit(4)).cast("string"))
-
-
-def _milliseconds(x: Column) -> Column:
-    return F.round(x).cast("long")
-
-
 def events_query_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_type")
-    k = F.get_json_object("props", "$.k")
-    rows = _table(spark, sf_dir, "events").select(
-        F.col("event_id").cast("string").alias("query_id"),
-        F.concat(kind, F.lit(" "), k).alias("query_text"),
-        k.alias("query_parameterized_hash"),
-        F.col("ts").alias("start_time"),
-        F.col("ts").alias("end_time"),
-        _milliseconds(F.col("value") * 1000).alias("execution_time"),
-        _warehouse("user_id").alias("warehouse_name"),
-        F.when(kind != "error", "SUCCESS")
-        .when(k.cast("int") < 10, "INCIDENT")
-        .otherwise("FAIL")
-        .alias("execution_status"),
-        F.when(kind == "view", F.lit(0)).otherwise(F.col("event_id") + 1).alias("bytes_scanned"),
-        (k.cast("long") * 10).alias("queued_overload_time"),
-        F.when(kind != "click", F.lit(0)).alias("queued_provisioning_time"),
-        F.lit(0).alias("queued_repair_time"),
+    rows = _table(spark, sf_dir, "events").selectExpr("*", "get_json_object(props, '$.k') AS k")
+    return conform(
+        rows.selectExpr(
+            "CAST(event_id AS STRING) AS query_id",
+            "concat(event_type, ' ', k) AS query_text",
+            "k AS query_parameterized_hash",
+            "ts AS start_time",
+            "ts AS end_time",
+            "CAST(round(value * 1000) AS BIGINT) AS execution_time",
+            "concat('ANALYTICS_', user_id % 4) AS warehouse_name",
+            "CASE WHEN event_type != 'error' THEN 'SUCCESS'"
+            " WHEN CAST(k AS INT) < 10 THEN 'INCIDENT' ELSE 'FAIL' END AS execution_status",
+            "CASE WHEN event_type = 'view' THEN 0 ELSE event_id + 1 END AS bytes_scanned",
+            "CAST(k AS BIGINT) * 10 AS queued_overload_time",
+            "CASE WHEN event_type != 'click' THEN 0 END AS queued_provisioning_time",
+            "0 AS queued_repair_time",
+        ),
+        QUERY_HISTORY_SOURCE,
     )
-    return conform(rows, QUERY_HISTORY_SOURCE)
 
 
 def events_metering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = (
-        _table(spark, sf_dir, "events")
-        .filter(F.col("event_type") == "purchase")
-        .select(
-            F.col("ts").alias("start_time"),
-            F.col("ts").alias("end_time"),
-            _warehouse("user_id").alias("warehouse_name"),
-            F.col("value").cast(CREDITS).alias("credits_used"),
-        )
+    rows = _table(spark, sf_dir, "events").where("event_type = 'purchase'")
+    return conform(
+        rows.selectExpr(
+            "ts AS start_time",
+            "ts AS end_time",
+            "concat('ANALYTICS_', user_id % 4) AS warehouse_name",
+            "CAST(value AS DECIMAL(38,9)) AS credits_used",
+        ),
+        METERING_SOURCE,
     )
-    return conform(rows, METERING_SOURCE)
 
 
 def orders_query_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quantity = F.col("l_quantity")
-    rows = _table(spark, sf_dir, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("query_id"),
-        F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("query_text"),
-        F.col("l_suppkey").cast("string").alias("query_parameterized_hash"),
-        F.col("l_shipdate").alias("start_time"),
-        F.col("l_shipdate").alias("end_time"),
-        _milliseconds(F.col("l_extendedprice")).alias("execution_time"),
-        _warehouse("l_orderkey").alias("warehouse_name"),
-        F.when(F.col("l_returnflag") == "R", "FAIL").otherwise("SUCCESS").alias("execution_status"),
-        F.when(quantity <= 5, F.lit(0)).otherwise(_milliseconds(quantity)).alias("bytes_scanned"),
+    return conform(
+        _table(spark, sf_dir, "lineitem").selectExpr(
+            "concat(l_orderkey, '-', l_linenumber) AS query_id",
+            "concat('part ', l_partkey) AS query_text",
+            "CAST(l_suppkey AS STRING) AS query_parameterized_hash",
+            "l_shipdate AS start_time",
+            "l_shipdate AS end_time",
+            "CAST(round(l_extendedprice) AS BIGINT) AS execution_time",
+            "concat('ANALYTICS_', l_orderkey % 4) AS warehouse_name",
+            "CASE WHEN l_returnflag = 'R' THEN 'FAIL' ELSE 'SUCCESS' END AS execution_status",
+            "CASE WHEN l_quantity <= 5 THEN 0 ELSE CAST(round(l_quantity) AS BIGINT) END AS bytes_scanned",
+        ),
+        QUERY_HISTORY_SOURCE,
     )
-    return conform(rows, QUERY_HISTORY_SOURCE)
 
 
 def orders_metering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "orders").select(
-        F.col("o_orderdate").alias("start_time"),
-        F.col("o_orderdate").alias("end_time"),
-        _warehouse("o_orderkey").alias("warehouse_name"),
-        F.round((F.col("o_totalprice") / 1000).cast("decimal(38,10)"), 2)
-        .cast(CREDITS)
-        .alias("credits_used"),
+    return conform(
+        _table(spark, sf_dir, "orders").selectExpr(
+            "o_orderdate AS start_time",
+            "o_orderdate AS end_time",
+            "concat('ANALYTICS_', o_orderkey % 4) AS warehouse_name",
+            "round(CAST(o_totalprice / 1000 AS DECIMAL(38,10)), 2) AS credits_used",
+        ),
+        METERING_SOURCE,
     )
-    return conform(rows, METERING_SOURCE)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CREDITS = T.DecimalType(38, 9)
@@ -78,14 +77,14 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
     Timestamps keep their kind (instant or zone-less): staging turns both into UTC wall-clock time.
     """
-    def column(f: T.StructField):
-        if f.name not in df.columns:
-            return F.lit(None).cast(f.dataType).alias(f.name)
-        if isinstance(f.dataType, T.TimestampNTZType):
-            return F.col(f.name)
-        return F.col(f.name).cast(f.dataType).alias(f.name)
-
-    return df.select(*[column(f) for f in schema.fields])
+
+    def column(f: T.StructField) -> str:
+        if f.name in df.columns and isinstance(f.dataType, T.TimestampNTZType):
+            return f.name
+        value = f.name if f.name in df.columns else "NULL"
+        return f"CAST({value} AS {f.dataType.simpleString()}) AS {f.name}"
+
+    return df.selectExpr(*[column(f) for f in schema.fields])
 
 
 def read_staged(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from cutpoint.config import GEN1, GEN2, Thresholds
 from cutpoint.functions import labels as L
 from cutpoint.functions.numeric import labelled, ratio
-from cutpoint.functions.welch import INSUFFICIENT_DF, MIN_DF, critical_value
+from cutpoint.functions.welch import INSUFFICIENT_DF, MIN_DF
 
 
 def data_sufficiency(period: str, days: str) -> str:
@@ -72,20 +72,22 @@ def cost_consistency(all_gap: str, pattern_gap: str) -> str:
     )
 
 
-def reliability(t: str, df: str, before: str, after: str, limits: Thresholds) -> str:
+def reliability(
+    t: str, df: str, t95: str, t90: str, before: str, after: str, limits: Thresholds
+) -> str:
     """On the Welch test of the daily rates; the effect size is that of the overall rates."""
     failure_change = f"abs({ratio(f'({before} - {after})', f'(100D - {before})')}) * 100"
     large = (
         f"(abs({after} - {before}) >= {limits.reliability_drop_pp}D"
         f" OR {failure_change} > {limits.reliability_failure_increase_pct}D)"
     )
-    below_95 = f"{t} < -{critical_value(df, 95)}"
+    below_95 = f"{t} < -{t95}"
     return labelled(
         [
             (f"{df} < {MIN_DF}", INSUFFICIENT_DF),
             (f"{below_95} AND {large}", L.DEGRADED),
             (below_95, L.MINOR_05),
-            (f"{t} < -{critical_value(df, 90)}", L.MINOR_10),
+            (f"{t} < -{t90}", L.MINOR_10),
         ],
         L.NO_DEGRADATION,
     )

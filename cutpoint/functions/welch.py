@@ -60,25 +60,25 @@ def critical_value(df: str, level: int) -> str:
     return f"({first_match(arms, number(beyond))})"
 
 
-def significance(t: str, df: str) -> str:
+def significance(t: str, df: str, t95: str, t90: str) -> str:
     """Two-sided label."""
     return labelled(
         [
             (f"{df} < {MIN_DF}", INSUFFICIENT_DF),
-            (f"abs({t}) > {critical_value(df, 95)}", SIGNIFICANT_05),
-            (f"abs({t}) > {critical_value(df, 90)}", SIGNIFICANT_10),
+            (f"abs({t}) > {t95}", SIGNIFICANT_05),
+            (f"abs({t}) > {t90}", SIGNIFICANT_10),
         ],
         NOT_SIGNIFICANT,
     )
 
 
-def drop_significance(t: str, df: str) -> str:
+def drop_significance(t: str, df: str, t95: str, t90: str) -> str:
     """Label for a fall only (the second period is lower)."""
     return labelled(
         [
             (f"{df} < {MIN_DF}", INSUFFICIENT_DF),
-            (f"{t} < -{critical_value(df, 95)}", SIGNIFICANT_05),
-            (f"{t} < -{critical_value(df, 90)}", SIGNIFICANT_10),
+            (f"{t} < -{t95}", SIGNIFICANT_05),
+            (f"{t} < -{t90}", SIGNIFICANT_10),
         ],
         NOT_SIGNIFICANT,
     )
@@ -90,20 +90,28 @@ def linear_interval(effect: str, t_crit: str, error: str, base: str) -> tuple[st
     return f"({effect} - {half_width})", f"({effect} + {half_width})"
 
 
-def fieller_interval(before: Sample, after: Sample, t_crit: str) -> tuple[str, str]:
-    """Fieller interval of the ratio of the two means, given as speedup percentages.
+def fieller_terms(name: str, before: Sample, after: Sample, t_crit: str) -> list[dict[str, str]]:
+    """Columns for the Fieller interval of the ratio of the two means, to be added in steps.
 
     The interval is the range of r in which (mean_after − r · mean_before) is within t standard
-    errors of zero: a quadratic in r. NULL when it is not a finite range.
+    errors of zero: a r² − 2 h r + c ≤ 0. It is finite when a and the discriminant allow it.
     """
     t2 = f"{t_crit} * {t_crit}"
-    a = f"({before.mean} * {before.mean} - {t2} * {before.mean_variance})"
-    half_b = f"({before.mean} * {after.mean})"
-    c = f"({after.mean} * {after.mean} - {t2} * {after.mean_variance})"
-    quarter_disc = f"({half_b} * {half_b} - {a} * {c})"
-
-    def bound(sign: str) -> str:
-        root = f"({half_b} {sign} sqrt({quarter_disc})) / {a}"
-        return f"(CASE WHEN {a} > 0 AND {quarter_disc} >= 0 THEN (1D - {root}) * 100D END)"
-
-    return bound("+"), bound("-")
+    a, h, c, root = (f"{name}_{part}" for part in ("a", "h", "c", "root"))
+    return [
+        {
+            a: f"{before.mean} * {before.mean} - {t2} * {before.mean_variance}",
+            h: f"{before.mean} * {after.mean}",
+            c: f"{after.mean} * {after.mean} - {t2} * {after.mean_variance}",
+        },
+        {root: f"CASE WHEN {a} > 0 AND {h} * {h} - {a} * {c} >= 0 THEN sqrt({h} * {h} - {a} * {c}) END"},
+    ]
+
+
+def fieller_interval(name: str) -> tuple[str, str]:
+    """Lower and upper speedup in percent, over ``fieller_terms``; NULL without a finite range."""
+    a, h, root = f"{name}_a", f"{name}_h", f"{name}_root"
+    return tuple(
+        f"CASE WHEN {root} IS NOT NULL THEN (1D - ({h} {sign} {root}) / {a}) * 100D END"
+        for sign in ("+", "-")
+    )

@@ -53,11 +53,19 @@ def add(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def with_welch(df: DataFrame, *names: str) -> DataFrame:
-    """Add t, degrees of freedom, standard error and 90% critical value for ``moments`` columns."""
+    """Add t, degrees of freedom, standard error and critical values for ``moments`` columns."""
     tests = {}
     for name in names:
         before, after = samples(name)
         tests[f"{name}_t"] = t_statistic(before, after)
         tests[f"{name}_df"] = degrees_of_freedom(before, after)
         tests[f"{name}_se"] = standard_error(before, after)
-    return add(add(df, tests), {f"{name}_t90": critical_value(f"{name}_df", 90) for name in names})
+    critical = {
+        f"{name}_t{level}": critical_value(f"{name}_df", level) for name in names for level in (90, 95)
+    }
+    return add(add(df, tests), critical)
+
+
+def tested(name: str) -> list[str]:
+    """What the significance ladders read."""
+    return [f"{name}_{part}" for part in ("t", "df", "t95", "t90")]

@@ -8,7 +8,16 @@ from cutpoint.functions import explanations as X
 from cutpoint.functions.ladders import breakeven, cost_consistency
 from cutpoint.functions.numeric import change_pct, ratio, rounded
 from cutpoint.functions.welch import linear_interval, significance
-from cutpoint.operators.compare import PERIODS, add, in_both_periods, moments, per_period, samples, with_welch
+from cutpoint.operators.compare import (
+    PERIODS,
+    add,
+    in_both_periods,
+    moments,
+    per_period,
+    samples,
+    tested,
+    with_welch,
+)
 from cutpoint.plans.workload import Workload
 from cutpoint.session import group_by
 
@@ -80,7 +89,7 @@ def cost_results() -> dict[str, str]:
             f"{scope}_change_pct": rounded(f"{scope}_change", 2),
             f"{scope}_ci_lower": rounded(lower, 2),
             f"{scope}_ci_upper": rounded(upper, 2),
-            f"{scope}_significance": significance(f"{scope}_t", f"{scope}_df"),
+            f"{scope}_significance": significance(*tested(scope)),
             f"{scope}_weighted_change": weighted,
             f"{scope}_gap": f"abs({scope}_change - {weighted})",
         }

@@ -12,7 +12,7 @@ from cutpoint.functions.ladders import data_quality, pattern_coverage
 from cutpoint.functions.numeric import first_match, labelled, number, ratio, rounded, shown, text
 from cutpoint.operators.compare import add, with_welch
 from cutpoint.plans.cost import SCOPES, cost_effects, cost_moments, cost_present, cost_results
-from cutpoint.plans.performance import perf_moments, perf_present, perf_results
+from cutpoint.plans.performance import perf_moments, perf_present, perf_results, with_fieller
 from cutpoint.plans.reliability import (
     reliability_moments,
     reliability_present,
@@ -46,6 +46,7 @@ def signals(w: Workload) -> DataFrame:
     found = with_welch(
         add(found, cost_effects() | reliability_rates() | volume_results()), "exec", "rate", *SCOPES
     )
+    found = with_fieller(found)
     found = add(found, perf_results() | cost_results() | reliability_results(w.cfg.thresholds))
     return found.selectExpr(
         *w.cfg.keys,

@@ -8,9 +8,18 @@ from cutpoint.functions import explanations as X
 from cutpoint.functions import labels as L
 from cutpoint.functions.ladders import queue_saturation, tail_latency
 from cutpoint.functions.numeric import change_pct, percent, ratio, rounded, shown, speedup_pct, text
-from cutpoint.functions.welch import fieller_interval, linear_interval, significance
+from cutpoint.functions.welch import fieller_interval, fieller_terms, linear_interval, significance
 from cutpoint.operators.cells import EXEC, IS_COMPARABLE
-from cutpoint.operators.compare import PERIODS, add, in_both_periods, moments, per_period, samples, with_welch
+from cutpoint.operators.compare import (
+    PERIODS,
+    add,
+    in_both_periods,
+    moments,
+    per_period,
+    samples,
+    tested,
+    with_welch,
+)
 from cutpoint.operators.daily import daily_counts, seconds, with_calendar
 from cutpoint.operators.quantiles import exact_percentiles
 from cutpoint.plans.workload import Workload
@@ -51,7 +60,7 @@ def perf_welch_test(w: Workload) -> DataFrame:
         {
             # The weekday test rounds its effect before it adds the interval.
             "speedup_pct": rounded(speedup_pct(before.mean, after.mean), 2),
-            "significance": significance("exec_t", "exec_df"),
+            "significance": significance(*tested("exec")),
         },
     )
     lower, upper = linear_interval("speedup_pct", "exec_t90", "exec_se", before.mean)
@@ -158,17 +167,24 @@ def perf_present() -> str:
     return in_both_periods("exec_n")
 
 
+def with_fieller(df: DataFrame) -> DataFrame:
+    """Add the terms of the speedup interval, over ``perf_moments`` with the exec test added."""
+    for step in fieller_terms("exec", *samples("exec"), "exec_t90"):
+        df = add(df, step)
+    return df
+
+
 def perf_results() -> dict[str, str]:
-    """Results of the overall test, over ``perf_moments`` with the exec test added."""
+    """Results of the overall test, over ``with_fieller``."""
     before, after = samples("exec")
-    lower, upper = fieller_interval(before, after, "exec_t90")
+    lower, upper = fieller_interval("exec")
     return {
         "perf_gen1_sec": rounded(before.mean, 4),
         "perf_gen2_sec": rounded(after.mean, 4),
         "perf_speedup_pct": rounded(speedup_pct(before.mean, after.mean), 2),
         "perf_ci_lower": rounded(lower, 2),
         "perf_ci_upper": rounded(upper, 2),
-        "perf_significance": significance("exec_t", "exec_df"),
+        "perf_significance": significance(*tested("exec")),
         "perf_tail": tail_latency("b_p99", "g_p99"),
         "perf_queue": queue_saturation("b_queue_p95", "g_queue_p95"),
     }
@@ -188,7 +204,7 @@ def _queue_texts() -> dict[str, str]:
 def perf_summary(w: Workload) -> DataFrame:
     """Overall test: one row (per key). Empty unless both periods have comparable days."""
     found = group_by(w.queue_days, [*w.cfg.keys], perf_moments()).where(perf_present())
-    return add(with_welch(found, "exec"), perf_results()).selectExpr(
+    return add(with_fieller(with_welch(found, "exec")), perf_results()).selectExpr(
         "'PERFORMANCE' AS metric_category",
         *w.cfg.keys,
         "b_exec_n AS gen1_days",

@@ -12,7 +12,7 @@ from cutpoint.functions.ladders import error_trend
 from cutpoint.functions.ladders import reliability as reliability_status
 from cutpoint.functions.numeric import percent, ratio, rounded, shown
 from cutpoint.functions.welch import INSUFFICIENT_DF, drop_significance
-from cutpoint.operators.compare import add, in_both_periods, moments, per_period, with_welch
+from cutpoint.operators.compare import add, in_both_periods, moments, per_period, tested, with_welch
 from cutpoint.operators.scope import FAILED, SUCCEEDED, period_label
 from cutpoint.plans.workload import Workload
 from cutpoint.session import group_by
@@ -61,7 +61,7 @@ def reliability_results(limits) -> dict[str, str]:
         "rel_gen1_rate": rounded("rel_b", 4),
         "rel_gen2_rate": rounded("rel_g", 4),
         "rel_diff_pp": rounded("rel_g - rel_b", 4),
-        "rel_status": reliability_status("rate_t", "rate_df", "rel_b", "rel_g", limits),
+        "rel_status": reliability_status(*tested("rate"), "rel_b", "rel_g", limits),
     }
 
 
@@ -102,7 +102,7 @@ def reliability(w: Workload) -> DataFrame:
         "g_rate_n AS gen2_days",
         f"{rounded('rate_t', 3)} AS t_statistic",
         f"{rounded('rate_df', 1)} AS degrees_of_freedom",
-        f"{drop_significance('rate_t', 'rate_df')} AS significance",
+        f"{drop_significance(*tested('rate'))} AS significance",
         "rel_status AS reliability_status",
         f"{X.explain('rel_status', _reliability_texts())} AS reliability_explanation",
     )

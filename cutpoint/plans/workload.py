@@ -61,11 +61,11 @@ class Workload:
 
     @cached_property
     def cells(self) -> DataFrame:
-        return workload_cells(self.marked_rows, self.cfg, with_queue=False)
+        return settle(workload_cells(self.marked_rows, self.cfg, with_queue=False))
 
     @cached_property
     def cells_with_queue(self) -> DataFrame:
-        return workload_cells(self.marked_rows, self.cfg, with_queue=True)
+        return settle(workload_cells(self.marked_rows, self.cfg, with_queue=True))
 
     @cached_property
     def query_days(self) -> DataFrame:

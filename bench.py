@@ -64,9 +64,9 @@ def main() -> None:
         timed(name, lambda: queries[name](spark, folder).collect())
 
     def suite() -> None:
-        with orders_workload(spark, folder).shared() as w:
-            for report in REPORTS.values():
-                report(w).collect()
+        w = orders_workload(spark, folder, share=True)
+        for report in REPORTS.values():
+            report(w).collect()
 
     timed("all_reports_shared_orders", suite)
     print(

@@ -23,21 +23,23 @@ FIRST_LOAD = date(2024, 1, 20)
 LAST_LOAD = date(2024, 2, 1)
 
 
-def events_workload(spark: SparkSession, sf_dir: str) -> Workload:
+def events_workload(spark: SparkSession, sf_dir: str, *, share: bool = False) -> Workload:
     cfg = bindings.EVENTS_CONFIG
     return Workload(
         staging.stage_query_rows(bindings.events_query_history(spark, sf_dir), cfg),
         staging.stage_metering_rows(bindings.events_metering(spark, sf_dir), cfg),
         cfg,
+        share=share,
     )
 
 
-def orders_workload(spark: SparkSession, sf_dir: str) -> Workload:
+def orders_workload(spark: SparkSession, sf_dir: str, *, share: bool = False) -> Workload:
     cfg = bindings.ORDERS_CONFIG
     return Workload(
         staging.stage_query_rows(bindings.orders_query_history(spark, sf_dir), cfg),
         staging.stage_metering_rows(bindings.orders_metering(spark, sf_dir), cfg),
         cfg,
+        share=share,
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
 from cutpoint.config import GEN1, GEN2, Config
 from cutpoint.functions.dates import day
 from cutpoint.functions.numeric import text
@@ -32,3 +34,13 @@ def is_after(cfg: Config) -> str:
 
 def period_label(cfg: Config) -> str:
     return f"CASE WHEN {is_after(cfg)} THEN '{GEN2}' ELSE '{GEN1}' END"
+
+
+def only_days(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of the days in ``wanted``, as a literal list on the partition column.
+
+    The list reaches the driver; it has at most as many entries as the window has days. Literals
+    prune the scan however large ``wanted`` is, which a join does only when it is broadcast.
+    """
+    days = sorted(r[0] for r in wanted.select("activity_date").distinct().collect())
+    return rows.where(f"activity_date IN ({', '.join(map(day, days))})" if days else "false")

@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutpoint.functions import explanations as X
-from cutpoint.functions.dates import day
 from cutpoint.functions.ladders import pattern_status
 from cutpoint.functions.numeric import rounded, speedup_pct, text
 from cutpoint.operators.compare import PERIODS, per_period
 from cutpoint.operators.daily import seconds
 from cutpoint.operators.quantiles import exact_percentiles
-from cutpoint.operators.scope import DID_WORK, PATTERN, SUCCEEDED, period_label
+from cutpoint.operators.scope import DID_WORK, PATTERN, SUCCEEDED, only_days, period_label
 from cutpoint.plans.workload import Workload
 from cutpoint.session import group_by, settle
 
@@ -75,19 +74,15 @@ def _compared(w: Workload) -> DataFrame:
 def _with_samples(w: Workload, patterns: DataFrame, *, few: bool) -> DataFrame:
     """Add a text and a warehouse of each pattern, taken from its first day before the change.
 
-    Recurring patterns mostly appear in the first days. Joining on the day, the partition column,
-    prunes the scan to those days at run time, so the wide text column of the others is not read.
-    ``few`` says that ``patterns`` was cut by a limit and may be broadcast; otherwise the texts are
-    combined per pattern and day before they are shuffled.
+    Recurring patterns mostly appear in the first days, so the wide text column is read for few
+    days. ``few`` says that ``patterns`` was cut by a limit and may be broadcast; otherwise the
+    texts are combined per pattern and day before they are shuffled.
     """
     cfg = w.cfg
     by = [*cfg.keys, "pattern_hash"]
     on = [*by, "activity_date"]
-    # The comparison is always true; as a filter it lets the planner prune by these days.
-    first_days = patterns.where(f"first_day >= {day(cfg.first_day)}").selectExpr(
-        *by, "first_day AS activity_date"
-    )
-    texts = _compared_runs(w).selectExpr(
+    first_days = patterns.selectExpr(*by, "first_day AS activity_date")
+    texts = only_days(_compared_runs(w), first_days).selectExpr(
         *cfg.keys,
         f"{PATTERN} AS pattern_hash",
         "activity_date",

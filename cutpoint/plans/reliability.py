@@ -7,32 +7,33 @@ from pyspark.sql import DataFrame
 from cutpoint.config import GEN2
 from cutpoint.functions import explanations as X
 from cutpoint.functions import labels as L
-from cutpoint.functions.dates import day
 from cutpoint.functions.ladders import error_trend
 from cutpoint.functions.ladders import reliability as reliability_status
 from cutpoint.functions.numeric import percent, ratio, rounded, shown
 from cutpoint.functions.welch import INSUFFICIENT_DF, drop_significance
 from cutpoint.operators.compare import add, in_both_periods, moments, per_period, tested, with_welch
-from cutpoint.operators.scope import FAILED, SUCCEEDED, period_label
+from cutpoint.operators.scope import FAILED, SUCCEEDED, only_days, period_label
 from cutpoint.plans.workload import Workload
-from cutpoint.session import group_by
+from cutpoint.session import group_by, settle
 
 SAMPLE_LENGTH = 200
 
 
 def success_daily(w: Workload) -> DataFrame:
-    """Success rate of every run of each day: a cached success is a success. One narrow pass."""
+    """Success rate of every run of each day: a cached success is a success.
+
+    One narrow pass, which a shared workload has behind it already.
+    """
+    columns = [*w.cfg.keys, "activity_date", "period_type", "total_queries", "success_count"]
+    if w.share:
+        return w.query_days.select(*columns, "daily_success_rate_pct")
     days = group_by(
         w.rows,
         [*w.cfg.keys, "activity_date"],
         ["count(1) AS total_queries", f"count_if({SUCCEEDED}) AS success_count"],
     )
-    return days.selectExpr(
-        *w.cfg.keys,
-        "activity_date",
-        f"{period_label(w.cfg)} AS period_type",
-        "total_queries",
-        "success_count",
+    return add(days, {"period_type": period_label(w.cfg)}).selectExpr(
+        *columns,
         f"{rounded(percent('success_count', 'total_queries'), 4)} AS daily_success_rate_pct",
     )
 
@@ -111,16 +112,14 @@ def reliability(w: Workload) -> DataFrame:
 def error_analysis(w: Workload) -> DataFrame:
     """Error statuses seen after the change, against before.
 
-    One pass reduces the runs to (day, status) counts; totals and errors of both periods are read
-    off those. Sample texts come from a second pass over each status's first day only: the join on
-    the partition column prunes the scan at run time, so the wide text column of the other days is
-    not read.
+    One pass reduces the runs to (day, status) counts, which are settled; totals and errors of both
+    periods are read off those. Sample texts come from a second pass over each status's first day
+    only, so the wide text column of the other days is not read.
     """
     cfg = w.cfg
     keys = [*cfg.keys]
-    days = group_by(
-        w.rows, [*keys, "activity_date", "execution_status"], ["count(1) AS n"]
-    ).selectExpr("*", f"{period_label(cfg)} AS period_type")
+    counts = group_by(w.rows, [*keys, "activity_date", "execution_status"], ["count(1) AS n"])
+    days = add(settle(counts), {"period_type": period_label(cfg)})
     totals = group_by(
         group_by(days, [*keys, "activity_date", "period_type"], ["sum(n) AS n"]),
         keys,
@@ -136,10 +135,10 @@ def error_analysis(w: Workload) -> DataFrame:
         ],
     ).where("g_errors IS NOT NULL")
     on = [*keys, "execution_status", "activity_date"]
-    first_days = errors.where(f"first_seen >= {day(cfg.cutover)}").selectExpr(
-        *keys, "execution_status", "first_seen AS activity_date"
+    first_days = errors.selectExpr(*keys, "execution_status", "first_seen AS activity_date")
+    texts = only_days(w.rows.where(FAILED), first_days).selectExpr(
+        *on, f"left(query_text, {SAMPLE_LENGTH}) AS sample"
     )
-    texts = w.rows.where(FAILED).selectExpr(*on, f"left(query_text, {SAMPLE_LENGTH}) AS sample")
     samples = (
         group_by(texts, on, ["min(sample) AS sample_query"]).join(first_days, on).drop("activity_date")
     )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -19,14 +18,23 @@ class Workload:
     """Staged facts under comparison.
 
     Two narrow passes over the query history feed all daily reports: one counts pattern runs per
-    period, one reduces the marked rows to cells (``workload_cells``). Every later step works on
-    tables that grow with days and distinct milliseconds, not with runs.
+    period, one reduces the marked rows to cells (``workload_cells``). Both results are settled, so
+    no later step and no lost executor reads the facts again; every later step works on tables that
+    grow with days and distinct milliseconds, not with runs.
+
+    With ``share`` the daily table is settled too and feeds every report: the way to ask for many
+    reports of one workload. Without it each report computes only the columns it needs.
+
+    Key columns of the configuration must not be NULL in the facts.
     """
 
-    def __init__(self, query_history: DataFrame, metering: DataFrame, cfg: Config):
+    def __init__(
+        self, query_history: DataFrame, metering: DataFrame, cfg: Config, *, share: bool = False
+    ):
         self.query_history = query_history
         self.metering = metering
         self.cfg = cfg
+        self.share = share
 
     @property
     def rows(self) -> DataFrame:
@@ -61,6 +69,8 @@ class Workload:
 
     @cached_property
     def cells(self) -> DataFrame:
+        if self.share:
+            return self.cells_with_queue
         return settle(workload_cells(self.marked_rows, self.cfg, with_queue=False))
 
     @cached_property
@@ -70,47 +80,32 @@ class Workload:
     @cached_property
     def query_days(self) -> DataFrame:
         """Days with runs: counts and execution percentiles."""
+        if self.share:
+            return self.all_days.where("total_queries IS NOT NULL")
         return with_calendar(daily_queries(self.cells, self.cfg, with_queue=False), self.cfg)
 
     @cached_property
+    def queue_days(self) -> DataFrame:
+        """As ``query_days``, plus queue times."""
+        if self.share:
+            return self.query_days
+        queries = daily_queries(self.cells_with_queue, self.cfg, with_queue=True)
+        return with_calendar(queries, self.cfg)
+
+    @property
     def metering_days(self) -> DataFrame:
         return daily_metering(self.metering, self.cfg)
 
     @cached_property
     def cost_days(self) -> DataFrame:
         """Days with runs or metering: as ``query_days``, plus cost."""
+        if self.share:
+            return self.all_days
         queries = daily_queries(self.cells, self.cfg, with_queue=False)
         return with_calendar(with_cost(queries, self.metering_days, self.cfg), self.cfg)
 
-    @cached_property
-    def queue_days(self) -> DataFrame:
-        """As ``query_days``, plus queue times."""
-        queries = daily_queries(self.cells_with_queue, self.cfg, with_queue=True)
-        return with_calendar(queries, self.cfg)
-
     @cached_property
     def all_days(self) -> DataFrame:
-        """As ``cost_days``, plus queue times."""
+        """Days with runs or metering, with all daily figures; settled, one row per day (and key)."""
         queries = daily_queries(self.cells_with_queue, self.cfg, with_queue=True)
-        return with_calendar(with_cost(queries, self.metering_days, self.cfg), self.cfg)
-
-    @contextmanager
-    def shared(self):
-        """A workload whose cells and days are kept while several reports are asked for.
-
-        Kept tables are spread over executors (memory, then disk) and recomputed where lost.
-        """
-        kept = Workload(self.query_history, self.metering, self.cfg)
-        kept.__dict__["presence"] = self.presence
-        cells = self.cells_with_queue.persist()
-        kept.__dict__["cells"] = kept.__dict__["cells_with_queue"] = cells
-        days = kept.all_days.persist()
-        kept.__dict__["all_days"] = kept.__dict__["cost_days"] = days
-        kept.__dict__["query_days"] = kept.__dict__["queue_days"] = days.where(
-            "total_queries IS NOT NULL"
-        )
-        try:
-            yield kept
-        finally:
-            days.unpersist()
-            cells.unpersist()
+        return settle(with_calendar(with_cost(queries, self.metering_days, self.cfg), self.cfg))

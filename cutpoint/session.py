@@ -42,7 +42,9 @@ def settle(df: DataFrame) -> DataFrame:
     """
     if shared_folder(df.sparkSession) is None:
         return df.persist()
-    return df.checkpoint(eager=True)
+    # Renaming gives the columns an identity of their own: a checkpoint keeps that of its sources,
+    # which a later join with them would find on both sides.
+    return df.checkpoint(eager=True).toDF(*df.columns)
 
 
 def query(statement: str, **tables: DataFrame) -> DataFrame:

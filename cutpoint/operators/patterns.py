@@ -64,14 +64,17 @@ def _mark_by_shuffle(
 
     With P shuffle partitions, fewer than P patterns can each hold more than 1/P of the runs.
     Those frequent ones are answered by a broadcast of fewer than P rows; they, and rows without a
-    pattern, are then spread over all partitions by a hash of the row instead of their key.
+    pattern, are then spread over all partitions by a hash of the row instead of their key. The
+    other side has one row per pattern, which hashes evenly, so each partition's part is a small
+    hash table and the fact rows need no sort.
     """
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     frequent = presence.where(f"(gen1_runs + gen2_runs) * {partitions} > {total_runs}").selectExpr(
         *on, f"({IN_BOTH}) AS frequent_flag"
     )
     others = ", ".join(c for c in rows.columns if c not in on)
-    spread = f"1 + pmod(xxhash64({others}), {partitions})"
+    # More slots than partitions, so that their uneven placement evens out.
+    spread = f"1 + pmod(xxhash64({others}), {partitions * 16})"
     return (
         rows.join(F.broadcast(frequent), on, "left")
         .selectExpr(
@@ -79,6 +82,6 @@ def _mark_by_shuffle(
             f"CASE WHEN frequent_flag IS NOT NULL OR {PATTERN} IS NULL THEN {spread}"
             " ELSE 0L END AS slot",
         )
-        .join(flags.selectExpr("*", "0L AS slot"), [*on, "slot"], "left")
+        .join(flags.selectExpr("*", "0L AS slot").hint("shuffle_hash"), [*on, "slot"], "left")
         .selectExpr(*rows.columns, "coalesce(frequent_flag, matched_flag) AS matched_flag")
     )

@@ -27,7 +27,8 @@ def _compared(w: Workload) -> DataFrame:
     """Patterns with enough runs in both periods: times, ladders and first day; no samples, no order.
 
     The runs are reduced to (pattern, period, milliseconds) counts before anything is grouped by
-    pattern, so a pattern with a third of all runs is spread over its distinct times.
+    pattern, so a pattern with a third of all runs is spread over its distinct times. The counts
+    are settled: three steps read them, and the runs are scanned and shuffled once.
     """
     cfg = w.cfg
     by = [*cfg.keys, "pattern_hash"]
@@ -39,8 +40,8 @@ def _compared(w: Workload) -> DataFrame:
         "CAST(execution_time AS BIGINT) AS ms",
         "activity_date",
     )
-    hist = group_by(
-        runs, [*by, "period_type", "ms"], ["count(1) AS n", "min(activity_date) AS first_day"]
+    hist = settle(
+        group_by(runs, [*by, "period_type", "ms"], ["count(1) AS n", "min(activity_date) AS first_day"])
     )
     first_day, _ = per_period("first_day", "min", "first_day")
     counts = group_by(hist, by, [*per_period("runs", "sum", "n"), first_day]).where(

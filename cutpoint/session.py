@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str | None:
-    """The checkpoint folder of the session.
+    """The folder for intermediate tables: the checkpoint folder of the session.
 
     A cluster names it in ``spark.checkpoint.dir``. Only a local master, where every task runs on
     this machine, may fall back to a temporary folder. None on a cluster that names no folder.
@@ -37,14 +37,16 @@ def new_table_path(spark: SparkSession, name: str) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once for several readers, in a form that outlives lost executors.
 
-    Written to the checkpoint folder; on a cluster without one it is persisted instead, whose lost
-    blocks Spark recomputes from the sources.
+    Written as a table to the shared folder, so that later scans prune columns and the planner
+    knows the size. On a cluster without such a folder it is persisted instead; Spark recomputes
+    lost blocks from the sources.
     """
-    if shared_folder(df.sparkSession) is None:
+    spark = df.sparkSession
+    if shared_folder(spark) is None:
         return df.persist()
-    # Renaming gives the columns an identity of their own: a checkpoint keeps that of its sources,
-    # which a later join with them would find on both sides.
-    return df.checkpoint(eager=True).toDF(*df.columns)
+    path = new_table_path(spark, "settled")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def query(statement: str, **tables: DataFrame) -> DataFrame:

@@ -17,12 +17,22 @@ CUTOVER = dt.date(2024, 3, 11)
 
 
 @pytest.fixture(scope="session")
-def spark():
+def compiled_spark():
+    """A session as in production."""
     from bench import session
 
     return session(4)
 
 
+@pytest.fixture(scope="session")
+def spark(compiled_spark):
+    """The same application without code generation: for a few rows, compiling takes the most time."""
+    spark = compiled_spark.newSession()
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    spark.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+    return spark
+
+
 class Facts:
     """Small hand-made facts. Days are numbered from the cutover: −1 is the last day before it."""
 

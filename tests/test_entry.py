@@ -8,8 +8,8 @@ from checks.compare import duck_rows, spark_rows
 FOLDER = "/root/testdata/sf0.001"
 
 
-def test_entry(spark):
-    df = entry.entry(spark)
+def test_entry(compiled_spark):
+    df = entry.entry(compiled_spark)
     assert df.count() == 1
     assert "assessment" in df.columns
 
@@ -19,5 +19,5 @@ def test_names():
 
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
-def test_query(spark, name):
-    assert spark_rows(entry.queries()[name](spark, FOLDER)) == duck_rows(FOLDER, entry.oracle_sql()[name])
+def test_query(compiled_spark, name):
+    assert spark_rows(entry.queries()[name](compiled_spark, FOLDER)) == duck_rows(FOLDER, entry.oracle_sql()[name])

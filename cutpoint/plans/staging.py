@@ -52,7 +52,7 @@ def _stage(
     return source.where(" AND ".join(conditions)).selectExpr(
         *[f"{times.get(c, c)} AS {c}" for c in source.columns],
         *[f"{expression} AS {name}" for name, expression in time_dimensions(start).items()],
-        "localtimestamp() AS last_inserted_at",
+        "convert_timezone('UTC', localtimestamp()) AS last_inserted_at",
     )
 
 

@@ -15,16 +15,11 @@ def shared_folder(spark: SparkSession) -> str | None:
     this machine, may fall back to a temporary folder. None on a cluster that names no folder.
     """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(configured)
-        return configured
-    if not sc.getCheckpointDir():
-        if not sc.master.split("[")[0] == "local":
-            return None
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None and sc.master.split("[")[0] == "local":
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="cutpoint-"))
-    return sc.getCheckpointDir()
+        folder = sc.getCheckpointDir()
+    return folder
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:

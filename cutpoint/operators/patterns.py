@@ -73,15 +73,19 @@ def _mark_by_shuffle(
         *on, f"({IN_BOTH}) AS frequent_flag"
     )
     others = ", ".join(c for c in rows.columns if c not in on)
-    # More slots than partitions, so that their uneven placement evens out.
-    spread = f"1 + pmod(xxhash64({others}), {partitions * 16})"
+    # More slots than partitions, so that their uneven placement evens out. The slot of a joined row
+    # is a function of its key on both sides: a constant would be folded out of the join keys and
+    # the rows spread by slot would meet by pattern again.
+    slots = partitions * 16
+    by_key = f"pmod(xxhash64({', '.join(on)}), {slots})"
+    by_row = f"-1 - pmod(xxhash64({others}), {slots})"
     return (
         rows.join(F.broadcast(frequent), on, "left")
         .selectExpr(
             "*",
-            f"CASE WHEN frequent_flag IS NOT NULL OR {PATTERN} IS NULL THEN {spread}"
-            " ELSE 0L END AS slot",
+            f"CASE WHEN frequent_flag IS NOT NULL OR {PATTERN} IS NULL THEN {by_row}"
+            f" ELSE {by_key} END AS slot",
         )
-        .join(flags.selectExpr("*", "0L AS slot").hint("shuffle_hash"), [*on, "slot"], "left")
+        .join(flags.selectExpr("*", f"{by_key} AS slot").hint("shuffle_hash"), [*on, "slot"], "left")
         .selectExpr(*rows.columns, "coalesce(frequent_flag, matched_flag) AS matched_flag")
     )

@@ -91,7 +91,10 @@ def statistics(df: DataFrame, text: str = "text", keep: list[str] | None = None)
         "n_marks": f"CAST(length({t}) - {_without_chars(t, '!?')} AS BIGINT)",
         "n_digits": f"CAST(length({t}) - {_without_chars(t, '0123456789')} AS BIGINT)",
     }
-    return step.select(*kept, F.struct(*[F.expr(v).alias(n) for n, v in values.items()]).alias("stats"))
+    # Generated rather than projected: a filter on the statistics would otherwise be pushed below every step
+    # above, with all of their expressions copied into it.
+    made = F.struct(*[F.expr(v).alias(n) for n, v in values.items()])
+    return step.select(*kept, F.explode_outer(F.array(made)).alias("stats"))
 
 
 def share(name: str, stats: str = "stats") -> str:

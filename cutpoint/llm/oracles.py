@@ -54,4 +54,15 @@ FROM docs LEFT JOIN per_row USING (rid)
 """
 
 
-ORACLES = {"op10_secrets": secrets_sql()}
+VECTOR_SEARCH = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+ORACLES = {"op7_vector_search": VECTOR_SEARCH, "op10_secrets": secrets_sql()}

@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cutpoint.llm import mixing, near_copies, pieces, quality_rules, secrets
+from cutpoint.llm import (
+    mixing,
+    near_copies,
+    pieces,
+    quality_model,
+    quality_rules,
+    secrets,
+    token_counts,
+    toxicity,
+    vector_search,
+)
 from cutpoint.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +62,32 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"stats.{c}" for c in quality_rules.COUNTS], "base_failed", "kept")
 
 
+HELD_OUT = "pmod(crc32(coalesce(CAST(doc_id AS STRING), '')), 5) = 0"
+
+
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt without the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(f"NOT ({HELD_OUT})")
+    scored = quality_model.score(docs, quality_model.train(docs, labels), keep=["doc_id"])
+    return scored.selectExpr("doc_id", f"{HELD_OUT} AS held_out", "score", "CAST(score >= 0.3 AS INT) AS predicted")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of all documents, learnt without the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(f"NOT ({HELD_OUT})")
+    scored = toxicity.score(docs, toxicity.train(docs, labels), keep=["doc_id"])
+    return scored.selectExpr(
+        "doc_id", f"{HELD_OUT} AS held_out", "severity", "p_toxic", "CAST(p_toxic >= 0.5 AS INT) AS toxic"
+    )
+
+
+def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every 20th vector with all others."""
+    return vector_search.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document; class_id is the doc_id of its first row."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -60,6 +96,12 @@ def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(firsts, "class").selectExpr("doc_id", "class_id", "NOT first AS duplicate")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word-piece counts of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count(docs, tokenizer(PIECE_MODEL)).drop("text")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document: counts and a digest of the base spans, all spans, live ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
@@ -85,5 +127,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_pieces, op2_mixing, op3_quality_rules, op8_near_copies, op10_secrets)
+    f.__name__: f
+    for f in (
+        op1_pieces,
+        op2_mixing,
+        op3_quality_rules,
+        op4_quality_model,
+        op5_toxicity,
+        op7_vector_search,
+        op8_near_copies,
+        op9_token_counts,
+        op10_secrets,
+    )
 }

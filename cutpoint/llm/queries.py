@@ -12,6 +12,7 @@ from cutpoint.llm import (
     pieces,
     quality_model,
     quality_rules,
+    repeats,
     secrets,
     token_counts,
     toxicity,
@@ -83,6 +84,18 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that stand in a 200-byte string found elsewhere, and what is left."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    derive = {
+        "n_bytes": "CAST(length(text) AS BIGINT)",
+        "n_removed": "CAST(length(text) - length(kept) AS BIGINT)",
+        "n_spans": "CAST(size(spans) AS BIGINT)",
+        "kept_sha256": "sha2(kept, 256)",
+    }
+    return repeats.without_repeats(docs, carry=["doc_id"], derive=derive)
+
+
 def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 largest inner products of every 20th vector with all others."""
     return vector_search.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
@@ -134,6 +147,7 @@ QUERIES: dict[str, Query] = {
         op3_quality_rules,
         op4_quality_model,
         op5_toxicity,
+        op6_repeats,
         op7_vector_search,
         op8_near_copies,
         op9_token_counts,

@@ -26,7 +26,7 @@ from cutpoint.session import settle
 
 SHINGLE = 5
 #: Members of a bucket that all others are compared with in one round after the first.
-PIVOTS = 32
+PIVOTS = 64
 #: Words whose darts are thrown at a time.
 STRETCH = 1 << 20
 
@@ -191,65 +191,65 @@ def classes(
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = settle(members.join(shared, "key"))
     degrees = members.groupBy("tid").agg(F.sum("n").alias("degree"))
-    members = settle(members.select("tid", "key").join(degrees, "tid"))
-
-    sets = None
-    links: list[DataFrame] = []
-    open_members, labels, n_pivots = members, None, 1
-    while not open_members.isEmpty():
-        if sets is None:  # strips of the texts that share a bucket, once
-            wanted = degrees.join(of_row.where("rid = tid"), "tid").select("tid", F.col("digest").alias("of"))
-            texts_of = df.select(
-                F.md5(whole(quoted(text)).cast("binary")).alias("digest"), whole(quoted(text)).alias("text")
-            )
-            picked = texts_of.join(wanted, F.expr("digest = of")).select("tid", "text").dropDuplicates(["tid"])
-            sets = settle(strip_lists(picked.select("tid", word_hashes(F.col("text")).alias("hashes"))))
-        # The members of each bucket that meet the most others; the limit applies before the shuffle too.
-        place = "row_number() OVER (PARTITION BY key ORDER BY degree DESC, tid)"
-        pivots = settle(
-            open_members.selectExpr("key", "tid AS pivot", f"{place} AS place")
-            .where(f"place <= {n_pivots}")
-            .select("key", "pivot")
-        )
-        pairs = open_members.join(pivots, "key").where("tid <> pivot")
-        pairs = pairs.selectExpr("least(tid, pivot) AS a", "greatest(tid, pivot) AS b").distinct()
-        if labels is not None:  # already in one class: nothing to find out
-            mine = labels.selectExpr("node AS x", "label AS lx")
-            other = labels.selectExpr("node AS y", "label AS ly")
-            pairs = (
-                pairs.join(mine, F.expr("a = x"), "left").join(other, F.expr("b = y"), "left")
-                .where("coalesce(lx, a) <> coalesce(ly, b)").select("a", "b")
-            )
-            for earlier in links:
-                pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+    members = members.select("tid", "key").join(degrees, "tid")
+
+    links = _links(df, text, of_row, members, similarity)
+    named = of_row.join(links.withColumnRenamed("node", "tid"), "tid", "left").select(
+        "rid", F.coalesce("label", "tid").alias("class")
+    )
+    return found.select("rid", "row").join(named, "rid").select(
+        "rid", "row", "class", (F.col("rid") == F.col("class")).alias("first")
+    )
+
+
+def _links(df: DataFrame, text: str, of_row: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """(node, label) of all texts that are linked to another, given the members of buckets (tid, key, degree)."""
+    whole_text = whole(quoted(text))
+    wanted = members.select("tid").distinct().join(of_row.where("rid = tid"), "tid").select("tid", F.col("digest").alias("of"))
+    texts = df.select(F.md5(whole_text.cast("binary")).alias("digest"), whole_text.alias("text"))
+    picked = texts.join(wanted, F.expr("digest = of")).select("tid", "text").dropDuplicates(["tid"])
+    sets = settle(strip_lists(picked.select("tid", word_hashes(F.col("text")).alias("hashes"))))
+    sizes = sets.selectExpr("tid", "size(made) AS n")
+    members = settle(members.join(sizes, "tid"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
         both = "size(array_intersect(sa, sb))"
-        checked = (
+        return (
             pairs.join(sets.selectExpr("tid AS a", "made AS sa"), "a")
             .join(sets.selectExpr("tid AS b", "made AS sb"), "b")
             .selectExpr("a", "b", f"{both} AS both", "size(sa) + size(sb) AS all")
             .where(f"both >= {similarity!r}D * (all - both)")
             .select("a", "b")
         )
-        links.append(settle(checked))
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.unionByName(more)
-        labels = components(edges)
-        # What has been compared with its whole bucket leaves it; buckets of one class are done.
-        rest = open_members.join(pivots.withColumnRenamed("pivot", "tid"), ["key", "tid"], "left_anti")
-        labelled = rest.join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn(
-            "label", F.coalesce("label", "tid")
+
+    labels = members.sparkSession.createDataFrame([], "node long, label long")
+    rest, n_pivots = members.withColumn("label", F.col("tid")), 1
+    while True:
+        # The members of each bucket that meet the most others; the limit applies before the shuffle too.
+        place = "row_number() OVER (PARTITION BY key ORDER BY degree DESC, tid)"
+        pivots = settle(rest.selectExpr("key", "tid AS p", "n AS pn", "label AS pl", f"{place} AS place").where(f"place <= {n_pivots}"))
+        # Of one class already, or of sizes too different to be similar: nothing to find out.
+        pairs = rest.join(pivots, "key").where(
+            f"label <> pl AND least(n, pn) >= {similarity!r}D * greatest(n, pn)"
         )
-        undecided = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        open_members = settle(labelled.join(undecided.select("key"), "key").select("tid", "key", "degree"))
+        pairs = pairs.selectExpr("least(tid, p) AS a", "greatest(tid, p) AS b").distinct()
+        new = settle(checked(pairs))
+        if not new.isEmpty():
+            # Classes that the new links join, and so the new labels of all texts.
+            mine, other = (labels.selectExpr(f"node AS {x}", f"label AS l{x}") for x in ("a", "b"))
+            joined = new.join(mine, "a", "left").join(other, "b", "left").selectExpr("coalesce(la, a) AS a", "coalesce(lb, b) AS b")
+            merged = components(joined)
+            kept = labels.join(merged.selectExpr("node AS label", "label AS into"), "label", "left")
+            kept = kept.selectExpr("node", "coalesce(into, label) AS label")
+            labels = settle(kept.unionByName(merged.join(labels.select("node"), "node", "left_anti")))
+        # What has been compared with its whole bucket leaves it; buckets of one class are done.
+        rest = rest.drop("label").join(pivots.selectExpr("key", "p AS tid"), ["key", "tid"], "left_anti")
+        rest = rest.join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
+        undecided = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+        rest = settle(rest.join(undecided.select("key"), "key"))
+        if rest.isEmpty():
+            return labels
         n_pivots = PIVOTS
-    result = of_row.select("rid", "tid")
-    if labels is not None:
-        result = result.join(labels.withColumnRenamed("node", "tid"), "tid", "left")
-    else:
-        result = result.withColumn("label", F.lit(None).cast("long"))
-    named = result.select("rid", F.coalesce("label", "tid").alias("class"))
-    return found.select("rid", "row").join(named, "rid").select("rid", "row", "class", (F.col("rid") == F.col("class")).alias("first"))
 
 
 def deduplicated(df: DataFrame, text: str = "text", **options) -> DataFrame:

@@ -31,7 +31,7 @@ GRAM = 32
 PIECE = 1 << 21
 #: Bytes of one shard, and different stretches of a fingerprint that one shard takes.
 SHARD = 2 << 20
-CROWD = 512
+CROWD = 4096
 
 _PLACES = np.uint64(2**31 - 1)
 

@@ -6,9 +6,10 @@ share the strip share its darts. A text looks at ranks up to a bound of about (l
 yields t (ln t + 2) darts whatever the text's length, and keeps the earliest dart of each of t coordinates:
 two texts agree in a coordinate with the probability of their weighted Jaccard similarity.
 
-Equal bands propose pairs. A bucket is never expanded into all its pairs: its members are compared with
-the member that meets the most others, in the next rounds with the next such members as long as the bucket
-holds more than one class. Every proposed pair is checked exactly before it counts as a link.
+Equal bands propose pairs. A bucket isn't expanded into its pairs: its members are compared with the one
+that meets the most others. Buckets that then still hold more than one class are compared block against
+block, each pair of blocks in a task of its own that hands back the links that join classes, no others.
+Only the exact similarity makes a link.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from cutpoint.llm.texts import quoted, whole, word_hashes
 from cutpoint.session import settle
 
 SHINGLE = 5
-#: Members of a bucket that all others are compared with in one round after the first.
-PIVOTS = 64
+#: Strips of the texts of one block of a bucket, and strips compared at a time.
+BLOCK = 100_000
+COLUMNS = 8192
 #: Words whose darts are thrown at a time.
 STRETCH = 1 << 20
 
@@ -222,34 +224,77 @@ def _links(df: DataFrame, text: str, of_row: DataFrame, members: DataFrame, simi
             .select("a", "b")
         )
 
-    labels = members.sparkSession.createDataFrame([], "node long, label long")
-    rest, n_pivots = members.withColumn("label", F.col("tid")), 1
-    while True:
-        # The members of each bucket that meet the most others; the limit applies before the shuffle too.
-        place = "row_number() OVER (PARTITION BY key ORDER BY degree DESC, tid)"
-        pivots = settle(rest.selectExpr("key", "tid AS p", "n AS pn", "label AS pl", f"{place} AS place").where(f"place <= {n_pivots}"))
-        # Of one class already, or of sizes too different to be similar: nothing to find out.
-        pairs = rest.join(pivots, "key").where(
-            f"label <> pl AND least(n, pn) >= {similarity!r}D * greatest(n, pn)"
-        )
-        pairs = pairs.selectExpr("least(tid, p) AS a", "greatest(tid, p) AS b").distinct()
-        new = settle(checked(pairs))
-        if not new.isEmpty():
-            # Classes that the new links join, and so the new labels of all texts.
-            mine, other = (labels.selectExpr(f"node AS {x}", f"label AS l{x}") for x in ("a", "b"))
-            joined = new.join(mine, "a", "left").join(other, "b", "left").selectExpr("coalesce(la, a) AS a", "coalesce(lb, b) AS b")
-            merged = components(joined)
-            kept = labels.join(merged.selectExpr("node AS label", "label AS into"), "label", "left")
-            kept = kept.selectExpr("node", "coalesce(into, label) AS label")
-            labels = settle(kept.unionByName(merged.join(labels.select("node"), "node", "left_anti")))
-        # What has been compared with its whole bucket leaves it; buckets of one class are done.
-        rest = rest.drop("label").join(pivots.selectExpr("key", "p AS tid"), ["key", "tid"], "left_anti")
-        rest = rest.join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
-        undecided = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        rest = settle(rest.join(undecided.select("key"), "key"))
-        if rest.isEmpty():
-            return labels
-        n_pivots = PIVOTS
+    # First every member is compared with the one of its bucket that meets the most others.
+    pivots = settle(
+        members.groupBy("key")
+        .agg(F.max(F.struct("degree", F.expr("-tid AS less"), F.col("n").alias("pn"))).alias("p"))
+        .selectExpr("key", "-p.less AS p", "p.pn AS pn")
+    )
+    pairs = members.join(pivots, "key").where(f"tid <> p AND least(n, pn) >= {similarity!r}D * greatest(n, pn)")
+    near = settle(checked(pairs.selectExpr("least(tid, p) AS a", "greatest(tid, p) AS b").distinct()))
+    labels = components(near)
+    # In buckets that still hold several classes, all members are compared, block by block.
+    labelled = members.join(labels.withColumnRenamed("node", "tid"), "tid", "left").selectExpr(
+        "key", "tid", "n", "coalesce(label, tid) AS label"
+    )
+    open_keys = (
+        labelled.groupBy("key")
+        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("total"))
+        .where("lo < hi")
+        .selectExpr("key", f"CAST(ceil(total / {BLOCK}) AS BIGINT) AS blocks")
+    )
+    placed = labelled.join(open_keys, "key").selectExpr("key", "tid", "label", "blocks", "pmod(xxhash64(tid), blocks) AS block")
+    spread = placed.join(sets, "tid").selectExpr("*", "explode(sequence(0L, blocks - 1)) AS other")
+    grid = spread.selectExpr("key", "least(block, other) AS lo", "greatest(block, other) AS hi", "block", "tid", "label", "made")
+    more = grid.groupBy("key", "lo", "hi").applyInArrow(_block_links(similarity), "a long, b long")
+    return components(settle(near.unionByName(more)))
+
+
+def _block_links(similarity: float):
+    """Links between the texts of two blocks of a bucket, as few as hold their classes together."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        tids, labels, block = (group[c].to_numpy() for c in ("tid", "label", "block"))
+        lists = group["made"].chunk(0) if group["made"].num_chunks else pa.array([], pa.list_(pa.int64()))
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        flat = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+        sizes = np.diff(offsets)
+        of = np.repeat(np.arange(len(tids)), sizes)
+        # Strips that one text alone holds are in no intersection.
+        order = np.argsort(flat, kind="stable")
+        flat, of = flat[order], of[order]
+        column = np.cumsum(np.concatenate(([0], flat[1:] != flat[:-1]))) if len(flat) else flat
+        shared = np.bincount(column) > 1 if len(flat) else np.zeros(0, bool)
+        keep = shared[column] if len(flat) else np.zeros(0, bool)
+        of, column = of[keep], (np.cumsum(shared) - 1)[column[keep]] if len(flat) else column
+        both = np.zeros((len(tids), len(tids)), np.float32)
+        wide = int(shared.sum())
+        cuts = np.searchsorted(column, np.arange(0, wide + COLUMNS, COLUMNS))
+        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            held = np.zeros((len(tids), COLUMNS), np.float32)
+            held[of[a:b], column[a:b] - i * COLUMNS] = 1
+            both += held @ held.T
+        union = sizes[:, None] + sizes[None, :] - both
+        lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
+        link = (both >= similarity * union) & (labels[:, None] != labels[None, :])
+        link &= (block == lo)[:, None] & (block == hi)[None, :]
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                x = up
+            return x
+
+        out = []
+        for i, j in np.argwhere(link).tolist():
+            x, y = top(int(labels[i])), top(int(labels[j]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((int(tids[i]), int(tids[j])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
 
 
 def deduplicated(df: DataFrame, text: str = "text", **options) -> DataFrame:

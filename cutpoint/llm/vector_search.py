@@ -133,7 +133,7 @@ def top_k(
 
     A row isn't a candidate of its own; rows that repeat a key are (of each other). Ties go to the smaller
     key. Vectors of different lengths are compared as if zeros followed; empty ones score 0. Rows with a
-    null key take no part. An empty table gives no rows.
+    null key take no part. An empty table gives no rows. Squared norms must fit a long, else Spark raises.
     """
     spark = df.sparkSession
     vectors = settle(whole_vectors(df, key, vector, scale))

@@ -30,7 +30,7 @@ SHINGLE = 5
 BLOCK = 100_000
 COLUMNS = 8192
 #: Words whose darts are thrown at a time.
-STRETCH = 1 << 20
+STRETCH = 1 << 19
 
 _ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64

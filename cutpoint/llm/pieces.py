@@ -27,7 +27,7 @@ MARK = "▁"
 #: Blocks longer than this are segmented without being remembered.
 LONGEST_REMEMBERED = 64
 #: Remembered words of one Python worker; beyond, those not met lately are forgotten.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: Characters of normalised text split into blocks at a time.
 STRETCH = 1 << 20
 #: Bytes of results handed back to Spark at a time.

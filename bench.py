@@ -8,6 +8,8 @@ import time
 
 from pyspark.sql import SparkSession
 
+from checks.folders import name_folder
+
 HEADLINE = [
     "stage_query_history",
     "incremental_append",
@@ -41,6 +43,7 @@ def session(cpus: int) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    name_folder(spark)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

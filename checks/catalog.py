@@ -108,6 +108,22 @@ def metering_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_staged(spark, path, METERING).selectExpr(*METERING_COLUMNS)
 
 
+def metering_withdrawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first load that holds a row on a day which the source withdraws before the next load."""
+    path = new_table_path(spark, "metering")
+    cfg = bindings.EVENTS_CONFIG
+    source = bindings.events_metering(spark, sf_dir)
+    extra = source.orderBy("start_time", "warehouse_name").limit(1).selectExpr(
+        *[
+            f"TIMESTAMP_NTZ'2024-01-31 23:00:00' AS {c}" if c in ("start_time", "end_time") else c
+            for c in source.columns
+        ]
+    )
+    staging.reload_metering(source.unionByName(extra), path, cfg, LAST_LOAD)
+    staging.reload_metering(source, path, cfg, LAST_LOAD)
+    return read_staged(spark, path, METERING).selectExpr(*METERING_COLUMNS)
+
+
 def staging_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = bindings.EVENTS_CONFIG
     return staging.coverage(
@@ -181,6 +197,7 @@ def all_queries() -> dict[str, Query]:
         "stage_metering": stage_metering,
         "incremental_append": incremental_append,
         "metering_reload": metering_reload,
+        "metering_withdrawn": metering_withdrawn,
         "staging_coverage": staging_coverage,
         "high_water_mark": high_water_mark,
     }

@@ -141,6 +141,7 @@ def half(effect_base: str = "mb") -> str:
 
 # ---- one test per summary, as steps -------------------------------------------------------------
 
+# Bounds, labels and their order are fixed values: they define the result.
 PERF_STEPS = {
     "pw": welch("perf", "med"),
     "px": f"""SELECT *, (1 - mg / nullif(mb, 0)) * 100 AS speedup,
@@ -189,6 +190,7 @@ def wide(alias: str, expression: str, source: str) -> str:
     )
 
 
+# Bounds, labels and their order are fixed values: they define the result.
 COST_STEPS = {
     "aw": welch("cost", "all_cpq"),
     "mw": welch("cost", "pat_cpq"),
@@ -231,6 +233,7 @@ COST_STEPS = {
         FROM cx""",
 }
 
+# Bounds, labels and their order are fixed values: they define the result.
 RATE_STEPS = {
     "rw": welch("okrate", "rate"),
     "rt": """SELECT CAST(sum(n) FILTER (p = 'GEN1') AS BIGINT) AS n1, CAST(sum(n) FILTER (p = 'GEN2') AS BIGINT) AS n2,
@@ -558,6 +561,7 @@ def all_statements() -> dict[str, str]:
         "stage_metering": staged(EVENTS, after, "meters"),
         "incremental_append": staged(EVENTS, after, "runs"),
         "metering_reload": staged(EVENTS, after, "meters"),
+        "metering_withdrawn": staged(EVENTS, after, "meters"),
         "staging_coverage": coverage(EVENTS, after),
         "high_water_mark": f"""SELECT coalesce(max(start_time), TIMESTAMP '1970-01-01 00:00:00') AS high_water_mark
             FROM ({EVENTS['runs']}) WHERE start_time < TIMESTAMP '2024-01-20 00:00:00'""",

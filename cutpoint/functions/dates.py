@@ -16,6 +16,11 @@ def utc_time(value: datetime) -> str:
     return f"TIMESTAMP_NTZ'{value.isoformat(sep=' ')}'"
 
 
+def from_instant(x: str) -> str:
+    """UTC wall-clock time of an instant. Counted from the epoch: the wall clock of a session zone repeats hours."""
+    return f"timestampadd(MICROSECOND, unix_micros({x}), TIMESTAMP_NTZ'1970-01-01 00:00:00')"
+
+
 def utc_wall_clock(df: DataFrame, name: str) -> str:
     """The column as a zone-less UTC timestamp, whatever the session time zone is.
 
@@ -25,7 +30,7 @@ def utc_wall_clock(df: DataFrame, name: str) -> str:
     if isinstance(dtype, T.TimestampNTZType):
         return name
     if isinstance(dtype, T.TimestampType):
-        return f"convert_timezone('UTC', CAST({name} AS TIMESTAMP_NTZ))"
+        return from_instant(name)
     raise TypeError(f"{name} must be a timestamp, not {dtype.simpleString()}")
 
 

@@ -20,14 +20,14 @@ def number(value: float) -> str:
 def rounded(x: str, places: int) -> str:
     """HALF_UP rounding through a decimal, so that ties do not depend on the binary form of ``x``.
 
-    Values beyond 10^28 do not fit the decimal and give NULL.
+    Values beyond 10^28, NaN and infinity do not fit the decimal: the query fails (in ANSI mode, the default).
     """
-    return f"CAST(round(try_cast({x} AS DECIMAL(38,10)), {places}) AS DOUBLE)"
+    return f"CAST(round(CAST({x} AS DECIMAL(38,10)), {places}) AS DOUBLE)"
 
 
 def shown(x: str, places: int) -> str:
     """A number as text with a fixed count of decimals, whatever its type."""
-    return f"CAST(round(try_cast({x} AS DECIMAL(38,10)), {places}) AS STRING)"
+    return f"CAST(round(CAST({x} AS DECIMAL(38,10)), {places}) AS STRING)"
 
 
 def ratio(x: str, y: str) -> str:

@@ -14,6 +14,7 @@ from cutpoint.plans.regressions import pattern_regressions, top_patterns
 from cutpoint.plans.reliability import error_analysis, reliability
 from cutpoint.plans.validation import data_validation
 from cutpoint.plans.workload import Workload
+from cutpoint.session import settle
 
 REPORTS: dict[str, Callable[[Workload], DataFrame]] = {
     "data_validation": data_validation,
@@ -43,10 +44,11 @@ def top_improvements(w: Workload, limit: int = 20) -> DataFrame:
 def create_views(w: Workload, prefix: str = "") -> list[str]:
     """Register every report as a temporary view for SQL users.
 
-    The configuration is fixed at this point; call again after changing it.
+    The results are written as tables now, so the views are one snapshot that later loads don't touch;
+    call again for new ones.
     """
     names = []
     for name, report in REPORTS.items():
-        report(w).createOrReplaceTempView(prefix + name)
+        settle(report(w)).createOrReplaceTempView(prefix + name)
         names.append(prefix + name)
     return names

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
 
 from cutpoint.config import Config, utc_today
-from cutpoint.functions.dates import day, midnight, time_dimensions, utc_time, utc_wall_clock
+from cutpoint.functions.dates import day, from_instant, midnight, time_dimensions, utc_time, utc_wall_clock
 from cutpoint.operators.scope import in_scope, period_label
 from cutpoint.sources.schema import (
     METERING,
@@ -52,7 +52,7 @@ def _stage(
     return source.where(" AND ".join(conditions)).selectExpr(
         *[f"{times.get(c, c)} AS {c}" for c in source.columns],
         *[f"{expression} AS {name}" for name, expression in time_dimensions(start).items()],
-        "convert_timezone('UTC', localtimestamp()) AS last_inserted_at",
+        f"{from_instant('current_timestamp()')} AS last_inserted_at",
     )
 
 
@@ -92,17 +92,22 @@ def refresh_metering(source: DataFrame, path: str, cfg: Config, as_of=None) -> N
     _write(stage_metering_rows(source, cfg, as_of), path, [], "overwrite")
 
 
-def high_water_mark(staged: DataFrame) -> datetime:
+def high_water_mark(staged: DataFrame, as_of: datetime | date | None = None) -> datetime:
     """Latest staged start time, the epoch for an empty table. One value reaches the driver.
 
-    The latest day is found first: it needs only the partition column, so the start times of one
-    day are read instead of the whole table's.
+    Days are searched backwards from ``as_of``, in steps that grow, with a filter on the partition column:
+    a daily load opens the files of the last days only, however many the table has.
     """
-    latest_day = group_by(staged, [], ["max(activity_date)"]).first()[0]
-    if latest_day is None:
-        return EPOCH
-    latest = staged.where(f"activity_date = {day(latest_day)}")
-    return group_by(latest, [], ["max(start_time)"]).first()[0] or EPOCH
+    upper, days = None, 4
+    while True:
+        lower = utc_today(as_of) - timedelta(days=days)
+        limits = [f"activity_date < {day(upper)}"] if upper else []
+        limits += [f"activity_date >= {day(lower)}"] if lower.year > 1970 else []
+        latest = staged.where(" AND ".join(limits) or "TRUE")
+        mark = group_by(latest, [], ["max(start_time)"]).first()[0]
+        if mark is not None or lower.year <= 1970:
+            return mark or EPOCH
+        upper, days = lower, days * 8
 
 
 def _staged(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -124,7 +129,7 @@ def append_query_history(
     staged yet. An empty table is loaded from the start of the first week.
     """
     staged = _staged(source.sparkSession, path, QUERY_HISTORY)
-    mark = high_water_mark(staged)
+    mark = high_water_mark(staged, as_of)
     if mark == EPOCH:
         rows = stage_query_rows(source, cfg, as_of)
     elif overlap_days:
@@ -141,11 +146,12 @@ def reload_metering(source: DataFrame, path: str, cfg: Config, as_of=None) -> No
     """Replace staged metering from the latest staged interval on, which the source may revise.
 
     Only the days from the mark's day on are rewritten, in one write: the kept earlier intervals of
-    that day together with the new rows. A rerun gives the same table. (A day is replaced when the
-    result has rows for it; a source that withdraws a whole day needs a full refresh.)
+    that day together with the new rows. Where neither are left, the source has withdrawn the day: its
+    folder is emptied, before the later days are written. A rerun gives the same table, also after a
+    failure in between: the mark is then an earlier one.
     """
     staged = _staged(source.sparkSession, path, METERING)
-    mark = high_water_mark(staged)
+    mark = high_water_mark(staged, as_of)
     if mark == EPOCH:
         _write(stage_metering_rows(source, cfg, as_of), path, [], "append")
         return
@@ -153,6 +159,10 @@ def reload_metering(source: DataFrame, path: str, cfg: Config, as_of=None) -> No
         f"activity_date = {day(mark.date())} AND start_time < {utc_time(mark)}"
     )
     rows = kept.unionByName(stage_metering_rows(source, cfg, as_of, mark))
+    if rows.where(f"activity_date = {day(mark.date())}").isEmpty():
+        nothing = rows.limit(0).drop("activity_date")
+        nothing.write.mode("overwrite").parquet(f"{path}/activity_date={mark.date().isoformat()}")
+        rows = stage_metering_rows(source, cfg, as_of, mark)
     _write(rows, path, [], "overwrite", "dynamic")
 
 

@@ -2,24 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str | None:
-    """The folder for intermediate tables: the checkpoint folder of the session.
-
-    A cluster names it in ``spark.checkpoint.dir``. Only a local master, where every task runs on
-    this machine, may fall back to a temporary folder. None on a cluster that names no folder.
-    """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder is None and sc.master.split("[")[0] == "local":
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cutpoint-"))
-        folder = sc.getCheckpointDir()
-    return folder
+    """The folder for intermediate tables: the session's checkpoint folder (``spark.checkpoint.dir``)."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
@@ -33,12 +23,9 @@ def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once for several readers, in a form that outlives lost executors.
 
     Written as a table to the shared folder, so that later scans prune columns and the planner
-    knows the size. On a cluster without such a folder it is persisted instead; Spark recomputes
-    lost blocks from the sources.
+    knows the size. A session that names no such folder is refused.
     """
     spark = df.sparkSession
-    if shared_folder(spark) is None:
-        return df.persist()
     path = new_table_path(spark, "settled")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

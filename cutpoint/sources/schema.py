@@ -72,12 +72,30 @@ QUERY_HISTORY = staged(QUERY_HISTORY_SOURCE)
 METERING = staged(METERING_SOURCE)
 
 
+#: Without these columns every report would be empty or zero, so a source must have them.
+REQUIRED = frozenset(
+    {
+        "start_time",
+        "warehouse_name",
+        "execution_status",
+        "execution_time",
+        "bytes_scanned",
+        "query_parameterized_hash",
+        "credits_used",
+    }
+)
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select the schema's columns in order, cast to its types; absent ones become NULL.
+    """Select the schema's columns in order, cast to its types; absent ones become NULL, unless REQUIRED.
 
     Timestamps keep their kind (instant or zone-less): staging turns both into UTC wall-clock time.
     """
 
+    missing = [f.name for f in schema.fields if f.name in REQUIRED and f.name not in df.columns]
+    if missing:
+        raise ValueError(f"the source lacks {', '.join(missing)}")
+
     def column(f: T.StructField) -> str:
         if f.name in df.columns and isinstance(f.dataType, T.TimestampNTZType):
             return f.name

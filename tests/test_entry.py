@@ -3,7 +3,9 @@
 import pytest
 
 import __spark_entry__ as entry
+from checks.catalog import all_queries
 from checks.compare import duck_rows, spark_rows
+from checks.oracles import all_statements
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -15,9 +17,10 @@ def test_entry(compiled_spark):
 
 
 def test_names():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert all_queries().keys() == all_statements().keys()
+    assert entry.oracle_sql().keys() <= entry.queries().keys()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query(compiled_spark, name):
     assert spark_rows(entry.queries()[name](compiled_spark, FOLDER)) == duck_rows(FOLDER, entry.oracle_sql()[name])

@@ -4,7 +4,9 @@ import datetime as dt
 
 import pytest
 
+from cutpoint import Config, Workload
 from cutpoint.functions import labels as L
+from cutpoint.plans import staging
 from cutpoint.plans.cost import cost_daily, cost_welch_test, daily_trend
 from cutpoint.plans.decision import migration_decision
 from cutpoint.plans.performance import perf_by_dow, perf_daily, perf_summary, perf_welch_test
@@ -12,6 +14,8 @@ from cutpoint.plans.regressions import pattern_regressions, top_patterns
 from cutpoint.plans.reliability import error_analysis, reliability
 from cutpoint.plans.reports import REPORTS, create_views
 from cutpoint.plans.validation import data_validation
+from cutpoint.session import new_table_path
+from cutpoint.sources.schema import METERING, QUERY_HISTORY, read_staged
 from tests.conftest import CUTOVER
 
 
@@ -64,6 +68,25 @@ def test_views(spark, steady):
     assert spark.sql("SELECT assessment FROM t_migration_decision").count() == 1
 
 
+def test_views_outlive_a_load(spark, steady):
+    paths = [new_table_path(spark, n) for n in ("qh", "wh")]
+    cfg = Config(cutover=CUTOVER, lookback_days=30, lookahead_days=29)
+
+    def load(n: int):
+        runs, meters = steady.sources()
+        staging.append_query_history(runs, paths[0], cfg, CUTOVER + dt.timedelta(days=n))
+        staging.reload_metering(meters, paths[1], cfg, CUTOVER + dt.timedelta(days=n))
+        tables = read_staged(spark, paths[0], QUERY_HISTORY), read_staged(spark, paths[1], METERING)
+        return Workload(*tables, cfg, share=True)
+
+    create_views(load(20), "s_")
+    before = spark.table("s_cost_daily").collect()
+    fresh = load(25)
+    assert spark.table("s_cost_daily").collect() == before
+    create_views(fresh, "s_")
+    assert spark.table("s_cost_daily").count() == len(before) + 5
+
+
 def test_perf_daily_scope(facts):
     for ms in (1000, 2000, 3000):
         facts.run(-1, ms)

@@ -81,6 +81,39 @@ def test_revised_metering_is_replaced(spark, facts):
         assert sorted(float(r["credits_used"]) for r in found) == [1, 2, 3, 5, 7]
 
 
+def test_withdrawn_day_is_emptied(spark, facts):
+    path = new_table_path(spark, "wh")
+    facts.meter(-1, "1", hour=5)
+    facts.meter(0, "5", hour=0)
+    staging.reload_metering(facts.sources()[1], path, config(), as_of(1))
+    del facts.meters[1]  # the source withdraws the day of the mark
+    facts.meter(1, "2", hour=3)
+    for _ in range(2):
+        staging.reload_metering(facts.sources()[1], path, config(), as_of(2))
+        assert sorted(float(r["credits_used"]) for r in read_staged(spark, path, METERING).collect()) == [1, 2]
+
+
+def test_mark_opens_the_last_days_only(spark, history):
+    path = new_table_path(spark, "qh")
+    staging.refresh_query_history(history.sources()[0], path, config(), as_of(9))
+    staged = read_staged(spark, path, QUERY_HISTORY)
+    assert staging.high_water_mark(staged, as_of(10)) == staging.high_water_mark(staged, as_of(400))
+    assert staging.high_water_mark(staged.limit(0), as_of(10)) == staging.EPOCH
+
+
+def test_a_source_must_have_what_the_reports_rest_on(facts):
+    facts.run(0)
+    facts.meter(0, "1")
+    runs, meters = facts.sources()
+    for source, stage, column in (
+        (runs, staging.stage_query_rows, "bytes_scanned"),
+        (meters, staging.stage_metering_rows, "credits_used"),
+    ):
+        with pytest.raises(ValueError, match=column):
+            stage(source.drop(column), config(), as_of(1))
+    staging.stage_query_rows(runs.drop("queued_repair_time"), config(), as_of(1)).collect()
+
+
 def test_late_rows_need_the_overlap(spark, facts):
     for n in (-3, -2, -1):
         facts.run(n)
@@ -118,9 +151,26 @@ def test_times_are_utc_in_any_session(spark, facts):
     assert row["week_start_date"] == dt.datetime(2024, 3, 11)
 
 
+def test_the_hour_that_repeats_in_autumn_stays_two_hours(spark):
+    from cutpoint.functions.dates import utc_wall_clock
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = " UNION ALL ".join(f"SELECT TIMESTAMP_LTZ'2024-11-03 0{h}:30:00+00:00' AS t" for h in (5, 6))
+        df = spark.sql(rows)
+        found = sorted(r[0] for r in df.selectExpr(utc_wall_clock(df, "t")).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert found == [dt.datetime(2024, 11, 3, 5, 30), dt.datetime(2024, 11, 3, 6, 30)]
+
+
 def test_a_large_day_is_split_over_files(spark):
     cfg = config()
     source = spark.range(200_000).selectExpr(
+        "1L AS execution_time",
+        "'SUCCESS' AS execution_status",
+        "1L AS bytes_scanned",
         "CAST(id AS STRING) AS query_id",
         "'ANALYTICS_A' AS warehouse_name",
         "sha2(CAST(id AS STRING), 256) AS query_parameterized_hash",

@@ -84,13 +84,17 @@ def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.selectExpr("doc_id", f"{HELD_OUT} AS held_out", "score", "CAST(score >= 0.3 AS INT) AS predicted")
 
 
+#: Chosen on the labelled rows that the model learns from, where clean texts stay well below.
+TOXIC = 0.2
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity of all documents, learnt without the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(f"NOT ({HELD_OUT})")
     scored = toxicity.score(docs, toxicity.train(docs, labels), keep=["doc_id"])
     return scored.selectExpr(
-        "doc_id", f"{HELD_OUT} AS held_out", "severity", "p_toxic", "CAST(p_toxic >= 0.5 AS INT) AS toxic"
+        "doc_id", f"{HELD_OUT} AS held_out", "severity", "p_toxic", f"CAST(p_toxic >= {TOXIC} AS INT) AS toxic"
     )
 
 

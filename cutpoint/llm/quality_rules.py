@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cutpoint.llm.texts import free_name, quoted, whole, without, words
 from cutpoint.session import settle
 
-SYMBOLS = "#*$%&|<>"
-BLANK = " \t\n\x0b\x0c\r"
+SYMBOLS = "[#*$%&|<>]"
 
 #: Statistics that the base rules and the contract name; the learnt rules use SHARES.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -36,9 +35,9 @@ SHARES = {
 EXTRA = ("n_lines", "n_distinct_words", "n_capitals", "n_marks", "n_digits")
 
 
-def _without_chars(text: str, chars: str) -> str:
-    escaped = chars.replace("\\", "\\\\").replace("'", "\\'")
-    return f"length(translate({text}, '{escaped}', ''))"
+def _held(text: str, chars: str) -> str:
+    """SQL of the number of characters of a class; a pattern skips the others without copying each."""
+    return f"CAST(length({text}) - length(regexp_replace({text}, '{chars}+', '')) AS BIGINT)"
 
 
 def statistics(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -81,15 +80,15 @@ def statistics(df: DataFrame, text: str = "text", keep: list[str] | None = None)
     )
     values = {
         "n_words": f"CAST(size({w}) AS BIGINT)",
-        "word_chars": f"CAST({_without_chars(t, BLANK)} AS BIGINT)",
-        "n_symbols": f"CAST(length({t}) - {_without_chars(t, SYMBOLS)} AS BIGINT)",
+        "word_chars": f"CAST(length(array_join({w}, '')) AS BIGINT)",
+        "n_symbols": _held(t, SYMBOLS),
         "n_dup_lines": f"CAST(size({lines}) - size(array_distinct({lines})) AS BIGINT)",
         "n_repeat_words": covered,
         "n_lines": f"CAST(size({lines}) AS BIGINT)",
         "n_distinct_words": f"CAST(size(array_distinct({h})) AS BIGINT)",
-        "n_capitals": f"CAST(length({t}) - length(regexp_replace({t}, '\\\\p{{Lu}}+', '')) AS BIGINT)",
-        "n_marks": f"CAST(length({t}) - {_without_chars(t, '!?')} AS BIGINT)",
-        "n_digits": f"CAST(length({t}) - {_without_chars(t, '0123456789')} AS BIGINT)",
+        "n_capitals": _held(t, r"\\p{Lu}"),
+        "n_marks": _held(t, "[!?]"),
+        "n_digits": _held(t, "[0-9]"),
     }
     # Generated rather than projected: a filter on the statistics would otherwise be pushed below every step
     # above, with all of their expressions copied into it.

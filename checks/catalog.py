@@ -146,7 +146,7 @@ def high_water_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scope_rows(w: Workload) -> DataFrame:
-    return w.query_days.select(
+    return w.count_days.select(
         "activity_date", "period_type", "total_queries", "pattern_queries", "cached_queries", "live_queries"
     )
 

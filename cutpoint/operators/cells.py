@@ -20,6 +20,24 @@ QUEUE_MS = (
 )
 
 
+def workload_counts(marked_rows: DataFrame, cfg: Config) -> DataFrame:
+    """Rows (keys, activity_date, warehouse_name, is_pattern, is_live, is_cached, is_success, n).
+
+    Enough for every report that counts runs and reads no times: days × warehouses × kinds of run.
+    """
+    by = dict.fromkeys([*cfg.keys, "activity_date", "warehouse_name"])
+    return group_by(marked_rows.selectExpr(*by, *_kinds()), [*by, *FLAGS], ["count(1) AS n"])
+
+
+def _kinds() -> list[str]:
+    return [
+        "is_pattern",
+        f"{DID_WORK} AS is_live",
+        f"{FROM_RESULT_CACHE} AS is_cached",
+        f"{SUCCEEDED} AS is_success",
+    ]
+
+
 def workload_cells(marked_rows: DataFrame, cfg: Config, *, with_queue: bool) -> DataFrame:
     """Rows (keys, activity_date, measure, is_pattern, is_live, is_cached, is_success, ms, n).
 
@@ -31,10 +49,7 @@ def workload_cells(marked_rows: DataFrame, cfg: Config, *, with_queue: bool) ->
     day = [*cfg.keys, "activity_date"]
     kinds = marked_rows.selectExpr(
         *day,
-        "is_pattern",
-        f"{DID_WORK} AS is_live",
-        f"{FROM_RESULT_CACHE} AS is_cached",
-        f"{SUCCEEDED} AS is_success",
+        *_kinds(),
         f"CAST(CASE WHEN {DID_WORK} THEN execution_time END AS BIGINT) AS ms",
         *([f"CAST({QUEUE_MS} AS BIGINT) AS queue_ms"] if with_queue else []),
     )

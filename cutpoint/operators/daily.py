@@ -18,14 +18,14 @@ def seconds(x100: str) -> str:
     return f"({x100} / 100000D)"
 
 
-def daily_counts(cells: DataFrame, cfg: Config) -> DataFrame:
-    """Run counts per day, all scopes side by side."""
+def daily_counts(kinds: DataFrame, cfg: Config) -> DataFrame:
+    """Run counts per day, all scopes side by side, from counts per kind of run (``n``)."""
 
     def runs(condition: str, name: str) -> str:
         return f"coalesce(sum(CASE WHEN {condition} THEN n END), 0) AS {name}"
 
     return group_by(
-        cells.where(f"measure = '{EXEC}'"),
+        kinds,
         [*cfg.keys, "activity_date"],
         [
             "sum(n) AS total_queries",
@@ -66,7 +66,7 @@ def daily_percentiles(cells: DataFrame, cfg: Config, *, with_queue: bool) -> Dat
 def daily_queries(cells: DataFrame, cfg: Config, *, with_queue: bool) -> DataFrame:
     """Per day with runs: counts, success rates, percentiles, tail and queue figures."""
     keys = [*cfg.keys, "activity_date"]
-    days = daily_counts(cells, cfg).join(
+    days = daily_counts(cells.where(f"measure = '{EXEC}'"), cfg).join(
         daily_percentiles(cells, cfg, with_queue=with_queue), keys, "left"
     )
 

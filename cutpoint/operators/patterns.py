@@ -10,6 +10,8 @@ from cutpoint.operators.scope import PATTERN, in_scope, in_window, is_after
 from cutpoint.session import group_by, query
 
 IN_BOTH = "gen1_runs > 0 AND gen2_runs > 0"
+# What a row of a broadcast takes besides its text.
+ROW_BYTES = 64
 
 
 def pattern_presence(query_history: DataFrame, cfg: Config) -> DataFrame:
@@ -34,43 +36,46 @@ def matched_only(presence: DataFrame) -> DataFrame:
     return presence.where(IN_BOTH)
 
 
-def mark_matched(rows: DataFrame, presence: DataFrame, cfg: Config) -> DataFrame:
+def mark_matched(
+    rows: DataFrame, presence: DataFrame, cfg: Config, matched: str = IN_BOTH
+) -> DataFrame:
     """Add ``is_pattern``. ``presence`` must be settled: it is measured here, then joined.
 
-    A matched set within the broadcast limits leaves the fact rows where they are. A larger one is
+    ``matched`` is the condition on ``presence`` that a pattern must meet. A matched set within the broadcast limits leaves the fact rows where they are. A larger one is
     joined by a shuffle in which no pattern can overload a partition, see ``_mark_by_shuffle``.
     """
+    on = [*cfg.keys, PATTERN]
+    width = " + ".join(f"coalesce(octet_length(CAST({c} AS STRING)), 0)" for c in on)
     size = query(
-        f"""SELECT count_if({IN_BOTH}) AS matched,
-                   coalesce(sum(CASE WHEN {IN_BOTH} THEN octet_length({PATTERN}) END), 0) AS bytes,
+        f"""SELECT count_if({matched}) AS matched,
+                   coalesce(sum(CASE WHEN {matched} THEN {width} + {ROW_BYTES} END), 0) AS bytes,
                    coalesce(sum(gen1_runs + gen2_runs), 0) AS runs
             FROM {{presence}}""",
         presence=presence,
     ).first()
-    on = [*cfg.keys, PATTERN]
-    flags = matched_only(presence).selectExpr(*on, "true AS matched_flag")
+    flags = presence.where(matched).selectExpr(*on, "true AS matched_flag")
     limits = cfg.tuning
     if size["matched"] <= limits.broadcast_max_rows and size["bytes"] <= limits.broadcast_max_bytes:
         marked = rows.join(F.broadcast(flags), on, "left")
     else:
-        marked = _mark_by_shuffle(rows, presence, flags, on, size["runs"])
+        marked = _mark_by_shuffle(rows, presence, flags, on, size["runs"], matched)
     return marked.selectExpr(*rows.columns, "coalesce(matched_flag, false) AS is_pattern")
 
 
 def _mark_by_shuffle(
-    rows: DataFrame, presence: DataFrame, flags: DataFrame, on: list[str], total_runs: int
+    rows: DataFrame, presence: DataFrame, flags: DataFrame, on: list[str], total_runs: int, matched: str
 ) -> DataFrame:
     """Shuffle join in which only patterns with a small share of the rows meet by key.
 
     With P shuffle partitions, fewer than P patterns can each hold more than 1/P of the runs.
     Those frequent ones are answered by a broadcast of fewer than P rows; they, and rows without a
     pattern, are then spread over all partitions by a hash of the row instead of their key. The
-    other side has one row per pattern, which hashes evenly, so each partition's part is a small
-    hash table and the fact rows need no sort.
+    other side has one row per pattern, which hashes evenly. The join sorts and merges, so that a
+    partition's part of the patterns may be larger than a task's memory: it spills.
     """
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     frequent = presence.where(f"(gen1_runs + gen2_runs) * {partitions} > {total_runs}").selectExpr(
-        *on, f"({IN_BOTH}) AS frequent_flag"
+        *on, f"({matched}) AS frequent_flag"
     )
     others = ", ".join(c for c in rows.columns if c not in on)
     # More slots than partitions, so that their uneven placement evens out. The slot of a joined row
@@ -86,6 +91,6 @@ def _mark_by_shuffle(
             f"CASE WHEN frequent_flag IS NOT NULL OR {PATTERN} IS NULL THEN {by_row}"
             f" ELSE {by_key} END AS slot",
         )
-        .join(flags.selectExpr("*", f"{by_key} AS slot").hint("shuffle_hash"), [*on, "slot"], "left")
+        .join(flags.selectExpr("*", f"{by_key} AS slot").hint("merge"), [*on, "slot"], "left")
         .selectExpr(*rows.columns, "coalesce(frequent_flag, matched_flag) AS matched_flag")
     )

@@ -207,7 +207,7 @@ def daily_trend(w: Workload) -> DataFrame:
         "p95_exec_sec": "pattern_p95_exec_sec",
         "success_rate_pct": "pattern_success_rate_pct",
     }
-    return w.cost_days.where(IS_METERED).selectExpr(
+    return w.trend_days.where(IS_METERED).selectExpr(
         *w.cfg.keys,
         "activity_date",
         "period_type",

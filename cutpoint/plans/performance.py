@@ -110,7 +110,7 @@ def perf_by_dow(w: Workload) -> DataFrame:
     ]
     times = group_by(found, weekday, picks)
     counts = group_by(
-        with_calendar(daily_counts(w.cells, cfg).where(HAS_PERF), cfg),
+        with_calendar(daily_counts(w.cells.where(f"measure = '{EXEC}'"), cfg).where(HAS_PERF), cfg),
         weekday,
         [*per_period("days", "count", "1"), *per_period("runs", "sum", "query_count")],
     ).where(in_both_periods("days"))

@@ -10,6 +10,7 @@ from cutpoint.functions.ladders import pattern_status
 from cutpoint.functions.numeric import rounded, speedup_pct, text
 from cutpoint.operators.compare import PERIODS, per_period
 from cutpoint.operators.daily import seconds
+from cutpoint.operators.patterns import mark_matched
 from cutpoint.operators.quantiles import exact_percentiles
 from cutpoint.operators.scope import DID_WORK, PATTERN, SUCCEEDED, only_days, period_label
 from cutpoint.plans.workload import Workload
@@ -26,14 +27,18 @@ def _compared_runs(w: Workload) -> DataFrame:
 def _compared(w: Workload) -> DataFrame:
     """Patterns with enough runs in both periods: times, ladders and first day; no samples, no order.
 
-    The runs are reduced to (pattern, period, milliseconds) counts before anything is grouped by
-    pattern, so a pattern with a third of all runs is spread over its distinct times. The counts
-    are settled: three steps read them, and the runs are scanned and shuffled once.
+    A pattern's presence counts all of its runs, so patterns whose presence is too small in a period
+    drop out before anything is shuffled. The rest is reduced to (pattern, period, milliseconds) counts
+    before it is grouped by pattern, so a pattern with a third of all runs is spread over its distinct
+    times. The counts are settled: three steps read them.
     """
     cfg = w.cfg
     by = [*cfg.keys, "pattern_hash"]
     least = cfg.thresholds.min_pattern_runs
-    runs = _compared_runs(w).selectExpr(
+    enough = f"gen1_runs >= {least} AND gen2_runs >= {least}"
+    needed = [*cfg.keys, PATTERN, "activity_date", "execution_time"]
+    marked = mark_matched(_compared_runs(w).select(*needed), w.presence, cfg, enough)
+    runs = marked.where("is_pattern").selectExpr(
         *cfg.keys,
         f"{PATTERN} AS pattern_hash",
         f"{period_label(cfg)} AS period_type",

@@ -9,7 +9,7 @@ from cutpoint.functions import explanations as X
 from cutpoint.functions.ladders import data_sufficiency
 from cutpoint.functions.numeric import percent, rounded
 from cutpoint.operators.compare import add, per_period
-from cutpoint.operators.daily import daily_counts, with_calendar
+from cutpoint.operators.daily import with_calendar
 from cutpoint.operators.scope import in_scope, in_window, period_label
 from cutpoint.plans.workload import Workload
 from cutpoint.session import group_by
@@ -21,7 +21,7 @@ def data_validation(w: Workload) -> DataFrame:
     keys = [*cfg.keys]
     by = [*keys, "period_type"]
     per_day = group_by(
-        with_calendar(daily_counts(w.cells, cfg), cfg),
+        w.count_days,
         by,
         [
             "count(activity_date) AS query_days",
@@ -34,7 +34,7 @@ def data_validation(w: Workload) -> DataFrame:
         ],
     )
     warehouses = group_by(
-        w.rows.selectExpr(*keys, f"{period_label(cfg)} AS period_type", "warehouse_name AS name"),
+        with_calendar(w.counts, cfg).selectExpr(*by, "warehouse_name AS name"),
         by,
         ["count(DISTINCT name) AS warehouse_count"],
     )

@@ -7,8 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from cutpoint.config import Config
-from cutpoint.operators.cells import workload_cells
-from cutpoint.operators.daily import daily_metering, daily_queries, with_calendar, with_cost
+from cutpoint.operators.cells import workload_cells, workload_counts
+from cutpoint.operators.daily import daily_counts, daily_metering, daily_queries, with_calendar, with_cost
 from cutpoint.operators.patterns import mark_matched, matched_only, pattern_presence
 from cutpoint.operators.scope import PATTERN, in_scope, in_window
 from cutpoint.session import settle
@@ -17,8 +17,9 @@ from cutpoint.session import settle
 class Workload:
     """Staged facts under comparison.
 
-    Two narrow passes over the query history feed all daily reports: one counts pattern runs per
-    period, one reduces the marked rows to cells (``workload_cells``). Both results are settled, so
+    Two narrow passes over the query history feed a daily report: one counts pattern runs per
+    period, one reduces the marked rows, to cells (``workload_cells``) for reports of times, to plain
+    counts (``workload_counts``) for reports of volume and cost. All results are settled, so
     no later step and no lost executor reads the facts again; every later step works on tables that
     grow with days and distinct milliseconds, not with runs.
 
@@ -54,7 +55,8 @@ class Workload:
     def marked_rows(self) -> DataFrame:
         """Rows with ``is_pattern``, cut down to the columns the cells need."""
         needed = [
-            *self.cfg.keys,
+            *[k for k in self.cfg.keys if k != "warehouse_name"],
+            "warehouse_name",
             "activity_date",
             "start_time",
             PATTERN,
@@ -67,6 +69,15 @@ class Workload:
         ]
         return mark_matched(self.rows.select(*needed), self.presence, self.cfg)
 
+    @cached_property
+    def counts(self) -> DataFrame:
+        return settle(workload_counts(self.marked_rows, self.cfg))
+
+    @property
+    def count_days(self) -> DataFrame:
+        """Days with runs: counts only, no times."""
+        return with_calendar(daily_counts(self.counts, self.cfg), self.cfg)
+
     @cached_property
     def cells(self) -> DataFrame:
         if self.share:
@@ -98,6 +109,14 @@ class Workload:
 
     @cached_property
     def cost_days(self) -> DataFrame:
+        """Days with runs or metering: counts and cost, no times."""
+        if self.share:
+            return self.all_days
+        queries = daily_counts(self.counts, self.cfg)
+        return with_calendar(with_cost(queries, self.metering_days, self.cfg), self.cfg)
+
+    @cached_property
+    def trend_days(self) -> DataFrame:
         """Days with runs or metering: as ``query_days``, plus cost."""
         if self.share:
             return self.all_days

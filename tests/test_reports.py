@@ -7,7 +7,7 @@ import pytest
 from cutpoint import Config, Workload
 from cutpoint.functions import labels as L
 from cutpoint.plans import staging
-from cutpoint.plans.cost import cost_daily, cost_welch_test, daily_trend
+from cutpoint.plans.cost import cost_by_dow, cost_daily, cost_welch_test, daily_trend
 from cutpoint.plans.decision import migration_decision
 from cutpoint.plans.performance import perf_by_dow, perf_daily, perf_summary, perf_welch_test
 from cutpoint.plans.regressions import pattern_regressions, top_patterns
@@ -151,6 +151,13 @@ def test_cost_days(facts):
     assert trend[day(-2)]["day_of_week"] == "Sat"
 
 
+def test_counting_reports_need_no_percentiles(steady):
+    w = steady.workload()
+    for report in (data_validation, cost_daily, cost_welch_test, cost_by_dow):
+        assert "Window" not in report(w)._jdf.queryExecution().optimizedPlan().toString(), report.__name__
+    assert "cells" not in vars(w) and "cells_with_queue" not in vars(w)
+
+
 def test_mean_of_ratios_and_weighted_ratio(facts):
     """100 credits for 1000 queries and 50 for 100: 0.30 a day on average, 0.136 a query."""
     for n, runs, credits in ((-2, 1000, "100"), (-1, 100, "50"), (1, 1000, "100"), (2, 100, "50")):

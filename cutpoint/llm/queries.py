@@ -126,7 +126,7 @@ def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy word-piece counts of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.count(docs, tokenizer(PIECE_MODEL)).drop("text")
+    return token_counts.count(docs, tokenizer(PIECE_MODEL), mark_alone=True).drop("text")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,14 +26,17 @@ LONGEST_REMEMBERED = 64
 
 
 def vocabulary(model: bytes) -> tuple[list[str], list[str]]:
-    """Pieces that begin a word and pieces within one, from a SentencePiece model file: with and without mark."""
+    """Pieces that begin a word and pieces within one, from a SentencePiece model file: with and without mark.
+
+    The mark alone is a beginning piece with nothing after it: the empty string.
+    """
     first, inner = [], []
     for number, value, _ in fields(model):
         if number == 1:
             piece = {n: v for n, v, _ in fields(value)}
             text = piece.get(1, b"").decode(errors="replace")
-            if piece.get(3, 1) == 1 and text.strip(MARK):
-                (first if text.startswith(MARK) else inner).append(text.lstrip(MARK))
+            if piece.get(3, 1) == 1 and text:
+                (first if text.startswith(MARK) else inner).append(text.removeprefix(MARK))
     return first, inner
 
 
@@ -56,6 +59,8 @@ class Automaton:
         size = len(self.edges)
         #: Where to go on when no edge fits (−1: the word can't be cut), and the pieces done with by then.
         self.link, self.popped = [-1] * size, [0] * size
+        if "" in first:  # the mark alone: any word may go on within
+            self.link[0], self.popped[0] = 1, 1
         todo = deque([0, 1])
         while todo:
             node = todo.popleft()
@@ -92,16 +97,19 @@ class Automaton:
 
 
 @lru_cache(maxsize=2)
-def automaton(model: bytes) -> Automaton:
-    return Automaton(*vocabulary(model))
+def automaton(model: bytes, mark_alone: bool) -> Automaton:
+    first, inner = vocabulary(model)
+    return Automaton(first if mark_alone else [p for p in first if p], inner)
 
 
-_known: dict[bytes, dict[str, int]] = {}
+_known: dict[tuple[bytes, bool], dict[str, int]] = {}
 
 
-def count(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
+def count(df: DataFrame, model_path: str, text: str = "text", *, mark_alone: bool = False) -> DataFrame:
     """Add n_words, n_tokens and n_unknown (long).
 
+    ``mark_alone``: a word that no longer piece begins (numbers, Han) begins with the mark as a piece of its own,
+    as the model has it. Otherwise it is unknown, as to a word-piece tokenizer, which has no such piece.
     A word that can't be cut counts as one token and one unknown word. Null and empty texts have none.
     Columns that already bear these names are replaced.
     """
@@ -114,7 +122,7 @@ def count(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     find = re.compile(WORD).findall
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, known = automaton(model), _known.setdefault(model, {})
+        machine, known = automaton(model, mark_alone), _known.setdefault((model, mark_alone), {})
         for batch in batches:
             sums = np.zeros((3, batch.num_rows), np.int64)
             for i, value in enumerate(batch.column(batch.num_columns - 1)):

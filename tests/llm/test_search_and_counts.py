@@ -5,8 +5,8 @@ import random
 import pytest
 from tokenizers import Tokenizer, models
 
-from cutpoint.llm import secrets, token_counts, vector_search
-from cutpoint.llm.queries import PIECE_MODEL, op10_secrets, tokenizer
+from cutpoint.llm import pieces, secrets, token_counts, vector_search
+from cutpoint.llm.queries import PIECE_MODEL, op9_token_counts, op10_secrets, tokenizer
 
 
 def brute_count(first: set, inner: set, word: str) -> int:
@@ -45,6 +45,49 @@ def test_counts_are_those_of_a_word_piece_tokenizer(odd, odd_rows, empty):
     assert token_counts.count(empty, tokenizer(PIECE_MODEL)).count() == 0
 
 
+def test_words_that_only_the_mark_begins(llm_spark, tmp_path):
+    with open(tokenizer(PIECE_MODEL), "rb") as file:
+        model = [{n: v for n, v, _ in pieces.fields(value)} for number, value, _ in pieces.fields(file.read()) if number == 1]
+    vocab = {p[1].decode() for p in model if p.get(3, 1) == 1}
+    begins = {p for p in vocab if p.startswith(pieces.MARK)}
+
+    def greedy(word: str) -> int:
+        at, n, left = 0, 0, pieces.MARK + word
+        while left:
+            known = vocab - begins if n else begins
+            at = next((e for e in range(len(left), 0, -1) if left[:e] in known), 0)
+            if not at:
+                return 0
+            n, left = n + 1, left[at:]
+        return n
+
+    words = ["2026-12-01", "7", "日本", "中国人民" * 30, "çok", "ñandú", "ßa", "plain", "x1", "▁", "▁▁", "\U000e0001", "1\U000e0001"]
+    counts = {w: greedy(w) for w in words}
+    assert counts["7"] == 2 and counts["2026-12-01"] > 2 and counts["中国人民" * 30] > 30 and counts["\U000e0001"] == 0
+    df = llm_spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {words[r["doc_id"]]: (r["n_words"], r["n_tokens"], r["n_unknown"]) for r in op9_token_counts(llm_spark, str(tmp_path)).collect()}
+    assert got == {w: (1, n or 1, int(not n)) for w, n in counts.items()}
+
+
+@pytest.mark.parametrize("empty_first", [False, True])
+def test_automaton_with_the_mark_alone_is_greedy(empty_first):
+    rng = random.Random(4)
+    piece = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 5)))
+    for _ in range(60):
+        first, inner = {piece() for _ in range(rng.randint(0, 8))}, {piece() for _ in range(rng.randint(0, 12))}
+        machine = token_counts.Automaton([*first, *[""] * empty_first], list(inner))
+        for _ in range(60):
+            word = "".join(rng.choice("abc") for _ in range(rng.randint(1, 12)))
+            begun = any(word.startswith(p) for p in first)
+            if begun or not empty_first:
+                want = brute_count(first, inner, word)
+            else:
+                within = brute_count(inner, inner, word)
+                want = within and within + 1
+            assert machine.count(word) == want, (first, inner, word)
+
+
 @pytest.mark.parametrize("scale", [64.0, 1e8])
 def test_top_k_is_exact(llm_spark, scale, monkeypatch):
     monkeypatch.setattr(vector_search, "BLOCK", 16)

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cutpoint.llm.texts import quoted
 from cutpoint.session import settle
@@ -120,30 +120,37 @@ def correct(size: list[int], chance: list[float], state: list[float], turns: int
 
 
 def _settle_blocks(units: DataFrame, last: bool, seed: int) -> DataFrame:
-    columns = "doc_id long, source string, size long, chance double, base long"
+    columns = "doc_id long, source string, size long, mark long, chance double, base long"
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("size", "descending"), ("order", "ascending"), ("doc_id", "ascending")])
+        group = group.sort_by([("size", "descending"), ("order", "ascending"), ("doc_id", "ascending"), ("mark", "ascending")])
         draw = random.Random(f"{seed} {group['block'][0]} {group['source'][0]} {len(group)}")
         state = flight(group["size"].to_pylist(), group["chance"].to_pylist(), draw, last)
         at = group.schema.get_field_index("chance")
         group = group.set_column(at, "chance", pa.array(state, pa.float64()))
-        return group.select(["doc_id", "source", "size", "chance", "base"])
+        return group.select(["doc_id", "source", "size", "mark", "chance", "base"])
 
     return units.groupBy("source", "block").applyInArrow(run, columns)
 
 
 def sample(units: DataFrame, *, seed: int = 0, block: int = BLOCK) -> DataFrame:
-    """How often each unit is taken: doc_id, source, size, copies.
+    """How often each unit is taken: doc_id, source, size, mark, copies.
 
     ``units`` has doc_id, source, size, rate (double: copies wanted on average), one row per
-    (doc_id, source). Both totals of every source are met up to the landing of its last two units.
+    (doc_id, source), or per (doc_id, source, mark) with a column mark (long). A column n counts the equal
+    texts of the given size that a unit stands for; copies are those of all n, which differ by one text at most
+    from what is wanted. Both totals of every source are met up to the landing of its last two units.
     A rerun takes the same: the order within a block and its draws come from hashes of the ids.
     """
-    open_units = units.selectExpr(
+    for name, value in (("mark", "CAST(NULL AS BIGINT)"), ("n", "1L")):
+        if name not in units.columns:
+            units = units.withColumn(name, F.expr(value))
+    wanted = units.selectExpr("doc_id", "source", "size", "mark", "n * rate AS rate")
+    open_units = wanted.selectExpr(
         "doc_id",
         "source",
         "size",
+        "mark",
         f"CASE WHEN rate - floor(rate) > {1 - NEAR!r}D OR rate - floor(rate) < {NEAR!r}D THEN 0D ELSE rate - floor(rate) END AS chance",
         f"CAST(floor(rate) + CASE WHEN rate - floor(rate) > {1 - NEAR!r}D THEN 1 ELSE 0 END AS BIGINT) AS base",
     )
@@ -157,10 +164,11 @@ def sample(units: DataFrame, *, seed: int = 0, block: int = BLOCK) -> DataFrame:
             "doc_id",
             "source",
             "size",
+            "mark",
             "chance",
             "base",
-            f"xxhash64(doc_id, size, {seed}) AS order",
-            f"pmod(xxhash64(doc_id, {seed}, {turn}), CAST(ceil(n / {block / 2}) AS BIGINT)) AS block"
+            f"xxhash64(doc_id, size, {seed}, mark) AS order",
+            f"pmod(xxhash64(doc_id, {seed}, {turn}, mark), CAST(ceil(n / {block / 2}) AS BIGINT)) AS block"
             if not last
             else "0L AS block",
         )
@@ -173,7 +181,91 @@ def sample(units: DataFrame, *, seed: int = 0, block: int = BLOCK) -> DataFrame:
     result = done[0]
     for more in done[1:]:
         result = result.unionByName(more)
-    return result.selectExpr("doc_id", "source", "size", "base + CAST(chance AS BIGINT) AS copies")
+    return result.selectExpr("doc_id", "source", "size", "mark", "base + CAST(chance AS BIGINT) AS copies")
+
+
+def _unit(key: str, source: str, text: str) -> list[Column]:
+    return [
+        F.col(quoted(key)).cast("long").alias("doc_id"),
+        F.col(quoted(source)).cast("string").alias("source"),
+        F.expr(f"xxhash64({quoted(text)})").alias("mark"),
+    ]
+
+
+def _shares(
+    rows: DataFrame, weights: tuple[float, ...], total: float, most: float, seed: int
+) -> tuple[DataFrame, DataFrame]:
+    """What the rows of each (doc_id, source, mark) are taken: each so often, ``extra`` of them once more; and the targets.
+
+    ``rows`` has doc_id, source, mark (hash of the text) and size. The rows of a key are one unit if together they are
+    no more than a typical text of their source. Rows of larger keys are sampled on their own, those of one text by
+    their number, so no unit is larger than a text and a key may hold any part of its source.
+    """
+    kinds = settle(rows.groupBy("doc_id", "source", "mark").agg(F.max("size").alias("size"), F.count("*").alias("n")))
+    goal = targets(kinds.selectExpr("source", "size * n AS size"), weights, total, most)
+    typical = kinds.groupBy("source").agg(F.expr("sum((size + 1) * n) / sum(n) AS typical"))
+    goal = settle(
+        goal.join(typical.withColumnRenamed("source", "of"), F.expr("source <=> of")).selectExpr(
+            "source AS of",
+            "source_size",
+            "target",
+            "CASE WHEN source_size > 0 THEN target / source_size ELSE 0D END AS rate",
+            "typical",
+        )
+    )
+    keys = kinds.groupBy("doc_id", "source").agg(F.expr("sum(size * n) AS size"), F.sum("n").alias("n")).where("n > 1")
+    keys = settle(
+        keys.join(goal, F.expr("source <=> of")).selectExpr("doc_id", "source", "size", "size + n <= typical AS whole")
+    )
+    of_key = keys.selectExpr("doc_id AS key", "source AS key_source", "whole")
+    kinds = settle(
+        kinds.join(of_key, F.expr("doc_id <=> key AND source <=> key_source"), "left").selectExpr(
+            "doc_id",
+            "source",
+            "mark",
+            "size",
+            "coalesce(whole, FALSE) AS whole",
+            "CASE WHEN NOT whole THEN mark END AS unit_mark",
+            "CASE WHEN NOT whole THEN n ELSE 1 END AS n",
+        )
+    )
+    units = kinds.where("NOT whole").selectExpr("doc_id", "source", "size", "unit_mark AS mark", "n")
+    units = units.unionByName(
+        keys.where("whole").selectExpr("doc_id", "source", "size", "CAST(NULL AS BIGINT) AS mark", "1L AS n")
+    )
+    rated = units.join(goal, F.expr("source <=> of")).select("doc_id", "source", "size", "mark", "n", "rate")
+    taken = sample(rated, seed=seed).selectExpr("doc_id AS key", "source AS key_source", "mark AS key_mark", "copies")
+    shares = kinds.join(taken, F.expr("doc_id <=> key AND source <=> key_source AND unit_mark <=> key_mark")).selectExpr(
+        "doc_id AS key", "source AS key_source", "mark AS key_mark", "copies div n AS each", "copies % n AS extra"
+    )
+    return settle(shares), goal
+
+
+def _with_copies(rows: DataFrame, shares: DataFrame) -> DataFrame:
+    """``rows`` (with doc_id, source, mark) with a column copies.
+
+    Rows are numbered only where some of equal ones are taken once more than the others: within the part of the
+    settled table that they stand in, after those of the parts before.
+    """
+    at = F.expr("doc_id <=> key AND source <=> key_source AND mark = key_mark")
+    even = rows.join(shares.where("extra = 0"), at).select(*rows.columns, F.col("each").alias("copies"))
+    uneven = shares.where("extra > 0")
+    if uneven.isEmpty():
+        return even
+    found = rows.join(uneven, at).select(*rows.columns, "each", "extra", F.monotonically_increasing_id().alias("place"))
+    found = settle(found).withColumn("part", F.expr("shiftright(place, 33)"))
+    kind = ["doc_id", "source", "mark"]
+    parts = found.groupBy(*kind, "part").agg(F.count("*").alias("n")).selectExpr(
+        "doc_id AS key", "source AS key_source", "mark AS key_mark", "part AS key_part",
+        "coalesce(sum(n) OVER (PARTITION BY doc_id, source, mark ORDER BY part"
+        " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before",
+    )
+    ranked = found.withColumn("rank", F.expr("row_number() OVER (PARTITION BY doc_id, source, mark, part ORDER BY place)"))
+    return even.unionByName(
+        ranked.join(parts, at & F.expr("part = key_part")).select(
+            *rows.columns, F.expr("each + CAST(before + rank <= extra AS BIGINT) AS copies")
+        )
+    )
 
 
 def mix(
@@ -189,40 +281,36 @@ def mix(
 ) -> DataFrame:
     """One row per row of ``df``: doc_id, source, size, source_size, target, copies.
 
-    Rows with the same key (null is one key) and source are one unit: they are taken equally often. A
-    null source is a source of its own; null texts have size 0. A source without words has target 0 and
-    none of its texts is taken. An empty table gives no rows.
+    Rows with the same key (null is one key) and source are taken equally often while they hold no more than a
+    typical text of their source; rows of larger keys are sampled on their own. A null source is a source of
+    its own; null texts have size 0. A source without words has target 0 and none of its texts is taken. An
+    empty table gives no rows.
     """
-    rows = settle(
-        df.select(
-            F.col(quoted(key)).cast("long").alias("doc_id"),
-            F.col(quoted(source)).cast("string").alias("source"),
-            F.expr(n_words(text)).alias("size"),
-        )
-    )
-    goal = settle(targets(rows, weights, total, most))
-    units = rows.groupBy("doc_id", "source").agg(F.sum("size").alias("size"))
-    rated = units.join(goal.withColumnRenamed("source", "of"), F.expr("source <=> of")).selectExpr(
-        "doc_id", "source", "size", "CASE WHEN source_size > 0 THEN target / source_size ELSE 0D END AS rate"
-    )
-    copies = sample(rated, seed=seed).selectExpr("doc_id AS unit", "source AS unit_source", "copies")
+    rows = settle(df.select(*_unit(key, source, text), F.expr(n_words(text)).alias("size")))
+    shares, goal = _shares(rows, weights, total, most, seed)
     return (
-        rows.join(goal.withColumnRenamed("source", "of"), F.expr("source <=> of"))
-        .join(copies, F.expr("doc_id <=> unit AND source <=> unit_source"))
+        _with_copies(rows, shares)
+        .join(goal, F.expr("source <=> of"))
         .select("doc_id", "source", "size", "source_size", "target", "copies")
     )
 
 
-def mixed(df: DataFrame, **options) -> DataFrame:
+def mixed(
+    df: DataFrame,
+    *,
+    key: str = "doc_id",
+    source: str = "source",
+    text: str = "text",
+    weights: tuple[float, ...] = (5, 2, 1),
+    total: float = 1.5,
+    most: float = 2.0,
+    seed: int = 0,
+) -> DataFrame:
     """The mixture itself: every row of ``df`` as often as it is taken, all columns kept."""
-    key, source = options.get("key", "doc_id"), options.get("source", "source")
-    copies = mix(df, **options).selectExpr("doc_id AS unit", "source AS unit_source", "copies").distinct()
-    at = F.col(quoted(key)).cast("long").eqNullSafe(F.col("unit")) & F.col(quoted(source)).cast("string").eqNullSafe(
-        F.col("unit_source")
-    )
+    by = _unit(key, source, text)
+    shares, _ = _shares(df.select(*by, F.expr(n_words(text)).alias("size")), weights, total, most, seed)
+    rows = df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row"), *by)
     names = [F.col(f"row.{quoted(c)}").alias(c) for c in df.columns]
-    rows = df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row"), quoted(key), quoted(source))
-    return rows.join(copies.where("copies > 0"), at).selectExpr(
+    return _with_copies(rows, shares.where("each > 0 OR extra > 0")).selectExpr(
         "row", "explode(array_repeat(0, CAST(copies AS INT))) AS copy"
     ).select(*names)
-

@@ -77,3 +77,32 @@ def test_odd_rows(odd, odd_rows, empty):
     mixed = mixing.mixed(odd)
     assert mixed.columns == odd.columns and mixed.count() == copies
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
+
+
+def test_a_key_may_hold_most_of_a_source(llm_spark):
+    """A third of the rows has no key; one key holds copies of one text: both are sampled row by row."""
+    rng = random.Random(11)
+    text = lambda: "w " * rng.randrange(1, 60)
+    rows = [(None, text(), "a", str(i)) for i in range(301)] + [(7, "x " * 40, "b", str(i)) for i in range(301)]
+    rows += [(1000 + i, text(), rng.choice(["a", "b"]), str(i)) for i in range(300)]
+    df = llm_spark.createDataFrame(rows, "doc_id long, text string, source string, other string").repartition(5)
+    options = {"weights": (1, 1), "total": 1.4}  # both sources between once and twice
+    got = mixing.mix(df, **options).collect()
+    assert len(got) == len(rows)
+    assert sorted((str(r["doc_id"]), r["size"]) for r in got) == sorted((str(k), len(t.split())) for k, t, *_ in rows)
+    words = defaultdict(int)
+    for r in got:
+        words[r["source"]] += r["size"] * r["copies"]
+        assert int(r["target"] / r["source_size"]) <= r["copies"] <= -(-r["target"] // r["source_size"])
+    for name, target in {r["source"]: r["target"] for r in got}.items():
+        assert abs(words[name] - target) <= 60, name
+    assert {r["copies"] for r in got if r["doc_id"] == 7} == {1, 2}
+    copies = defaultdict(int)
+    for r in mixing.mixed(df, **options).collect():
+        copies[tuple(r)] += 1
+    of_kind, of_rows = defaultdict(list), defaultdict(list)
+    for r in got:
+        of_kind[r["doc_id"], r["source"], r["size"]].append(r["copies"])
+    for r in rows:
+        of_rows[r[0], r[2], len(r[1].split())].append(copies[r])
+    assert {k: sorted(v) for k, v in of_kind.items()} == {k: sorted(v) for k, v in of_rows.items()}

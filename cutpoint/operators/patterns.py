@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from cutpoint.config import Config
 from cutpoint.operators.scope import PATTERN, in_scope, in_window, is_after
-from cutpoint.session import group_by, query
+from cutpoint.session import group_by, join_by, query
 
 IN_BOTH = "gen1_runs > 0 AND gen2_runs > 0"
 # What a row of a broadcast takes besides its text.
@@ -56,14 +57,14 @@ def mark_matched(
     flags = presence.where(matched).selectExpr(*on, "true AS matched_flag")
     limits = cfg.tuning
     if size["matched"] <= limits.broadcast_max_rows and size["bytes"] <= limits.broadcast_max_bytes:
-        marked = rows.join(F.broadcast(flags), on, "left")
+        marked = join_by(rows, flags, cfg.keys, on, "left", "broadcast")
     else:
-        marked = _mark_by_shuffle(rows, presence, flags, on, size["runs"], matched)
+        marked = _mark_by_shuffle(rows, presence, flags, cfg.keys, size["runs"], matched)
     return marked.selectExpr(*rows.columns, "coalesce(matched_flag, false) AS is_pattern")
 
 
 def _mark_by_shuffle(
-    rows: DataFrame, presence: DataFrame, flags: DataFrame, on: list[str], total_runs: int, matched: str
+    rows: DataFrame, presence: DataFrame, flags: DataFrame, keys: Sequence[str], total_runs: int, matched: str
 ) -> DataFrame:
     """Shuffle join in which only patterns with a small share of the rows meet by key.
 
@@ -73,6 +74,7 @@ def _mark_by_shuffle(
     other side has one row per pattern, which hashes evenly. The join sorts and merges, so that a
     partition's part of the patterns may be larger than a task's memory: it spills.
     """
+    on = [*keys, PATTERN]
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     frequent = presence.where(f"(gen1_runs + gen2_runs) * {partitions} > {total_runs}").selectExpr(
         *on, f"({matched}) AS frequent_flag"
@@ -84,13 +86,12 @@ def _mark_by_shuffle(
     slots = partitions * 16
     by_key = f"pmod(xxhash64({', '.join(on)}), {slots})"
     by_row = f"-1 - pmod(xxhash64({others}), {slots})"
-    return (
-        rows.join(F.broadcast(frequent), on, "left")
-        .selectExpr(
-            "*",
-            f"CASE WHEN frequent_flag IS NOT NULL OR {PATTERN} IS NULL THEN {by_row}"
-            f" ELSE {by_key} END AS slot",
-        )
-        .join(flags.selectExpr("*", f"{by_key} AS slot").hint("merge"), [*on, "slot"], "left")
-        .selectExpr(*rows.columns, "coalesce(frequent_flag, matched_flag) AS matched_flag")
+    placed = join_by(rows, frequent, keys, on, "left", "broadcast").selectExpr(
+        "*",
+        f"CASE WHEN frequent_flag IS NOT NULL OR {PATTERN} IS NULL THEN {by_row}"
+        f" ELSE {by_key} END AS slot",
+    )
+    slotted = flags.selectExpr("*", f"{by_key} AS slot")
+    return join_by(placed, slotted, keys, [*on, "slot"], "left", "merge").selectExpr(
+        *rows.columns, "coalesce(frequent_flag, matched_flag) AS matched_flag"
     )

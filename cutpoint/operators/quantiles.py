@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutpoint.session import group_by, listed, query
+from cutpoint.session import group_by, join_by, listed, query
 
 # Values per bucket. With milliseconds a bucket is one second.
 BUCKET_WIDTH = 1000
 
 
 def exact_percentiles(
-    hist: DataFrame, group: list[str], value: str, percents: list[int], *, few_groups: bool = False
+    hist: DataFrame,
+    group: list[str],
+    value: str,
+    percents: list[int],
+    *,
+    few_groups: bool = False,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """PERCENTILE_CONT for each whole percent p over a histogram: rows (group, value, n).
 
@@ -31,7 +39,8 @@ def exact_percentiles(
     (days, weekdays), which bounds the bucket list that is then broadcast; otherwise the planner
     joins by shuffle on (group, bucket).
 
-    NULL values are left out. A group without values gives no row.
+    NULL values are left out. A group without values gives no row, nor does one with NULL in a column
+    of ``group`` that ``keys`` doesn't name.
     """
     by = listed(*group)
     values = hist.where(f"{value} IS NOT NULL").selectExpr(
@@ -66,7 +75,7 @@ def exact_percentiles(
                    start_n + sum(n) {upto} - n AS below_n,
                    start_sum + sum(v * n) {upto} - v * n AS below_sum
             FROM {{joined}}""",
-        joined=values.join(wanted, [*group, "bucket"]),
+        joined=join_by(values, wanted, keys, [*group, "bucket"]),
     )
     picks = ["first(n_values) AS n_values", "first(sum_values) AS sum_values"]
     for p in percents:

@@ -14,7 +14,7 @@ from cutpoint.operators.patterns import mark_matched
 from cutpoint.operators.quantiles import exact_percentiles
 from cutpoint.operators.scope import DID_WORK, PATTERN, SUCCEEDED, only_days, period_label
 from cutpoint.plans.workload import Workload
-from cutpoint.session import group_by, settle
+from cutpoint.session import group_by, join_by, settle
 
 SAMPLE_LENGTH = 200
 
@@ -52,14 +52,14 @@ def _compared(w: Workload) -> DataFrame:
     counts = group_by(hist, by, [*per_period("runs", "sum", "n"), first_day]).where(
         f"b_runs >= {least} AND g_runs >= {least}"
     )
-    found = exact_percentiles(hist, [*by, "period_type"], "ms", [5, 50, 95])
+    found = exact_percentiles(hist, [*by, "period_type"], "ms", [5, 50, 95], keys=cfg.keys)
     times = group_by(
         found, by, [a for p in (5, 50, 95) for a in per_period(str(p), "max", f"p{p}_x100")]
     ).selectExpr(
         *by,
         *[f"{rounded(seconds(f'{s}_{p}'), 4)} AS {s}_{p}" for s in PERIODS for p in (5, 50, 95)],
     )
-    return counts.join(times, by, "left").selectExpr(
+    return join_by(counts, times, cfg.keys, by, "left").selectExpr(
         *by,
         "b_runs AS gen1_count",
         "g_runs AS gen2_count",
@@ -97,11 +97,11 @@ def _with_samples(w: Workload, patterns: DataFrame, *, few: bool) -> DataFrame:
     )
     sample = ["min(sample) AS sample_query", "min(warehouse) AS sample_warehouse"]
     if few:
-        samples = group_by(texts.join(F.broadcast(first_days), on), by, sample)
+        samples = group_by(join_by(texts, first_days, cfg.keys, on, hint="broadcast"), by, sample)
     else:
-        samples = group_by(texts, on, sample).join(first_days, on).drop("activity_date")
+        samples = join_by(group_by(texts, on, sample), first_days, cfg.keys, on).drop("activity_date")
     columns = [c for c in patterns.columns if c not in (*by, "first_day")]
-    return patterns.join(samples, by, "left").selectExpr(
+    return join_by(patterns, samples, cfg.keys, by, "left").selectExpr(
         *by,
         "sample_query",
         "sample_warehouse",

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str | None:
@@ -46,3 +48,11 @@ def group_by(df: DataFrame, by: list[str], aggregates: list[str]) -> DataFrame:
     """GROUP BY with aggregates given as SQL; one row without ``by``, even for no input."""
     clause = f" GROUP BY {listed(*by)}" if by else ""
     return query(f"SELECT {listed(*by, *aggregates)} FROM {{df}}{clause}", df=df)
+
+
+def join_by(left: DataFrame, right: DataFrame, keys: Sequence[str], on: list[str], how: str = "inner", hint: str = "") -> DataFrame:
+    """Join on columns of both sides, null-safe on those among ``keys``; the columns of ``right`` named in ``on`` go."""
+    other = {c: f"{c}\0right" for c in on}
+    right = right.select(*[F.col(c).alias(other.get(c, c)) for c in right.columns])
+    at = [F.col(c).eqNullSafe(F.col(o)) if c in keys else F.col(c) == F.col(o) for c, o in other.items()]
+    return left.join(right.hint(hint) if hint else right, at, how).drop(*other.values())

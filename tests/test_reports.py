@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from cutpoint import Config, Workload
+from cutpoint import Config, Tuning, Workload
 from cutpoint.functions import labels as L
 from cutpoint.plans import staging
 from cutpoint.plans.cost import cost_by_dow, cost_daily, cost_welch_test, daily_trend
@@ -242,6 +242,20 @@ def test_pattern_regressions(facts):
     assert top == [slower]
 
 
+@pytest.mark.parametrize("tuning", [Tuning(), Tuning(broadcast_max_rows=0)])
+def test_pattern_regressions_keep_a_null_key(facts, tuning):
+    for n, factor in ((-1, 1), (1, 2)):
+        for user in (None, "u"):
+            for _ in range(10):
+                facts.run(n, 1000 * factor, "slower", user_name=user)
+    w = facts.workload(keys=("user_name",), tuning=tuning)
+    columns = ("user_name", "gen1_count", "gen2_count", "gen1_median_sec", "gen2_median_sec", "status", "sample_query")
+    want = [(user, 10, 10, 1.0, 2.0, L.REGRESSION, "text slower") for user in (None, "u")]
+    assert [tuple(r[c] for c in columns) for r in pattern_regressions(w).collect()] == want
+    top = top_patterns(w, L.REGRESSION).collect()
+    assert sorted((tuple(r[c] for c in columns) for r in top), key=str) == sorted(want, key=str)
+
+
 def test_weekday_success_rate_is_always_100(steady):
     rows = perf_by_dow(steady.workload()).collect()
     assert len(rows) == 7

@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cutpoint.llm import (
+    hard_negatives,
     mixing,
     near_copies,
     pieces,
@@ -153,6 +154,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 100th vector; every seventh vector changes its label first."""
+    label = "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label"
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").selectExpr("vec_id", "embedding", label))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -166,5 +173,6 @@ QUERIES: dict[str, Query] = {
         op8_near_copies,
         op9_token_counts,
         op10_secrets,
+        op13_hard_negatives,
     )
 }

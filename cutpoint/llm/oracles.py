@@ -65,6 +65,33 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT * FROM r WHERE rank <= 20
 """
 
+#: crc32 of a number's digits is written out: bit by bit over its bytes.
+PREFIX_TRIE = """
+WITH RECURSIVE bits(i, c) AS (SELECT CAST(i AS BIGINT), CAST(i AS BIGINT) FROM range(256) t(i)),
+steps AS (SELECT i, c, 0 AS k FROM bits UNION ALL
+  SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS lookup FROM steps WHERE k = 8),
+own AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, turns, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+    lambda d: CAST(ascii(d) AS BIGINT))), lambda c, d: xor(c // 256, lookup[xor(c, d) % 256 + 1])), 4294967295) % 9 AS h FROM own, crc),
+full_turns AS (SELECT a.conv_id, list_concat(coalesce(b.turns, [])[1:a.h], a.turns[a.h + 1:]) AS turns
+  FROM h a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5),
+prefix AS (SELECT conv_id, len(turns) AS n, d, turns[1:d] AS p, turns[1:d - 1] AS up, coalesce(octet_length(encode(turns[d].t)), 0) AS bytes
+  FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM full_turns)),
+node AS (SELECT d, p, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS own_saved,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+  FROM prefix GROUP BY d, p),
+kids AS (SELECT d - 1 AS d, up AS p, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+known AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids ON node.d = kids.d AND node.p = kids.p),
+under AS (SELECT a.d, a.p, sum(b.own_saved) AS saved, count(*) FILTER (b.n_children = 0) AS leaves
+  FROM (SELECT DISTINCT x.d, x.p, y.d AS bd, y.p AS bp FROM prefix x JOIN prefix y ON x.conv_id = y.conv_id AND y.d >= x.d) a
+  JOIN known b ON b.d = a.bd AND b.p = a.bp GROUP BY a.d, a.p)
+SELECT k.conv_id, k.d AS depth, u.conv_id AS parent_conv_id, k.n_convs, k.n_children, s.leaves AS n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, k.ends_sha256
+FROM known k JOIN under s ON k.d = s.d AND k.p = s.p LEFT JOIN known u ON u.d = k.d - 1 AND u.p = k.up
+"""
+
 HARD_NEGATIVES = """
 WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
@@ -80,4 +107,4 @@ n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.sc
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
 """
 
-ORACLES = {"op13_hard_negatives": HARD_NEGATIVES, "op7_vector_search": VECTOR_SEARCH, "op10_secrets": secrets_sql()}
+ORACLES = {"op11_prefix_trie": PREFIX_TRIE, "op13_hard_negatives": HARD_NEGATIVES, "op7_vector_search": VECTOR_SEARCH, "op10_secrets": secrets_sql()}

@@ -12,6 +12,7 @@ from cutpoint.llm import (
     mixing,
     near_copies,
     pieces,
+    prefix_trie,
     quality_model,
     quality_rules,
     repeats,
@@ -154,6 +155,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("owner")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every 100th vector; every seventh vector changes its label first."""
     label = "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label"
@@ -173,6 +179,7 @@ QUERIES: dict[str, Query] = {
         op8_near_copies,
         op9_token_counts,
         op10_secrets,
+        op11_prefix_trie,
         op13_hard_negatives,
     )
 }

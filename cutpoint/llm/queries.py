@@ -11,6 +11,7 @@ from cutpoint.llm import (
     hard_negatives,
     mixing,
     near_copies,
+    ngram_join,
     pieces,
     prefix_trie,
     quality_model,
@@ -160,6 +161,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("owner")
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents that share 85 % of their 4-word shingles."""
+    return ngram_join.linked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every 100th vector; every seventh vector changes its label first."""
     label = "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label"
@@ -180,6 +186,7 @@ QUERIES: dict[str, Query] = {
         op9_token_counts,
         op10_secrets,
         op11_prefix_trie,
+        op12_ngram_join,
         op13_hard_negatives,
     )
 }

@@ -58,13 +58,40 @@ class Limit:
         return n - -(-self.percent * n // 100) + 1
 
 
-def points_of(text: np.ndarray, shingle: np.ndarray, n_texts: int) -> np.ndarray:
-    group = (scrambled(shingle ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(GROUPS)).astype(np.int64)
-    return np.bincount(text * GROUPS + group, minlength=n_texts * GROUPS).reshape(n_texts, GROUPS).astype(np.int32)
+def packed_points(text: np.ndarray, shingle: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Counts by group of each text, GROUPS times a power of two of them, one for every four shingles at least.
 
-
-def _points(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, GROUPS)
+    A shingle's group is its number modulo the number of groups, so points fold to fewer.
+    """
+    number = scrambled(shingle ^ np.uint64(0x5851F42D4C957F2D))
+    doublings = np.ceil(np.log2(np.maximum(n / (4 * GROUPS), 1))).astype(np.int64)
+    groups = GROUPS << doublings
+    first = np.cumsum(groups) - groups
+    place = first[text] + (number % groups[text].astype(np.uint64)).astype(np.int64)
+    counts = np.bincount(place, minlength=int(groups.sum()))
+    assert counts.max(initial=0) < 1 << 16, "the hash of shingles isn't even"
+    offsets = (np.concatenate((first, [groups.sum()])) * 2).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(counts.astype(np.uint16))])
+
+
+def folded(points: list[bytes]) -> np.ndarray:
+    """Points folded to GROUPS coordinates."""
+    out = np.zeros((len(points), GROUPS), np.int32)
+    size = np.array([len(p) for p in points], np.int64)
+    for each in np.unique(size):
+        at = np.flatnonzero(size == each)
+        held = np.frombuffer(b"".join([points[i] for i in at]), np.uint16)
+        out[at] = held.reshape(len(at), -1, GROUPS).sum(axis=1)
+    return out
+
+
+def may_share(p: bytes, q: bytes) -> int:
+    """The sum of the smaller coordinates of two points, folded alike."""
+    a, b = np.frombuffer(p, np.uint16), np.frombuffer(q, np.uint16)
+    least = min(len(a), len(b))
+    if len(a) != len(b):
+        a, b = (c.reshape(-1, least).sum(axis=0, dtype=np.int64) for c in (a, b))
+    return int(np.minimum(a, b).sum(dtype=np.int64))
 
 
 def _sets(batches: Iterator[pa.RecordBatch], column: int, words: int, made) -> Iterator[pa.RecordBatch]:
@@ -109,7 +136,7 @@ def described(df: DataFrame, words: int, limit: Limit, common: np.ndarray) -> Da
         first = within < np.repeat(limit.entries(n), n)
         rare = shingle[place][first].view(np.int64)
         lists = np.concatenate(([0], np.cumsum(np.bincount(text[first], minlength=n_texts)))).astype(np.int32)
-        packed = pa.array([p.tobytes() for p in points_of(text, shingle, n_texts)], pa.binary())
+        packed = packed_points(text, shingle, n)
         new = [pa.array(n), *(pa.array(d.view(np.int64)) for d in digest), packed, pa.ListArray.from_arrays(pa.array(lists), pa.array(rare))]
         names = [*part.schema.names, "n", "da", "db", "point", "entries"]
         return pa.RecordBatch.from_arrays([*part.columns, *new], names=names)
@@ -119,6 +146,15 @@ def described(df: DataFrame, words: int, limit: Limit, common: np.ndarray) -> Da
     return df.mapInArrow(lambda batches: _sets(batches, last, words, made), schema)
 
 
+def fitting(limit: Limit, p: list[bytes], q: list[bytes], folded_p: np.ndarray, folded_q: np.ndarray) -> np.ndarray:
+    """Which pairs of points may be linked: by few coordinates first, then by all."""
+    total = folded_p.sum(axis=1, dtype=np.int64) + folded_q.sum(axis=1, dtype=np.int64)
+    keep = limit.reached(np.minimum(folded_p, folded_q).sum(axis=1, dtype=np.int64), total)
+    for i in np.flatnonzero(keep):
+        keep[i] = limit.reached(may_share(p[i], q[i]), total[i])
+    return keep
+
+
 class Join:
     """The join of the sets of ``base`` (rid, text, n, da, db, point, entries, settled)."""
 
@@ -130,7 +166,9 @@ class Join:
         entered = self.base.join(texts.select("tid"), F.expr("rid = tid"))
         entered = entered.select("tid", "n", F.explode("entries").alias("g"))
         ratio = max(100 / self.limit.percent, 1.05)
-        entered = entered.withColumn("members", F.expr("count(*) OVER (PARTITION BY g)")).where("members > 1")
+        # Subtrees of the same texts are one: they go by a hash of their members.
+        entered = entered.selectExpr("tid", "n", "count(*) OVER (PARTITION BY g) AS members", "bit_xor(xxhash64(tid)) OVER (PARTITION BY g) AS g")
+        entered = entered.where("members > 1").select("g", "tid", "n").distinct()
         shared = settle(
             entered.selectExpr("g", "tid", "n", f"CAST(floor(ln(n) / ln({ratio!r}D)) AS INT) AS size", "tid AS label")
         )
@@ -160,11 +198,9 @@ class Join:
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
-                    p, q = _points(batch.column(2)), _points(batch.column(3))
-                    total = p.sum(axis=1, dtype=np.int64) + q.sum(axis=1, dtype=np.int64)
-                    near = limit.reached(np.minimum(p, q).sum(axis=1, dtype=np.int64), total)
-                    yield pa.RecordBatch.from_arrays([c.filter(pa.array(near)) for c in batch.columns[:2]], names=["a", "b"])
+                p, q = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                keep = fitting(limit, p, q, folded(p), folded(q))
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
 
         at = self.base.select("rid", "point")
         left, right = at.toDF("x", "p"), at.toDF("y", "q")
@@ -222,7 +258,9 @@ class Join:
             placed.selectExpr("g", "tid", "label", "n", f"(r - 1) DIV {PAGE} + (so_far - n) DIV {PAGE_SHINGLES} AS page")
         )
         filled = placed.join(self.base.selectExpr("rid", "point"), F.expr("rid = tid")).select("g", "page", "tid", "label", "n", "point")
-        pages = settle(filled.groupBy("g", "page").applyInArrow(_page, PAGE_COLUMNS))
+        one = filled.repartition("g", "page").sortWithinPartitions("g", "page").mapInArrow(_in_pages(limit), PAIRS)
+        several = placed.where("page > 0").select("g").distinct()
+        pages = settle(filled.join(several, "g", "left_semi").groupBy("g", "page").applyInArrow(_page, PAGE_COLUMNS))
         names = pages.columns
         left, right = (pages.toDF(*(f"{s}_{c}" for c in names)) for s in "ab")
         corner = "aggregate(zip_with(a_corner, b_corner, (x, y) -> CAST(least(x, y) AS BIGINT)), 0L, (s, x) -> s + x)"
@@ -230,12 +268,12 @@ class Join:
         met = left.join(
             right,
             F.expr(
-                f"a_g = b_g AND a_page <= b_page AND 100 * a_most >= {p} * b_least AND 100 * b_most >= {p} * a_least"
+                f"a_g = b_g AND a_page < b_page AND 100 * a_most >= {p} * b_least AND 100 * b_most >= {p} * a_least"
                 " AND NOT (a_lo = a_hi AND b_lo = b_hi AND a_lo = b_lo)"
                 f" AND {100 + p} * {corner} >= {p} * (a_least + b_least)"
             ),
         )
-        found = settle(met.mapInArrow(_page_pairs(limit), "g long, pa long, pb long, a long, b long"))
+        found = settle(one.unionByName(met.mapInArrow(_page_pairs(limit), PAIRS)))
         sparse = self.exact(found.where("a IS NOT NULL").select("a", "b").distinct())
         crowded = found.where("a IS NULL")
         if not crowded.take(1):
@@ -248,8 +286,9 @@ class Join:
 
 
 PAGE_COLUMNS = (
-    "g long, page long, least long, most long, lo long, hi long, corner array<int>, tids binary, labels binary, points binary"
+    "g long, page long, least long, most long, lo long, hi long, corner array<int>, tids binary, labels binary, points array<binary>"
 )
+PAIRS = "g long, pa long, pb long, a long, b long"
 
 
 def packed_order(points: np.ndarray, box: int) -> np.ndarray:
@@ -267,12 +306,48 @@ def packed_order(points: np.ndarray, box: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, int)
 
 
+class Points:
+    """The points of a page, packed in boxes."""
+
+    def __init__(self, tids: np.ndarray, labels: np.ndarray, points: list[bytes]):
+        flat = folded(points)
+        order = packed_order(flat, BOX)
+        self.tids, self.labels, self.flat = tids[order], labels[order], flat[order]
+        self.points = [points[i] for i in order]
+        self.n = self.flat.sum(axis=1, dtype=np.int64)
+
+    def pairs(self, other: Points, limit: Limit) -> tuple[np.ndarray, np.ndarray] | None:
+        """Pairs that may be linked and differ in class; none at all if they are too many."""
+        starts = np.arange(0, len(other.flat), BOX)
+        corners, least = np.maximum.reduceat(other.flat, starts, axis=0), np.minimum.reduceat(other.n, starts)
+        most = DENSE * (len(self.flat) + len(other.flat))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for i in range(0, len(self.flat), BOX):
+            mine, total = self.flat[i : i + BOX], self.n[i : i + BOX]
+            # The box of these points against all boxes, then its points against those of the boxes left.
+            open_boxes = limit.reached(np.minimum(mine.max(axis=0), corners).sum(axis=1, dtype=np.int64), total.min() + least)
+            for j in starts[np.flatnonzero(open_boxes)].tolist():
+                if other is self and j < i:
+                    continue
+                at = slice(j, j + BOX)
+                both = np.minimum(mine[:, None, :], other.flat[None, at, :]).sum(axis=2, dtype=np.int64)
+                hit = limit.reached(both, total[:, None] + other.n[None, at])
+                hit &= self.labels[i : i + BOX, None] != other.labels[None, at]
+                if other is self and i == j:
+                    hit = np.triu(hit, 1)
+                for x, y in zip(*(c.tolist() for c in np.nonzero(hit))):
+                    if limit.reached(may_share(self.points[i + x], other.points[j + y]), self.n[i + x] + other.n[j + y]):
+                        found.append((self.tids[i + x], other.tids[j + y]))
+                if len(found) > most:
+                    return None
+        x, y = np.array(found, np.int64).reshape(-1, 2).T
+        return np.minimum(x, y), np.maximum(x, y)
+
+
 def _page(group: pa.Table) -> pa.Table:
     """One page: its box and its points."""
-    group = group.combine_chunks()
-    points = _points(group["point"])
-    order = packed_order(points, BOX)
-    points, tids, labels, n = points[order], *(group[c].to_numpy()[order] for c in ("tid", "label", "n"))
+    points = group["point"].to_pylist()
+    n, labels = group["n"].to_numpy(), group["label"].to_numpy()
     values = {
         "g": [group["g"][0].as_py()],
         "page": [group["page"][0].as_py()],
@@ -280,61 +355,86 @@ def _page(group: pa.Table) -> pa.Table:
         "most": [int(n.max())],
         "lo": [int(labels.min())],
         "hi": [int(labels.max())],
-        "corner": pa.array([points.max(axis=0).tolist()], pa.list_(pa.int32())),
-        "tids": pa.array([tids.tobytes()], pa.binary()),
+        "corner": pa.array([folded(points).max(axis=0).tolist()], pa.list_(pa.int32())),
+        "tids": pa.array([group["tid"].to_numpy().tobytes()], pa.binary()),
         "labels": pa.array([labels.tobytes()], pa.binary()),
-        "points": pa.array([points.tobytes()], pa.binary()),
+        "points": pa.array([points], pa.list_(pa.binary())),
     }
     return pa.table(values)
 
 
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else ((),) * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["g", "pa", "pb", "a", "b"])
+
+
 def _page_pairs(limit: Limit):
-    """Pairs of points of two pages that may be linked and differ in class; (null, null) where they are too many."""
-
-    def joined(a: tuple, b: tuple, same: bool) -> tuple[np.ndarray, np.ndarray] | None:
-        (p_ids, p_labels, p), (q_ids, q_labels, q) = a, b
-        p_sum, q_sum = p.sum(axis=1, dtype=np.int64), q.sum(axis=1, dtype=np.int64)
-        starts = np.arange(0, len(q), BOX)
-        corners, least = np.maximum.reduceat(q, starts, axis=0), np.minimum.reduceat(q_sum, starts)
-        most = DENSE * (len(p) + len(q))
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        count = 0
-        for i in range(0, len(p), BOX):
-            mine, total = p[i : i + BOX], p_sum[i : i + BOX]
-            # The box of these points against all boxes, then its points against the points of those left.
-            open_boxes = limit.reached(np.minimum(mine.max(axis=0), corners).sum(axis=1, dtype=np.int64), total.min() + least)
-            for j in np.flatnonzero(open_boxes):
-                at = slice(starts[j], starts[j] + BOX)
-                both = np.minimum(mine[:, None, :], q[None, at, :]).sum(axis=2, dtype=np.int64)
-                hit = limit.reached(both, total[:, None] + q_sum[None, at])
-                hit &= p_labels[i : i + BOX, None] != q_labels[None, at]
-                if same:
-                    hit &= p_ids[i : i + BOX, None] < q_ids[None, at]
-                x, y = np.nonzero(hit)
-                if len(x):
-                    found.append((p_ids[i + x], q_ids[starts[j] + y]))
-                    count += len(x)
-                    if count > most:
-                        return None
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        x, y = (np.concatenate(c) for c in zip(*found))
-        return np.minimum(x, y), np.maximum(x, y)
+    """Pairs of points of two pages that may be linked; (null, null) where they are too many."""
 
-    def page(row: dict, side: str) -> tuple:
+    def page(row: dict, side: str) -> Points:
         ids, labels = (np.frombuffer(row[f"{side}_{c}"], np.int64) for c in ("tids", "labels"))
-        return ids, labels, np.frombuffer(row[f"{side}_points"], np.int32).reshape(-1, GROUPS)
+        return Points(ids, labels, row[f"{side}_points"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 key = row["a_g"], row["a_page"], row["b_page"]
-                pairs = joined(page(row, "a"), page(row, "b"), key[1] == key[2])
-                out += [(*key, None, None)] if pairs is None else [(*key, int(x), int(y)) for x, y in zip(*pairs)]
-            columns = zip(*out) if out else ((),) * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["g", "pa", "pb", "a", "b"])
+                pairs = page(row, "a").pairs(page(row, "b"), limit)
+                yield _found([(*key, None, None)] if pairs is None else [(*key, *p) for p in zip(*(c.tolist() for c in pairs))])
+
+    return run
+
+
+def _in_pages(limit: Limit):
+    """Pairs of points of the same page that may be linked; (null, null) where they are too many.
+
+    Rows (g, page, tid, label, n, point) come page by page. Pages no larger than a box are handled many at a time.
+    """
+
+    def done(table: pa.Table) -> list[tuple]:
+        g, page, tid, label, n = (table.column(i).to_numpy() for i in range(5))
+        points = table.column(5).to_pylist()
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (page[1:] != page[:-1])
+        begun = np.flatnonzero(new)
+        size = np.diff(np.append(begun, len(g)))
+        of = np.repeat(np.arange(len(begun)), size)
+        small = size[of] <= BOX
+        flat = folded(points)
+        out: list[tuple] = []
+        for d in range(1, int(size[size <= BOX].max(initial=0))):
+            x = np.flatnonzero((of[d:] == of[:-d]) & small[d:] & (label[d:] != label[:-d]))
+            x = x[limit.percent * np.maximum(n[x], n[x + d]) <= 100 * np.minimum(n[x], n[x + d])]
+            y = x + d
+            keep = fitting(limit, [points[i] for i in x], [points[i] for i in y], flat[x], flat[y])
+            pairs = np.sort(np.stack((tid[x], tid[y]), axis=1)[keep], axis=1)
+            out += [(None, None, None, a, b) for a, b in pairs.tolist()]
+        for i in np.flatnonzero(size > BOX):
+            at = slice(begun[i], begun[i] + size[i])
+            held = Points(tid[at], label[at], points[at])
+            pairs = held.pairs(held, limit)
+            key = int(g[at.start]), int(page[at.start]), int(page[at.start])
+            out += [(*key, None, None)] if pairs is None else [(*key, *p) for p in zip(*(c.tolist() for c in pairs))]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table]).combine_chunks()
+            if not table.num_rows:
+                continue
+            # The last page may go on in the next batch.
+            g, page = table.column(0).to_numpy(), table.column(1).to_numpy()
+            last = np.flatnonzero((g != g[-1]) | (page != page[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield _found(done(table.slice(0, cut)))
+            rest = table.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield _found(done(rest))
 
     return run
 

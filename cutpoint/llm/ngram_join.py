@@ -54,9 +54,13 @@ class Limit:
         return (100 + self.percent) * shared >= self.percent * total
 
     def entries(self, n):
-        """How many of ``n`` shingles a partner can't all miss."""
+        """How many of the rarest of ``n`` shingles a partner can't all miss."""
         return n - -(-self.percent * n // 100) + 1
 
+    def short_entries(self, n: str) -> str:
+        """The same for a partner that isn't smaller."""
+        return f"{n} - (2 * {self.percent} * {n} + {99 + self.percent}) DIV {100 + self.percent} + 1"
+
 
 def packed_points(text: np.ndarray, shingle: np.ndarray, n: np.ndarray) -> pa.Array:
     """Counts by group of each text, GROUPS times a power of two of them, one for every four shingles at least.
@@ -163,12 +167,20 @@ class Join:
 
     def links(self, texts: DataFrame) -> DataFrame:
         """(a, b): links that hold the classes together, among the sets named by ``tid``."""
+        limit = self.limit
         entered = self.base.join(texts.select("tid"), F.expr("rid = tid"))
-        entered = entered.select("tid", "n", F.explode("entries").alias("g"))
-        ratio = max(100 / self.limit.percent, 1.05)
+        # ``short`` are the entries that suffice if the partner is larger. A text stays in a subtree if it has a partner
+        # of fitting size there: a larger one for its own short entry, or a smaller one with a short entry.
+        entered = entered.selectExpr("tid", "n", f"{limit.short_entries('n')} AS short", "posexplode(entries) AS (place, g)")
+        entered = entered.selectExpr("tid", "n", "place < short AS short", "g")
+        in_order = "OVER (PARTITION BY g ORDER BY n, short DESC"
+        entered = entered.selectExpr(
+            "tid", "n", "short", "g", f"lead(n) {in_order}) AS larger",
+            f"max(CASE WHEN short THEN n END) {in_order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS smaller",
+        ).where(f"(short AND 100 * n >= {limit.percent} * larger) OR 100 * smaller >= {limit.percent} * n")
+        ratio = max(100 / limit.percent, 1.05)
         # Subtrees of the same texts are one: they go by a hash of their members.
-        entered = entered.selectExpr("tid", "n", "count(*) OVER (PARTITION BY g) AS members", "bit_xor(xxhash64(tid)) OVER (PARTITION BY g) AS g")
-        entered = entered.where("members > 1").select("g", "tid", "n").distinct()
+        entered = entered.selectExpr("tid", "n", "bit_xor(xxhash64(tid)) OVER (PARTITION BY g) AS g").distinct()
         shared = settle(
             entered.selectExpr("g", "tid", "n", f"CAST(floor(ln(n) / ln({ratio!r}D)) AS INT) AS size", "tid AS label")
         )
@@ -177,7 +189,7 @@ class Join:
         for order in ("xxhash64(tid)", "xxhash64(tid, g)"):
             pivots = shared.groupBy("g", "size").agg(F.min(F.expr(f"struct({order} AS o, tid, n, label)")).alias("p"))
             pivots = pivots.selectExpr("g AS pg", "size AS ps", "p.tid AS b", "p.n AS m", "p.label AS other")
-            pairs = shared.join(pivots, F.expr("g = pg AND size = ps")).where(f"label <> other AND {self.limit.sizes('n', 'm')}")
+            pairs = shared.join(pivots, F.expr("g = pg AND size = ps")).where(f"label <> other AND {limit.sizes('n', 'm')}")
             found = settle(self.checked(pairs.selectExpr("least(tid, b) AS a", "greatest(tid, b) AS b")))
             near = found if near is None else near.unionByName(found)
             shared = self.still_open(shared, components(near))

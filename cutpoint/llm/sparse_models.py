@@ -1,8 +1,8 @@
 """Linear models over hashed features, trained with follow-the-regularised-leader updates.
 
 Training sees a bounded sample. It is split into a fixed number of shards by a hash of the key; each shard
-is one task that runs through its examples in a fixed order, and the shards' weights are averaged. The
-model is an array of fixed size, so it can travel with every scoring task.
+is one task that runs through its examples in a fixed order, and the shards' weights are averaged by their
+numbers of examples. The model is an array of fixed size, so it can travel with every scoring task.
 """
 
 from __future__ import annotations
@@ -53,27 +53,36 @@ Example = tuple[np.ndarray, np.ndarray, int]
 
 def train_shards(
     sample: DataFrame, features: list[str], read: Callable[[list[np.ndarray]], tuple[np.ndarray, np.ndarray]],
-    fit: Callable[[list[Example]], dict[int, float]],
+    fit: Callable[[list[Example]], dict[int, float]], shards: int = SHARDS,
 ) -> dict[int, float]:
-    """Fit every shard of ``sample`` (key, label, features: arrays of hashes) and average the weights by index."""
+    """Fit every shard of ``sample`` (key, label, features: arrays of hashes) and average the weights by index.
+
+    A shard counts as much as it has examples, one without any not at all; a weight that a shard lacks is 0 there.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("place", "ascending"), ("label", "ascending")])
-        columns = [group[f].to_pylist() for f in features]
+        lists = [group[f].combine_chunks() for f in features]
+        cuts = [c.offsets.to_numpy() for c in lists]
+        flat = [c.values.to_numpy(zero_copy_only=False).view(np.uint64) for c in lists]
         examples = [
-            (*read([np.array(c[i], np.int64).view(np.uint64) for c in columns]), label)
+            (*read([v[o[i] : o[i + 1]] for v, o in zip(flat, cuts)]), label)
             for i, label in enumerate(group["label"].to_pylist())
         ]
         found = fit(examples)
-        return pa.table({"index": pa.array(found, pa.int64()), "weight": pa.array(found.values(), pa.float64())})
+        weights = np.array(list(found.values())) * len(examples)
+        # The row without an index holds the number of examples.
+        index = pa.array([*found, None], pa.int64())
+        return pa.table({"index": index, "weight": pa.array([*weights, float(len(examples))])})
 
     rows = sample.select(
-        F.pmod(F.xxhash64("key"), F.lit(SHARDS)).alias("shard"), F.xxhash64("key", F.lit(5)).alias("place"), "label", *features
+        F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), F.xxhash64("key", F.lit(5)).alias("place"), "label", *features
     )
     fitted = rows.groupBy("shard").applyInArrow(run, "index long, weight double")
-    n = F.lit(float(SHARDS))
     sums = fitted.groupBy("index").agg(F.sum("weight").alias("s"))
-    return {r["index"]: r["s"] for r in sums.select("index", (F.col("s") / n).alias("s")).collect()}  # WIDTH at most
+    found = {r["index"]: r["s"] for r in sums.collect()}  # WIDTH and a few at most
+    n = found.pop(None, 0.0)
+    return {i: s / n for i, s in found.items()}
 
 
 def dense(weights: dict[int, float]) -> np.ndarray:

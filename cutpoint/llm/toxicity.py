@@ -12,13 +12,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cutpoint.llm.near_copies import mixed
 from cutpoint.llm.quality_rules import sample_labelled
-from cutpoint.llm.sparse_models import WIDTH, Leader, Rates, dense, row_sums, scored, train_shards
+from cutpoint.llm.sparse_models import SHARDS, WIDTH, Leader, Rates, dense, row_sums, scored, train_shards
 from cutpoint.llm.texts import quoted, whole, without
+from cutpoint.session import settle
 
 RATES = Rates(alpha=0.3, beta=1.0, l1=4.0, l2=0.1)
 EPOCHS = 3
 #: Grades above 0 that a yes/no label is spread over.
 GRADES = 2
+#: The first threshold is at least this, so that a text without telling features isn't toxic; others lie apart so far.
+FIRST, APART = 1.5, 0.05
+#: Marked texts below which the sample isn't split into shards.
+FEW = 400
 
 
 def features(text: Column) -> Column:
@@ -45,56 +50,70 @@ def _read(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return at, np.ones(len(at))
 
 
-def _graded(examples: list) -> list[int]:
-    """Grades as given; labels 0 and 1 are spread: a marked text that holds more of the features that marked
-    texts have and others haven't gets a higher grade."""
-    labels = [max(0, y) for _, _, y in examples]
-    if max(labels, default=0) != 1:
-        return labels
-    marked, other = np.zeros(WIDTH), np.zeros(WIDTH)
-    for at, _, y in examples:
-        (marked if y > 0 else other)[at] += 1
-    ratio = (marked + 0.5) / max(1, sum(labels)) / ((other + 0.5) / max(1, len(labels) - sum(labels)))
-    telling = (marked >= 5) & (ratio > 8)
-    held = [int(telling[at].sum()) for at, _, _ in examples]
-    middle = np.median([h for h, y in zip(held, labels) if y])
-    return [0 if not y else 1 + int(h > middle) for h, y in zip(held, labels)]
+def graded(sample: DataFrame) -> tuple[DataFrame, int, int]:
+    """``sample`` (key, label, features) with grades for labels, how many grades there are above 0, and marked texts.
+
+    Grades are kept as given. Labels 0 and 1 are spread over two grades, once over all rows: a marked text that
+    holds more of the features that marked texts have and others haven't than half of the marked ones gets grade 2.
+    """
+    rows = settle(sample.select(F.monotonically_increasing_id().alias("rid"), "key", F.greatest("label", F.lit(0)).alias("label"), "features"))
+    top, marked, other = rows.agg(F.max("label"), F.expr("count_if(label > 0)"), F.expr("count_if(label = 0)")).first()
+    if (top or 0) > 1:
+        return rows, top, marked
+    each = rows.select("rid", "label", F.explode("features").alias("feature"))
+    held = each.groupBy("feature").agg(F.expr("count_if(label > 0)").alias("m"), F.expr("count_if(label = 0)").alias("o"))
+    telling = held.where(f"m >= 5 AND (m + 0.5D) / {max(1, marked)} > 8 * (o + 0.5D) / {max(1, other)}").select("feature")
+    counted = each.where("label > 0").join(telling, "feature").groupBy("rid").agg(F.count("*").alias("held"))
+    told = settle(rows.where("label > 0").select("rid").join(counted, "rid", "left").select("rid", F.coalesce("held", F.lit(0)).alias("held")))
+    middle = told.agg(F.median("held")).first()[0] or 0.0
+    grade = told.selectExpr("rid", f"1 + CAST(held > {middle!r}D AS INT) AS grade")
+    spread = rows.join(grade, "rid", "left").select("key", F.coalesce("grade", F.lit(0)).alias("label"), "features")
+    return spread, GRADES, marked
 
 
 def _logistic(x: np.ndarray | float):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _fit(examples: list) -> dict[int, float]:
-    grades = _graded(examples)
-    n = max(max(grades, default=0), 1)
-    leader = Leader(WIDTH, RATES)
-    limits, seen = np.arange(n, dtype=float) + 2, np.full(n, 1.0)
-    for _ in range(EPOCHS):
-        for (at, _, _), y in zip(examples, grades):
-            w = leader.weights(at)
-            below = np.concatenate(([0.0], _logistic(limits - w.sum()), [1.0]))
-            slope = below * (1 - below)
-            p = max(below[y + 1] - below[y], 1e-9)
-            leader.learn(at, np.full(len(at), np.clip((slope[y + 1] - slope[y]) / p, -1, 1)), w)
-            for k, sign in ((y, -1), (y - 1, 1)):
-                if 0 <= k < n:
-                    g = sign * slope[k + 1] / p
-                    seen[k] += g * g
-                    limits[k] -= 0.5 * g / np.sqrt(seen[k])
-            limits = np.maximum.accumulate(limits)
-    weights = leader.weights(slice(None))
-    found = {int(i): float(weights[i]) for i in np.flatnonzero(weights)}
-    return found | {-1 - k: float(v) for k, v in enumerate(limits)}
+def _fit(n: int):
+    """Weights and ``n`` thresholds, strictly rising, of one shard."""
+
+    def fit(examples: list) -> dict[int, float]:
+        leader = Leader(WIDTH, RATES)
+        limits, seen, step = np.arange(n, dtype=float) + 2, np.full(n, 1.0), APART * np.arange(n)
+        for _ in range(EPOCHS):
+            for at, _, y in examples:
+                w = leader.weights(at)
+                below = np.concatenate(([0.0], _logistic(limits - w.sum()), [1.0]))
+                slope = below * (1 - below)
+                p = max(below[y + 1] - below[y], 1e-9)
+                leader.learn(at, np.full(len(at), np.clip((slope[y + 1] - slope[y]) / p, -1, 1)), w)
+                for k, sign in ((y, -1), (y - 1, 1)):
+                    if 0 <= k < n:
+                        g = sign * slope[k + 1] / p
+                        seen[k] += g * g
+                        limits[k] -= 0.5 * g / np.sqrt(seen[k])
+                limits[0] = max(limits[0], FIRST)
+                limits = np.maximum.accumulate(limits - step) + step
+        weights = leader.weights(slice(None))
+        found = {int(i): float(weights[i]) for i in np.flatnonzero(weights)}
+        return found | {-1 - k: float(v) for k, v in enumerate(limits)}
+
+    return fit
 
 
 def train(
     df: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: str = "toxic", text: str = "text", max_rows: int = 20_000
 ) -> dict[int, float]:
-    """Weights and thresholds (index -1, -2, ...) learnt from about ``max_rows`` labelled texts at most."""
+    """Weights and thresholds (index -1, -2, ..., strictly rising) learnt from about ``max_rows`` labelled texts at most.
+
+    All thresholds exist however few labels there are; they start where a text without weights isn't toxic and move
+    with what is seen, but never so far that such a text becomes toxic. Texts that are labelled both ways count both ways. Fewer than FEW marked texts are learnt
+    from in one go, more in shards.
+    """
     sample = sample_labelled(df, labels, key=key, label=label, text=text, max_rows=max_rows)
-    rows = sample.select("key", "label", features(whole("text")))
-    return train_shards(rows, ["features"], _read, _fit)
+    rows, grades, marked = graded(sample.select("key", "label", features(whole("text"))))
+    return train_shards(rows.select("key", "label", "features"), ["features"], _read, _fit(grades or 1), 1 if marked < FEW else SHARDS)
 
 
 def score(df: DataFrame, weights: dict[int, float], text: str = "text", *, keep: list[str] | None = None) -> DataFrame:

@@ -44,7 +44,7 @@ def test_contradicting_labels(llm_spark):
     both = llm_spark.createDataFrame([(i, t) for i in range(40) for t in (0, 1)], "doc_id long, toxic int")
     weights = toxicity.train(docs, both)
     assert np.all(np.diff(limits_of(weights)) > 0)
-    assert all(r["p_toxic"] < 0.5 for r in toxicity.score(docs, weights).collect())
+    assert all(0.1 < r["p_toxic"] < 0.8 for r in toxicity.score(docs, weights).collect())
 
 
 def test_a_shard_without_marked_texts(llm_spark, monkeypatch):

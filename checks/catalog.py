@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cutpoint.config import Tuning
 from cutpoint.functions.numeric import ratio, rounded
 from cutpoint.plans import performance, reliability, reports, staging
 from cutpoint.plans.cost import IS_METERED
@@ -108,18 +110,22 @@ def metering_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_staged(spark, path, METERING).selectExpr(*METERING_COLUMNS)
 
 
-def metering_withdrawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A first load that holds a row on a day which the source withdraws before the next load."""
-    path = new_table_path(spark, "metering")
-    cfg = bindings.EVENTS_CONFIG
-    source = bindings.events_metering(spark, sf_dir)
-    extra = source.orderBy("start_time", "warehouse_name").limit(1).selectExpr(
+def _withdrawn(source: DataFrame) -> DataFrame:
+    """A row on a day that the source doesn't have later."""
+    return source.orderBy("start_time", "warehouse_name").limit(1).selectExpr(
         *[
             f"TIMESTAMP_NTZ'2024-01-31 23:00:00' AS {c}" if c in ("start_time", "end_time") else c
             for c in source.columns
         ]
     )
-    staging.reload_metering(source.unionByName(extra), path, cfg, LAST_LOAD)
+
+
+def metering_withdrawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first load that holds a row on a day which the source withdraws before the next load."""
+    path = new_table_path(spark, "metering")
+    cfg = bindings.EVENTS_CONFIG
+    source = bindings.events_metering(spark, sf_dir)
+    staging.reload_metering(source.unionByName(_withdrawn(source)), path, cfg, LAST_LOAD)
     staging.reload_metering(source, path, cfg, LAST_LOAD)
     return read_staged(spark, path, METERING).selectExpr(*METERING_COLUMNS)
 
@@ -133,6 +139,18 @@ def staging_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def staging_coverage_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of written tables, one of which has lost a day: from their listings."""
+    cfg = bindings.EVENTS_CONFIG
+    runs, meters = new_table_path(spark, "query_history"), new_table_path(spark, "metering")
+    staging.append_query_history(bindings.events_query_history(spark, sf_dir), runs, cfg, FIRST_LOAD)
+    staging.append_query_history(bindings.events_query_history(spark, sf_dir), runs, cfg, LAST_LOAD)
+    source = bindings.events_metering(spark, sf_dir)
+    staging.reload_metering(source.unionByName(_withdrawn(source)), meters, cfg, LAST_LOAD)
+    staging.reload_metering(source, meters, cfg, LAST_LOAD)
+    return staging.coverage_of(spark, runs, meters, cfg)
+
+
 def high_water_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mark of a first load, as a one-row table."""
     path = new_table_path(spark, "query_history")
@@ -178,6 +196,41 @@ def without_prose(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c in prose or c.endswith("_explanation")])
 
 
+# ---- what a configuration offers ----------------------------------------------------------------
+
+
+def configured(w: Workload, **changes) -> Workload:
+    return Workload(w.query_history, w.metering, replace(w.cfg, **changes))
+
+
+def matched_rows_by_shuffle(w: Workload) -> DataFrame:
+    """Marked runs per day, matched by the shuffle route in several partitions."""
+    tuning = Tuning(broadcast_max_rows=0, shuffle_rows=1000)
+    rows = configured(w, tuning=tuning).marked_rows
+    return group_by(rows, ["activity_date"], ["count(*) AS runs", "count_if(is_pattern) AS pattern_runs"])
+
+
+def keyed(report: Callable[[Workload], DataFrame], key: str, *, some_null: bool = False) -> Callable[[Workload], DataFrame]:
+    """A report per key; with ``some_null`` one of the keys is NULL."""
+
+    def run(w: Workload) -> DataFrame:
+        if some_null:
+            known = {key: f"nullif(warehouse_name, 'ANALYTICS_1') AS {key}"}
+            runs, meters = (
+                t.selectExpr(*[known.get(c, c) for c in dict.fromkeys([*t.columns, key])]) for t in (w.query_history, w.metering)
+            )
+            w = Workload(runs, meters, w.cfg)
+        return without_prose(report(configured(w, keys=(key,))))
+
+    return run
+
+
+PER_CONFIGURATION: dict[str, Callable[[Workload], DataFrame]] = {
+    "matched_rows_by_shuffle": matched_rows_by_shuffle,
+    "perf_daily_per_user": keyed(performance.perf_daily, "user_name", some_null=True),
+    "cost_daily_per_warehouse": keyed(reports.REPORTS["cost_daily"], "warehouse_name"),
+}
+
 PER_WORKLOAD: dict[str, Callable[[Workload], DataFrame]] = {
     "scope_rows": scope_rows,
     "matched_patterns": lambda w: w.matched_patterns,
@@ -199,10 +252,11 @@ def all_queries() -> dict[str, Query]:
         "metering_reload": metering_reload,
         "metering_withdrawn": metering_withdrawn,
         "staging_coverage": staging_coverage,
+        "staging_coverage_written": staging_coverage_written,
         "high_water_mark": high_water_mark,
     }
     for suffix, workload in (("", events_workload), ("_orders", orders_workload)):
-        for name, report in PER_WORKLOAD.items():
+        for name, report in (PER_WORKLOAD | PER_CONFIGURATION).items():
 
             def run(spark, sf_dir, workload=workload, report=report):
                 return without_prose(report(workload(spark, sf_dir)))

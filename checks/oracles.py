@@ -554,6 +554,43 @@ def coverage(b: dict, as_of: str) -> str:
     return f"{of(b['runs'], 'qh')} UNION ALL {of(b['meters'], 'wh')}"
 
 
+def keyed(b: dict, key: str, name: str, final: str) -> str:
+    """Daily figures per ``key`` (SQL over the facts); a key of NULL is written as an empty text in between."""
+    f = facts(b)
+    per = f"coalesce({key}, '') AS k"
+    both = "(k, hash) IN (SELECT (k, hash) FROM matched)"
+    steps = {
+        "qh": f"SELECT *, {per} FROM ({f['qh']})",
+        "meter": f"SELECT *, {per} FROM ({f['meter']})",
+        "matched": """SELECT k, hash FROM qh WHERE p = 'GEN1' AND hash IS NOT NULL
+            INTERSECT SELECT k, hash FROM qh WHERE p = 'GEN2' AND hash IS NOT NULL""",
+        "ok": f"SELECT * FROM qh WHERE bytes > 0 AND status = 'SUCCESS' AND {both}",
+        "edge": "SELECT k, d, quantile_cont(ms / 1000.0, 0.95) AS x95 FROM ok GROUP BY k, d",
+        "rate": f"""SELECT k, d, {r("100.0 * count(*) FILTER (status = 'SUCCESS') / count(*)", 2)} AS rate
+            FROM qh WHERE bytes > 0 AND {both} GROUP BY k, d""",
+        "perf": f"""SELECT k, d, p, count(*) AS n, {r("median(ms / 1000.0)", 4)} AS med,
+                {r("quantile_cont(ms / 1000.0, 0.95)", 4)} AS p95, {r("quantile_cont(ms / 1000.0, 0.99)", 4)} AS p99,
+                count(*) FILTER (ms / 1000.0 >= x95) AS tail_n,
+                {r("100.0 * sum(CASE WHEN ms / 1000.0 >= x95 THEN ms ELSE 0 END) / nullif(sum(ms), 0)", 1)} AS tail_w,
+                any_value(rate) AS rate
+            FROM ok JOIN edge USING (k, d) JOIN rate USING (k, d) GROUP BY k, d, p""",
+        "cost": f"""SELECT k, d, p, credits, coalesce(a.n, 0) AS all_n, coalesce(m.n, 0) AS pat_n,
+                {r("credits / nullif(a.n, 0)", 6)} AS all_cpq, {r("credits / nullif(m.n, 0)", 6)} AS pat_cpq
+            FROM (SELECT k, d, p, CAST(round(sum(credits), 4) AS DOUBLE) AS credits FROM meter GROUP BY k, d, p)
+            LEFT JOIN (SELECT k, d, count(*) AS n FROM qh WHERE bytes > 0 GROUP BY k, d) a USING (k, d)
+            LEFT JOIN (SELECT k, d, n FROM perf) m USING (k, d)""",
+    }
+    steps = ",\n".join(f"{n} AS ({sql})" for n, sql in steps.items())
+    return f"WITH {steps}\nSELECT nullif(k, '') AS {name}, {final}"
+
+
+PERF_COLUMNS = """d AS activity_date, p AS period_type, {dow}, n AS query_count, med AS median_exec_sec, p95 AS p95_exec_sec,
+    p99 AS p99_exec_sec, tail_n AS p95_tail_count, tail_w AS p95_tail_weight_pct, n AS successful_queries,
+    rate AS success_rate_pct FROM perf"""
+COST_COLUMNS = """d AS activity_date, p AS period_type, {dow}, credits AS daily_credits, all_n AS all_query_count,
+    all_cpq AS all_credits_per_query, pat_n AS pattern_query_count, pat_cpq AS wh_credits_per_pattern_query FROM cost"""
+
+
 def all_statements() -> dict[str, str]:
     after = "2024-02-01"
     found = {
@@ -563,6 +600,7 @@ def all_statements() -> dict[str, str]:
         "metering_reload": staged(EVENTS, after, "meters"),
         "metering_withdrawn": staged(EVENTS, after, "meters"),
         "staging_coverage": coverage(EVENTS, after),
+        "staging_coverage_written": coverage(EVENTS, after),
         "high_water_mark": f"""SELECT coalesce(max(start_time), TIMESTAMP '1970-01-01 00:00:00') AS high_water_mark
             FROM ({EVENTS['runs']}) WHERE start_time < TIMESTAMP '2024-01-20 00:00:00'""",
     }
@@ -575,6 +613,15 @@ def all_statements() -> dict[str, str]:
                 count(*) FILTER (bytes = 0) AS cached_queries, count(*) FILTER (bytes > 0) AS live_queries
                 FROM qh GROUP BY d, p""",
             ),
+            f"matched_rows_by_shuffle{suffix}": statement(
+                b,
+                """SELECT d AS activity_date, count(*) AS runs,
+                count(*) FILTER (hash IN (SELECT hash FROM matched)) AS pattern_runs FROM qh GROUP BY d""",
+            ),
+            f"perf_daily_per_user{suffix}": keyed(
+                b, "nullif(wh, 'ANALYTICS_1')", "user_name", PERF_COLUMNS.format(dow=DOW)
+            ),
+            f"cost_daily_per_warehouse{suffix}": keyed(b, "wh", "warehouse_name", COST_COLUMNS.format(dow=DOW)),
             f"matched_patterns{suffix}": statement(b, "SELECT hash AS pattern_hash FROM matched"),
             f"data_validation{suffix}": data_validation(b),
             f"perf_daily{suffix}": perf_daily(b),

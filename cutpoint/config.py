@@ -31,6 +31,9 @@ class Tuning:
     # The matched-pattern set is broadcast only when it was counted and fits both limits.
     broadcast_max_rows: int = 1_000_000
     broadcast_max_bytes: int = 64 * 1024 * 1024
+    # Beyond them it is joined by a shuffle: runs, and bytes of patterns, that a partition should hold.
+    shuffle_rows: int = 4_000_000
+    shuffle_bytes: int = 128 * 1024 * 1024
 
 
 @dataclass(frozen=True)

@@ -10,7 +10,7 @@ from cutpoint.functions.numeric import percent, ratio, rounded
 from cutpoint.operators.cells import EXEC, IS_COMPARABLE, QUEUE
 from cutpoint.operators.quantiles import exact_percentiles
 from cutpoint.operators.scope import in_scope, in_window, period_label
-from cutpoint.session import group_by
+from cutpoint.session import full_join_by, group_by, join_by
 
 
 def seconds(x100: str) -> str:
@@ -44,7 +44,7 @@ def daily_percentiles(cells: DataFrame, cfg: Config, *, with_queue: bool) -> Dat
     keys = [*cfg.keys, "activity_date"]
     group = [*keys, "measure"]
     used = f"{IS_COMPARABLE} OR measure = '{QUEUE}'" if with_queue else IS_COMPARABLE
-    found = exact_percentiles(cells.where(used), group, "ms", [50, 95, 99], few_groups=not cfg.keys)
+    found = exact_percentiles(cells.where(used), group, "ms", [50, 95, 99], few_groups=not cfg.keys, keys=cfg.keys)
     if not with_queue:
         return found.drop("measure")
 
@@ -66,9 +66,8 @@ def daily_percentiles(cells: DataFrame, cfg: Config, *, with_queue: bool) -> Dat
 def daily_queries(cells: DataFrame, cfg: Config, *, with_queue: bool) -> DataFrame:
     """Per day with runs: counts, success rates, percentiles, tail and queue figures."""
     keys = [*cfg.keys, "activity_date"]
-    days = daily_counts(cells.where(f"measure = '{EXEC}'"), cfg).join(
-        daily_percentiles(cells, cfg, with_queue=with_queue), keys, "left"
-    )
+    counts = daily_counts(cells.where(f"measure = '{EXEC}'"), cfg)
+    days = join_by(counts, daily_percentiles(cells, cfg, with_queue=with_queue), cfg.keys, keys, "left")
 
     def sec(x100: str, name: str) -> str:
         return f"{rounded(seconds(x100), 4)} AS {name}"
@@ -104,7 +103,7 @@ def daily_metering(metering: DataFrame, cfg: Config) -> DataFrame:
 
 def with_cost(queries: DataFrame, metering_days: DataFrame, cfg: Config) -> DataFrame:
     """Days with runs or metering. Cost figures exist on metered days only."""
-    days = queries.join(metering_days, [*cfg.keys, "activity_date"], "full")
+    days = full_join_by(queries, metering_days, cfg.keys, [*cfg.keys, "activity_date"])
 
     def per_query(count: str, name: str) -> str:
         return f"{rounded(ratio('daily_credits', count), 6)} AS {name}"

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
-from cutpoint.config import Config
+from cutpoint.config import Config, Tuning
 from cutpoint.operators.scope import PATTERN, in_scope, in_window, is_after
 from cutpoint.session import group_by, join_by, query
 
@@ -47,43 +49,73 @@ def mark_matched(
     """
     on = [*cfg.keys, PATTERN]
     width = " + ".join(f"coalesce(octet_length(CAST({c} AS STRING)), 0)" for c in on)
-    size = query(
-        f"""SELECT count_if({matched}) AS matched,
-                   coalesce(sum(CASE WHEN {matched} THEN {width} + {ROW_BYTES} END), 0) AS bytes,
-                   coalesce(sum(gen1_runs + gen2_runs), 0) AS runs
-            FROM {{presence}}""",
-        presence=presence,
-    ).first()
+    measured = _measured(presence, matched, width)
     flags = presence.where(matched).selectExpr(*on, "true AS matched_flag")
     limits = cfg.tuning
-    if size["matched"] <= limits.broadcast_max_rows and size["bytes"] <= limits.broadcast_max_bytes:
+    n_matched, n_bytes = sum(m["matched"] for m in measured), sum(m["bytes"] for m in measured)
+    if n_matched <= limits.broadcast_max_rows and n_bytes <= limits.broadcast_max_bytes:
         marked = join_by(rows, flags, cfg.keys, on, "left", "broadcast")
     else:
-        marked = _mark_by_shuffle(rows, presence, flags, cfg.keys, size["runs"], matched)
+        marked = _mark_by_shuffle(rows, presence, flags, cfg.keys, shuffle_plan(measured, limits), matched)
     return marked.selectExpr(*rows.columns, "coalesce(matched_flag, false) AS is_pattern")
 
 
+def _measured(presence: DataFrame, matched: str, width: str) -> list[Row]:
+    """Patterns by the power of two of their runs: at most 64 rows, whatever the number of patterns."""
+    return query(
+        f"""SELECT length(bin(gen1_runs + gen2_runs)) AS magnitude, count(*) AS patterns, sum(gen1_runs + gen2_runs) AS runs,
+                   count_if({matched}) AS matched,
+                   coalesce(sum(CASE WHEN {matched} THEN {width} + {ROW_BYTES} END), 0) AS bytes
+            FROM {{presence}} GROUP BY 1""",
+        presence=presence,
+    ).collect()
+
+
+@dataclass(frozen=True)
+class ShufflePlan:
+    """How many partitions, and the runs from which a pattern is spread over all of them."""
+
+    partitions: int
+    frequent: int
+
+
+def shuffle_plan(measured: list[Row], limits: Tuning) -> ShufflePlan:
+    """Partitions by the measured runs and bytes; the most frequent patterns, no more than partitions, are spread.
+
+    ``measured`` holds patterns, runs and bytes by magnitude (number of binary digits of the runs).
+    """
+    runs, size = sum(m["runs"] for m in measured), sum(m["bytes"] for m in measured)
+    partitions = max(1, -(-runs // limits.shuffle_rows), -(-size // limits.shuffle_bytes))
+    # From the top down, as long as they stay a broadcast of no more rows than partitions.
+    frequent, spread = 1 << 63, 0
+    for m in sorted(measured, key=lambda m: -m["magnitude"]):
+        spread += m["patterns"]
+        if spread > partitions:
+            break
+        frequent = 1 << (m["magnitude"] - 1)
+    # A magnitude of more patterns than that is cut where fewer than ``partitions`` can lie: at a partition's share.
+    share = -(-runs // partitions)
+    return ShufflePlan(partitions, min(frequent, max(2, share)))
+
+
 def _mark_by_shuffle(
-    rows: DataFrame, presence: DataFrame, flags: DataFrame, keys: Sequence[str], total_runs: int, matched: str
+    rows: DataFrame, presence: DataFrame, flags: DataFrame, keys: Sequence[str], plan: ShufflePlan, matched: str
 ) -> DataFrame:
     """Shuffle join in which only patterns with a small share of the rows meet by key.
 
-    With P shuffle partitions, fewer than P patterns can each hold more than 1/P of the runs.
-    Those frequent ones are answered by a broadcast of fewer than P rows; they, and rows without a
-    pattern, are then spread over all partitions by a hash of the row instead of their key. The
-    other side has one row per pattern, which hashes evenly. The join sorts and merges, so that a
-    partition's part of the patterns may be larger than a task's memory: it spills.
+    The frequent patterns are answered by a broadcast of about as many rows as there are partitions; they, and rows
+    without a pattern, are then spread over all partitions by a hash of the row instead of their key. The
+    other side has one row per pattern, which hashes evenly. Both sides are dealt into the measured number of
+    partitions. The join sorts and merges, so that a partition's part of the patterns may be larger than a
+    task's memory: it spills.
     """
     on = [*keys, PATTERN]
-    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    frequent = presence.where(f"(gen1_runs + gen2_runs) * {partitions} > {total_runs}").selectExpr(
-        *on, f"({matched}) AS frequent_flag"
-    )
+    frequent = presence.where(f"gen1_runs + gen2_runs >= {plan.frequent}").selectExpr(*on, f"({matched}) AS frequent_flag")
     others = ", ".join(c for c in rows.columns if c not in on)
     # More slots than partitions, so that their uneven placement evens out. The slot of a joined row
     # is a function of its key on both sides: a constant would be folded out of the join keys and
     # the rows spread by slot would meet by pattern again.
-    slots = partitions * 16
+    slots = plan.partitions * 16
     by_key = f"pmod(xxhash64({', '.join(on)}), {slots})"
     by_row = f"-1 - pmod(xxhash64({others}), {slots})"
     placed = join_by(rows, frequent, keys, on, "left", "broadcast").selectExpr(
@@ -91,7 +123,12 @@ def _mark_by_shuffle(
         f"CASE WHEN frequent_flag IS NOT NULL OR {PATTERN} IS NULL THEN {by_row}"
         f" ELSE {by_key} END AS slot",
     )
-    slotted = flags.selectExpr("*", f"{by_key} AS slot")
-    return join_by(placed, slotted, keys, [*on, "slot"], "left", "merge").selectExpr(
+    # One column to meet by: fields that are NULL are equal in it, and both sides are dealt by it alone. A spread
+    # row meets nothing, so it leaves its pattern out and isn't drawn together by it.
+    met = f"struct({', '.join(f'CASE WHEN slot >= 0 THEN {c} END AS {c}' for c in on)}, slot)"
+    placed = placed.withColumn("met", F.expr(met)).repartition(plan.partitions, "met")
+    slotted = flags.selectExpr("*", f"{by_key} AS slot").selectExpr("matched_flag", f"{met} AS other")
+    slotted = slotted.repartition(plan.partitions, "other")
+    return placed.join(slotted.hint("merge"), F.expr("met = other"), "left").selectExpr(
         *rows.columns, "coalesce(frequent_flag, matched_flag) AS matched_flag"
     )

@@ -23,7 +23,7 @@ from cutpoint.operators.compare import (
 from cutpoint.operators.daily import daily_counts, seconds, with_calendar
 from cutpoint.operators.quantiles import exact_percentiles
 from cutpoint.plans.workload import Workload
-from cutpoint.session import group_by
+from cutpoint.session import group_by, join_by
 
 HAS_PERF = "query_count > 0"
 
@@ -99,7 +99,7 @@ def perf_by_dow(w: Workload) -> DataFrame:
         "n",
     )
     hist = group_by(live, [*group, "ms"], ["sum(n) AS n"])
-    found = exact_percentiles(hist, group, "ms", [50, 95, 99], few_groups=not cfg.keys)
+    found = exact_percentiles(hist, group, "ms", [50, 95, 99], few_groups=not cfg.keys, keys=cfg.keys)
     names = {50: "median", 95: "p95", 99: "p99"}
     picks = [
         f"max(CASE WHEN period_type = '{label}' AND scope = '{scope}' THEN p{p}_x100 END)"
@@ -138,7 +138,7 @@ def perf_by_dow(w: Workload) -> DataFrame:
             f" AS {scope}_{name}_exec_speedup_pct",
         )
     ]
-    return add(counts.join(times, weekday, "left"), rates).selectExpr(
+    return add(join_by(counts, times, cfg.keys, weekday, "left"), rates).selectExpr(
         *weekday,
         "b_days AS gen1_days",
         "g_days AS gen2_days",

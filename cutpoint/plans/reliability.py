@@ -14,7 +14,7 @@ from cutpoint.functions.welch import INSUFFICIENT_DF, drop_significance
 from cutpoint.operators.compare import add, in_both_periods, moments, per_period, tested, with_welch
 from cutpoint.operators.scope import FAILED, SUCCEEDED, only_days, period_label
 from cutpoint.plans.workload import Workload
-from cutpoint.session import group_by, settle
+from cutpoint.session import group_by, join_by, settle
 
 SAMPLE_LENGTH = 200
 
@@ -139,11 +139,9 @@ def error_analysis(w: Workload) -> DataFrame:
     texts = only_days(w.rows.where(FAILED), first_days).selectExpr(
         *on, f"left(query_text, {SAMPLE_LENGTH}) AS sample"
     )
-    samples = (
-        group_by(texts, on, ["min(sample) AS sample_query"]).join(first_days, on).drop("activity_date")
-    )
-    joined = errors.join(totals, keys) if keys else errors.crossJoin(totals)
-    joined = joined.join(samples, [*keys, "execution_status"], "left")
+    samples = join_by(group_by(texts, on, ["min(sample) AS sample_query"]), first_days, keys, on).drop("activity_date")
+    joined = join_by(errors, totals, keys, keys) if keys else errors.crossJoin(totals)
+    joined = join_by(joined, samples, keys, [*keys, "execution_status"], "left")
     rates = {
         "b_count": "coalesce(b_errors, 0)",
         "b_rate": ratio("coalesce(b_errors, 0)", "b_total"),

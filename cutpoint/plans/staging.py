@@ -19,6 +19,7 @@ from cutpoint.sources.schema import (
     read_staged,
 )
 from cutpoint.session import group_by
+from cutpoint.sources.folders import DAY, remove, staged_days
 
 EPOCH = datetime(1970, 1, 1)
 
@@ -110,6 +111,16 @@ def high_water_mark(staged: DataFrame, as_of: datetime | date | None = None) ->
         upper, days = lower, days * 8
 
 
+def latest_mark(spark: SparkSession, path: str, schema=QUERY_HISTORY) -> datetime:
+    """High-water mark of a table by its path: the listing names the latest day, and only its files are opened."""
+    for latest in reversed(staged_days(spark, path)):
+        rows = read_staged(spark, path, schema).where(f"activity_date = {day(latest)}")
+        mark = group_by(rows, [], ["max(start_time)"]).first()[0]
+        if mark is not None:
+            return mark
+    return EPOCH
+
+
 def _staged(spark: SparkSession, path: str, schema) -> DataFrame:
     try:
         return read_staged(spark, path, schema)
@@ -129,7 +140,7 @@ def append_query_history(
     staged yet. An empty table is loaded from the start of the first week.
     """
     staged = _staged(source.sparkSession, path, QUERY_HISTORY)
-    mark = high_water_mark(staged, as_of)
+    mark = latest_mark(source.sparkSession, path)
     if mark == EPOCH:
         rows = stage_query_rows(source, cfg, as_of)
     elif overlap_days:
@@ -147,11 +158,12 @@ def reload_metering(source: DataFrame, path: str, cfg: Config, as_of=None) -> No
 
     Only the days from the mark's day on are rewritten, in one write: the kept earlier intervals of
     that day together with the new rows. Where neither are left, the source has withdrawn the day: its
-    folder is emptied, before the later days are written. A rerun gives the same table, also after a
+    folder is removed, before the later days are written. A rerun gives the same table, also after a
     failure in between: the mark is then an earlier one.
     """
-    staged = _staged(source.sparkSession, path, METERING)
-    mark = high_water_mark(staged, as_of)
+    spark = source.sparkSession
+    staged = _staged(spark, path, METERING)
+    mark = latest_mark(spark, path, METERING)
     if mark == EPOCH:
         _write(stage_metering_rows(source, cfg, as_of), path, [], "append")
         return
@@ -160,8 +172,7 @@ def reload_metering(source: DataFrame, path: str, cfg: Config, as_of=None) -> No
     )
     rows = kept.unionByName(stage_metering_rows(source, cfg, as_of, mark))
     if rows.where(f"activity_date = {day(mark.date())}").isEmpty():
-        nothing = rows.limit(0).drop("activity_date")
-        nothing.write.mode("overwrite").parquet(f"{path}/activity_date={mark.date().isoformat()}")
+        remove(spark, f"{path}/{DAY}{mark.date().isoformat()}")
         rows = stage_metering_rows(source, cfg, as_of, mark)
     _write(rows, path, [], "overwrite", "dynamic")
 
@@ -175,3 +186,12 @@ def coverage(query_history: DataFrame, metering: DataFrame, cfg: Config) -> Data
         return group_by(days, ["period_type"], aggregates).selectExpr(f"'{source}' AS source", "*")
 
     return of(query_history, "qh").unionByName(of(metering, "wh")).orderBy("source", "period_type")
+
+
+def coverage_of(spark: SparkSession, query_history: str, metering: str, cfg: Config) -> DataFrame:
+    """The same for staged tables by their paths, from their listings: no data file is opened, none is scanned."""
+
+    def days(path: str) -> DataFrame:
+        return spark.createDataFrame([(d,) for d in staged_days(spark, path)], "activity_date date")
+
+    return coverage(days(query_history), days(metering), cfg)

@@ -12,7 +12,7 @@ from cutpoint.operators.compare import add, per_period
 from cutpoint.operators.daily import with_calendar
 from cutpoint.operators.scope import in_scope, in_window, period_label
 from cutpoint.plans.workload import Workload
-from cutpoint.session import group_by
+from cutpoint.session import group_by, join_by
 
 
 def data_validation(w: Workload) -> DataFrame:
@@ -46,8 +46,8 @@ def data_validation(w: Workload) -> DataFrame:
         ["CAST(round(sum(credits_used), 2) AS DOUBLE) AS total_credits"],
     )
     patterns = group_by(w.matched_patterns, keys, ["count(pattern_hash) AS common_patterns"])
-    joined = per_day.join(warehouses, by, "left").join(credits, by, "left")
-    joined = joined.join(patterns, keys, "left") if keys else joined.crossJoin(patterns)
+    joined = join_by(join_by(per_day, warehouses, keys, by, "left"), credits, keys, by, "left")
+    joined = join_by(joined, patterns, keys, keys, "left") if keys else joined.crossJoin(patterns)
     label = {"data_sufficiency": data_sufficiency("period_type", "query_days")}
     return add(joined, label).selectExpr(
         *by,

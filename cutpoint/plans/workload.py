@@ -26,7 +26,7 @@ class Workload:
     With ``share`` the daily table is settled too and feeds every report: the way to ask for many
     reports of one workload. Without it each report computes only the columns it needs.
 
-    Key columns of the configuration must not be NULL in the facts.
+    A NULL in a key column of the configuration is a key of its own.
     """
 
     def __init__(

@@ -1,6 +1,7 @@
 import pytest
 
 from cutpoint import Tuning
+from cutpoint.operators.patterns import shuffle_plan
 from cutpoint.operators.scope import PATTERN
 
 
@@ -49,7 +50,7 @@ def test_shuffle_route_gives_the_same_rows(facts, tuning):
 
 def test_shuffle_route_spreads_frequent_patterns(spark, facts):
     fill(facts)
-    w = facts.workload(tuning=Tuning(broadcast_max_rows=0))
+    w = facts.workload(tuning=Tuning(broadcast_max_rows=0, shuffle_rows=60))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -70,3 +71,37 @@ def test_keys_match_within_the_key(facts):
         w = facts.workload(keys=("warehouse_name",), tuning=tuning)
         flags = {(r["warehouse_name"], r["is_pattern"]) for r in w.marked_rows.collect()}
         assert flags == {("ANALYTICS_A", False), ("ANALYTICS_B", True)}
+
+
+def measured(*runs, size=100):
+    from collections import Counter, namedtuple
+
+    Magnitude = namedtuple("Magnitude", "magnitude patterns runs matched bytes")
+    bits = Counter(n.bit_length() for n in runs)
+    found = [Magnitude(b, c, sum(n for n in runs if n.bit_length() == b), c, c * size) for b, c in bits.items()]
+    return [{f: getattr(m, f) for f in m._fields} for m in found]
+
+
+def test_partitions_follow_what_was_measured():
+    limits = Tuning(shuffle_rows=1000, shuffle_bytes=1 << 20)
+    assert shuffle_plan([], limits).partitions == 1
+    assert shuffle_plan(measured(*[1] * 10), limits).partitions == 1
+    few = [5000, 3000, *[10] * 200]
+    plan = shuffle_plan(measured(*few), limits)
+    assert plan.partitions == 10 and sum(n >= plan.frequent for n in few) == 2
+    # Many patterns of the same magnitude: only those that fill a partition alone are spread.
+    even = [900] * 50 + [1010] * 3
+    plan = shuffle_plan(measured(*even), limits)
+    assert plan.partitions == 49 and sum(n >= plan.frequent for n in even) <= plan.partitions
+    assert shuffle_plan(measured(*[3] * 100, size=1 << 20), limits).partitions == 100
+
+
+def test_measured_partitions_are_used(spark, facts):
+    fill(facts)
+    w = facts.workload(tuning=Tuning(broadcast_max_rows=0, shuffle_rows=50))
+    runs = w.presence.selectExpr("sum(gen1_runs + gen2_runs)").first()[0]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert w.marked_rows.rdd.getNumPartitions() == -(-runs // 50)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")

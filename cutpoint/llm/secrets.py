@@ -44,6 +44,8 @@ LOOSE = (
     Kind("opaque", r"[A-Za-z0-9_-]{24,}", 0, 24, ("[0-9][^0-9]*[0-9][^0-9]*[0-9]", "[A-Za-z]")),
 )
 KINDS = (*BASE, *LOOSE)
+#: What a credential goes on with beyond a span.
+PART = "[A-Za-z0-9_+/-]"
 
 
 def _literal(pattern: str) -> str:
@@ -142,7 +144,8 @@ def per_row(spans: DataFrame) -> DataFrame:
 def redact(df: DataFrame, text: str = "text", mark: str = "[secret]", **names) -> DataFrame:
     """The rows of ``df`` with every span replaced by ``mark``; overlapping spans become one mark.
 
-    Texts without spans, null ones among them, stay as they are; so do all other columns.
+    Letters, digits and ``_+/-`` that touch a span go with it: where only part of a credential fits a pattern, nothing of
+    the rest stays. Texts without spans, null ones among them, stay as they are; so do all other columns.
     """
     rows, spans = find(df, text, **names)
     merged = (
@@ -160,6 +163,12 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[secret]", **names) -
         f"concat(transform(cuts, (c, i) -> substr({t}, {begun} + 1, c.start - {begun})),"
         f" array(substr({t}, element_at(cuts, -1).end + 1)))"
     )
+    ahead, behind = _literal(rf"^{PART}++"), _literal(rf"(?<!{PART}){PART}++\z")
+    parts = (
+        f"transform({parts}, (p, i) -> CASE WHEN i = 0 THEN regexp_replace(p, {behind}, '')"
+        f" WHEN i = size(cuts) THEN regexp_replace(p, {ahead}, '')"
+        f" ELSE regexp_replace(regexp_replace(p, {ahead}, ''), {behind}, '') END)"
+    )
     done = rows.join(merged, "rid", "left").selectExpr(
         "row", f"CASE WHEN cuts IS NULL THEN {t} ELSE array_join({parts}, {_literal(mark)}) END AS text"
     )

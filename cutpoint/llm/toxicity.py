@@ -22,8 +22,8 @@ EPOCHS = 3
 GRADES = 2
 #: The first threshold is at least this, so that a text without telling features isn't toxic; others lie apart so far.
 FIRST, APART = 1.5, 0.05
-#: Marked texts below which the sample isn't split into shards.
-FEW = 400
+#: A sample of fewer marked texts, and of fewer texts in all, isn't split into shards.
+FEW, SMALL = 400, 4000
 
 
 def features(text: Column) -> Column:
@@ -51,15 +51,16 @@ def _read(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def graded(sample: DataFrame) -> tuple[DataFrame, int, int]:
-    """``sample`` (key, label, features) with grades for labels, how many grades there are above 0, and marked texts.
+    """``sample`` (key, label, features) with grades for labels, how many grades there are above 0, and how many shards to learn in.
 
     Grades are kept as given. Labels 0 and 1 are spread over two grades, once over all rows: a marked text that
     holds more of the features that marked texts have and others haven't than half of the marked ones gets grade 2.
     """
     rows = settle(sample.select(F.monotonically_increasing_id().alias("rid"), "key", F.greatest("label", F.lit(0)).alias("label"), "features"))
     top, marked, other = rows.agg(F.max("label"), F.expr("count_if(label > 0)"), F.expr("count_if(label = 0)")).first()
+    shards = 1 if marked < FEW and marked + other < SMALL else SHARDS
     if (top or 0) > 1:
-        return rows, top, marked
+        return rows, top, shards
     each = rows.select("rid", "label", F.explode("features").alias("feature"))
     held = each.groupBy("feature").agg(F.expr("count_if(label > 0)").alias("m"), F.expr("count_if(label = 0)").alias("o"))
     telling = held.where(f"m >= 5 AND (m + 0.5D) / {max(1, marked)} > 8 * (o + 0.5D) / {max(1, other)}").select("feature")
@@ -68,7 +69,7 @@ def graded(sample: DataFrame) -> tuple[DataFrame, int, int]:
     middle = told.agg(F.median("held")).first()[0] or 0.0
     grade = told.selectExpr("rid", f"1 + CAST(held > {middle!r}D AS INT) AS grade")
     spread = rows.join(grade, "rid", "left").select("key", F.coalesce("grade", F.lit(0)).alias("label"), "features")
-    return spread, GRADES, marked
+    return spread, GRADES, shards
 
 
 def _logistic(x: np.ndarray | float):
@@ -108,12 +109,12 @@ def train(
     """Weights and thresholds (index -1, -2, ..., strictly rising) learnt from about ``max_rows`` labelled texts at most.
 
     All thresholds exist however few labels there are; they start where a text without weights isn't toxic and move
-    with what is seen, but never so far that such a text becomes toxic. Texts that are labelled both ways count both ways. Fewer than FEW marked texts are learnt
-    from in one go, more in shards.
+    with what is seen, but never so far that such a text becomes toxic. Texts that are labelled both ways count both ways. A small sample with fewer
+    than FEW marked texts is learnt from in one go, others in shards.
     """
     sample = sample_labelled(df, labels, key=key, label=label, text=text, max_rows=max_rows)
-    rows, grades, marked = graded(sample.select("key", "label", features(whole("text"))))
-    return train_shards(rows.select("key", "label", "features"), ["features"], _read, _fit(grades or 1), 1 if marked < FEW else SHARDS)
+    rows, grades, shards = graded(sample.select("key", "label", features(whole("text"))))
+    return train_shards(rows.select("key", "label", "features"), ["features"], _read, _fit(grades), shards)
 
 
 def score(df: DataFrame, weights: dict[int, float], text: str = "text", *, keep: list[str] | None = None) -> DataFrame:

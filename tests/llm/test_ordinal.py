@@ -57,16 +57,16 @@ def test_a_shard_without_marked_texts(llm_spark, monkeypatch):
 def test_given_grades_are_kept(llm_spark):
     rows = [(i, 1, g, [g, 100 + i]) for i, g in enumerate([0, 1, 2, 3, 3])]
     sample = llm_spark.createDataFrame([(k, g, f) for k, _, g, f in rows], "key long, label int, features array<long>")
-    spread, grades, marked = toxicity.graded(sample)
-    assert grades == 3 and marked == 4 and sorted(r["label"] for r in spread.collect()) == [0, 1, 2, 3, 3]
+    spread, grades, shards = toxicity.graded(sample)
+    assert grades == 3 and shards == 1 and sorted(r["label"] for r in spread.collect()) == [0, 1, 2, 3, 3]
 
 
 def test_grades_are_spread_over_all_rows(llm_spark):
     """Half of the marked texts, those with more telling features, get grade 2."""
     rows = [(i, 1, [1, 2] if i % 2 else [1]) for i in range(20)] + [(i, 0, [3]) for i in range(20, 80)]
-    spread, grades, marked = toxicity.graded(llm_spark.createDataFrame(rows, "key long, label int, features array<long>"))
+    spread, grades, shards = toxicity.graded(llm_spark.createDataFrame(rows, "key long, label int, features array<long>"))
     got = {r["key"]: r["label"] for r in spread.collect()}
-    assert (grades, marked) == (2, 20) and got == {i: 0 if i >= 20 else 2 if i % 2 else 1 for i in range(80)}
+    assert (grades, shards) == (2, 1) and got == {i: 0 if i >= 20 else 2 if i % 2 else 1 for i in range(80)}
 
 
 def test_weights_are_averaged_by_examples(llm_spark):

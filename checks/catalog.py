@@ -13,14 +13,17 @@ from cutpoint.functions.numeric import ratio, rounded
 from cutpoint.plans import performance, reliability, reports, staging
 from cutpoint.plans.cost import IS_METERED
 from cutpoint.plans.decision import PROSE
+from cutpoint.plans.incremental import DailyState
 from cutpoint.plans.workload import Workload
 from cutpoint.session import group_by, new_table_path
 from cutpoint.sources import bindings
 from cutpoint.sources.schema import METERING, QUERY_HISTORY, read_staged
+from cutpoint.sources.snapshots import Snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # The events end in January 2024; staging sees them as of these days.
+EARLY_LOAD = date(2024, 1, 17)
 FIRST_LOAD = date(2024, 1, 20)
 LAST_LOAD = date(2024, 2, 1)
 
@@ -160,6 +163,33 @@ def high_water_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT TIMESTAMP_NTZ'{mark}' AS high_water_mark")
 
 
+def metering_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``metering_withdrawn``, in a table of snapshots: early credits are revised and a day goes, in one step each."""
+    path = new_table_path(spark, "metering")
+    cfg = bindings.EVENTS_CONFIG
+    source = bindings.events_metering(spark, sf_dir)
+    staging.replace_metering(source.unionByName(_withdrawn(source)), path, cfg, FIRST_LOAD)
+    staging.replace_metering(source.unionByName(_withdrawn(source)), path, cfg, LAST_LOAD)
+    staging.replace_metering(source, path, cfg, LAST_LOAD)
+    return Snapshots(spark, path).read(METERING).selectExpr(*METERING_COLUMNS)
+
+
+def incremental(report: Callable[[Workload], DataFrame]) -> Query:
+    """A report of daily state: built for a first load, brought up to date after two more."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        runs, meters, cells = (new_table_path(spark, n) for n in ("query_history", "metering", "state"))
+        cfg = bindings.EVENTS_CONFIG
+        state = DailyState(spark, cells, runs, cfg)
+        for as_of in (EARLY_LOAD, FIRST_LOAD, LAST_LOAD):
+            staging.append_query_history(bindings.events_query_history(spark, sf_dir), runs, cfg, as_of)
+            staging.replace_metering(bindings.events_metering(spark, sf_dir), meters, cfg, as_of)
+            state.update()
+        return without_prose(report(state.workload(Snapshots(spark, meters).read(METERING))))
+
+    return run
+
+
 # ---- parts of reports ---------------------------------------------------------------------------
 
 
@@ -254,6 +284,10 @@ def all_queries() -> dict[str, Query]:
         "staging_coverage": staging_coverage,
         "staging_coverage_written": staging_coverage_written,
         "high_water_mark": high_water_mark,
+        "metering_snapshot": metering_snapshot,
+        "perf_daily_incremental": incremental(performance.perf_daily),
+        "queue_daily_incremental": incremental(performance.queue_daily),
+        "decision_incremental": incremental(reports.REPORTS["migration_decision"]),
     }
     for suffix, workload in (("", events_workload), ("_orders", orders_workload)):
         for name, report in (PER_WORKLOAD | PER_CONFIGURATION).items():

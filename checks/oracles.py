@@ -591,6 +591,9 @@ COST_COLUMNS = """d AS activity_date, p AS period_type, {dow}, credits AS daily_
     all_cpq AS all_credits_per_query, pat_n AS pattern_query_count, pat_cpq AS wh_credits_per_pattern_query FROM cost"""
 
 
+QUEUE_DAILY = "SELECT d AS activity_date, p AS period_type, med AS median_queue_sec, p95 AS p95_queue_sec FROM waits"
+
+
 def all_statements() -> dict[str, str]:
     after = "2024-02-01"
     found = {
@@ -599,6 +602,10 @@ def all_statements() -> dict[str, str]:
         "incremental_append": staged(EVENTS, after, "runs"),
         "metering_reload": staged(EVENTS, after, "meters"),
         "metering_withdrawn": staged(EVENTS, after, "meters"),
+        "metering_snapshot": staged(EVENTS, after, "meters"),
+        "perf_daily_incremental": perf_daily(EVENTS),
+        "queue_daily_incremental": statement(EVENTS, QUEUE_DAILY),
+        "decision_incremental": decision(EVENTS),
         "staging_coverage": coverage(EVENTS, after),
         "staging_coverage_written": coverage(EVENTS, after),
         "high_water_mark": f"""SELECT coalesce(max(start_time), TIMESTAMP '1970-01-01 00:00:00') AS high_water_mark
@@ -629,11 +636,7 @@ def all_statements() -> dict[str, str]:
             f"perf_welch_test{suffix}": perf_welch_test(b),
             f"perf_by_dow{suffix}": perf_by_dow(b),
             f"perf_summary{suffix}": statement(b, "SELECT * FROM ps", **PERF_STEPS),
-            f"queue_daily{suffix}": statement(
-                b,
-                """SELECT d AS activity_date, p AS period_type, med AS median_queue_sec, p95 AS p95_queue_sec
-                FROM waits""",
-            ),
+            f"queue_daily{suffix}": statement(b, QUEUE_DAILY),
             f"cost_daily{suffix}": cost_daily(b),
             f"cost_welch_test{suffix}": statement(b, "SELECT * FROM cw", **COST_STEPS),
             f"cost_weighted{suffix}": cost_weighted(b),

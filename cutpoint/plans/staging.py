@@ -20,6 +20,7 @@ from cutpoint.sources.schema import (
 )
 from cutpoint.session import group_by
 from cutpoint.sources.folders import DAY, remove, staged_days
+from cutpoint.sources.snapshots import Manifest, Snapshots
 
 EPOCH = datetime(1970, 1, 1)
 
@@ -177,6 +178,28 @@ def reload_metering(source: DataFrame, path: str, cfg: Config, as_of=None) -> No
     _write(rows, path, [], "overwrite", "dynamic")
 
 
+def replace_metering(source: DataFrame, path: str, cfg: Config, as_of=None) -> Manifest:
+    """As ``reload_metering``, for a table of snapshots: the revised tail replaces the old one in one step.
+
+    Readers see the table before or after the load, never a day withdrawn with the later days still old. A load
+    that fails leaves the table as it was; of two at the same time one is refused (``Conflict``).
+    """
+    spark = source.sparkSession
+    table = Snapshots(spark, path)
+    before = table.current()
+    mark = None
+    for latest in sorted(before.days, reverse=True):
+        mark = group_by(table.read(METERING, before, [latest]), [], ["max(start_time)"]).first()[0]
+        if mark is not None:
+            break
+    rows = stage_metering_rows(source, cfg, as_of, mark)
+    if mark is not None:
+        rows = table.read(METERING, before, [mark.date()]).where(f"start_time < {utc_time(mark)}").unionByName(rows)
+    written = table.write(rows)
+    kept = {d: load for d, load in before.days.items() if mark is not None and d < mark.date()}
+    return table.commit(before, kept | written)
+
+
 def coverage(query_history: DataFrame, metering: DataFrame, cfg: Config) -> DataFrame:
     """Days and latest day per staged table and period. Reads the partition column only."""
 

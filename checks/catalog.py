@@ -8,8 +8,10 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
+from checks.scenarios import SCENARIOS
 from cutpoint.config import Tuning
 from cutpoint.functions.numeric import ratio, rounded
+from cutpoint.operators.counterfactual import with_effects
 from cutpoint.plans import performance, reliability, reports, staging
 from cutpoint.plans.cost import IS_METERED
 from cutpoint.plans.decision import PROSE
@@ -255,9 +257,15 @@ def keyed(report: Callable[[Workload], DataFrame], key: str, *, some_null: bool
     return run
 
 
+def decision_outcomes(w: Workload) -> DataFrame:
+    """The decision under each of several effects of the change, in one job."""
+    return reports.REPORTS["migration_decision"](with_effects(w, SCENARIOS))
+
+
 PER_CONFIGURATION: dict[str, Callable[[Workload], DataFrame]] = {
     "matched_rows_by_shuffle": matched_rows_by_shuffle,
     "perf_daily_per_user": keyed(performance.perf_daily, "user_name", some_null=True),
+    "decision_outcomes": decision_outcomes,
     "cost_daily_per_warehouse": keyed(reports.REPORTS["cost_daily"], "warehouse_name"),
 }
 

@@ -6,6 +6,9 @@ quantile function on seconds, matching uses INTERSECT, periods are read by FILTE
 
 from __future__ import annotations
 
+from checks.scenarios import SCENARIOS
+from cutpoint.operators.counterfactual import Effect
+
 
 def r(x: str, places: int) -> str:
     return f"CAST(round(CAST({x} AS DECIMAL(38,10)), {places}) AS DOUBLE)"
@@ -527,6 +530,28 @@ def decision(b: dict) -> str:
     )
 
 
+def under(b: dict, e: Effect) -> dict:
+    """The binding as an effect changes it from the cutover on."""
+    later = f"start_time >= TIMESTAMP '{b['cutover']} 00:00:00'"
+    there = f"start_time < TIMESTAMP '{b['cutover']} 00:00:00' + INTERVAL ({e.days}) DAY"
+    drawn = "CAST('0x' || substr(md5(query_id), 1, 6) AS INTEGER) % 100"
+    return b | {
+        "runs": f"""SELECT * REPLACE (
+                CASE WHEN {later} AND {drawn} < {e.slow} THEN ms * {e.slow_times} // 100
+                     WHEN {later} THEN ms * {e.times} // 100 ELSE ms END AS ms,
+                CASE WHEN {later} AND status = 'SUCCESS' AND {drawn} >= {100 - e.failing} THEN 'FAIL' ELSE status END AS status,
+                CASE WHEN {later} AND {drawn} < {e.waiting} THEN wait_ms + {e.wait_ms} ELSE wait_ms END AS wait_ms)
+            FROM ({b['runs']}) WHERE {there}""",
+        "meters": f"""SELECT * REPLACE (CAST(credits AS DECIMAL(24,9))
+                * CAST(CASE WHEN {later} THEN {e.credits / 100} ELSE 1 END AS DECIMAL(6,2)) AS credits)
+            FROM ({b['meters']}) WHERE {there}""",
+    }
+
+
+def outcomes(b: dict) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS scenario, * FROM ({decision(under(b, e))})" for name, e in SCENARIOS.items())
+
+
 def staged(b: dict, as_of: str, what: str) -> str:
     """Rows of complete days from the start of the first week, with calendar columns."""
     source = b["runs"] if what == "runs" else b["meters"]
@@ -628,6 +653,7 @@ def all_statements() -> dict[str, str]:
             f"perf_daily_per_user{suffix}": keyed(
                 b, "nullif(wh, 'ANALYTICS_1')", "user_name", PERF_COLUMNS.format(dow=DOW)
             ),
+            f"decision_outcomes{suffix}": outcomes(b),
             f"cost_daily_per_warehouse{suffix}": keyed(b, "wh", "warehouse_name", COST_COLUMNS.format(dow=DOW)),
             f"matched_patterns{suffix}": statement(b, "SELECT hash AS pattern_hash FROM matched"),
             f"data_validation{suffix}": data_validation(b),

@@ -7,6 +7,7 @@ from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from checks.scenarios import SCENARIOS
 from cutpoint.config import Tuning
@@ -224,7 +225,9 @@ def cost_weighted(w: Workload) -> DataFrame:
 
 def without_prose(df: DataFrame) -> DataFrame:
     """Drop explanations: they are our own words and have no counterpart to compare with."""
-    prose = {*PROSE, "pattern_coverage_assessment", "cost_metric_consistency"}
+    if "pattern_coverage_assessment" in df.columns:
+        df = df.withColumn("pattern_coverage_assessment", F.substring_index("pattern_coverage_assessment", ":", 1))
+    prose = {*PROSE, "cost_metric_consistency"} - {"pattern_coverage_assessment"}
     return df.drop(*[c for c in df.columns if c in prose or c.endswith("_explanation")])
 
 

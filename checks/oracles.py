@@ -508,6 +508,9 @@ def decision(b: dict) -> str:
             days1 AS gen1_days, days2 AS gen2_days,
             CASE WHEN days2 < 7 THEN 'CRITICAL: < 7 days' WHEN days2 < 14 THEN 'PRELIMINARY: < 14 days'
                  WHEN days2 < 21 THEN 'ADEQUATE: 14-20 days' ELSE 'STRONG: 21+ days' END AS data_quality,
+            CASE WHEN least(coalesce(cover1, 0), coalesce(cover2, 0)) >= 90 THEN 'HIGH (>90%)'
+                 WHEN least(coalesce(cover1, 0), coalesce(cover2, 0)) >= 70 THEN 'MODERATE (70-90%)'
+                 ELSE 'LOW (<70%)' END AS pattern_coverage_assessment,
             cover1 AS gen1_pattern_coverage_pct, cover2 AS gen2_pattern_coverage_pct,
             ps.speedup_pct, speedup_ci_lower_90 AS speedup_lower_bound, speedup_ci_upper_90 AS speedup_upper_bound,
             ps.significance AS perf_significance, tail_latency_check, queue_saturation_check,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.scenarios import SCENARIOS
-from cutpoint.config import Tuning
+from cutpoint.config import Thresholds, Tuning
 from cutpoint.functions.numeric import ratio, rounded
 from cutpoint.operators.counterfactual import with_effects
 from cutpoint.plans import performance, reliability, reports, staging
@@ -265,10 +265,31 @@ def decision_outcomes(w: Workload) -> DataFrame:
     return reports.REPORTS["migration_decision"](with_effects(w, SCENARIOS))
 
 
+def first_runs(report: Callable[[Workload], DataFrame]) -> Callable[[Workload], DataFrame]:
+    """A report whose sample texts are those of first runs."""
+    return lambda w: report(configured(w, first_run_samples=True))
+
+
+def perf_welch_test_two_days(w: Workload) -> DataFrame:
+    """The weekday test from two days of a weekday on, which the month of events has."""
+    return performance.perf_welch_test(configured(w, thresholds=Thresholds(min_days_per_weekday=2)))
+
+
+def top_regressions_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest regressions over a written table: first runs and their texts by their places in its files."""
+    path, cfg = new_table_path(spark, "query_history"), replace(bindings.ORDERS_CONFIG, first_run_samples=True)
+    staging.refresh_query_history(bindings.orders_query_history(spark, sf_dir), path, cfg)
+    meters = staging.stage_metering_rows(bindings.orders_metering(spark, sf_dir), cfg)
+    return without_prose(reports.top_regressions(Workload(read_staged(spark, path, QUERY_HISTORY), meters, cfg)))
+
+
 PER_CONFIGURATION: dict[str, Callable[[Workload], DataFrame]] = {
     "matched_rows_by_shuffle": matched_rows_by_shuffle,
     "perf_daily_per_user": keyed(performance.perf_daily, "user_name", some_null=True),
     "decision_outcomes": decision_outcomes,
+    "perf_welch_test_two_days": perf_welch_test_two_days,
+    "error_analysis_first_runs": first_runs(reports.REPORTS["error_analysis"]),
+    "pattern_regressions_first_runs": first_runs(reports.REPORTS["pattern_regressions"]),
     "cost_daily_per_warehouse": keyed(reports.REPORTS["cost_daily"], "warehouse_name"),
 }
 
@@ -298,6 +319,7 @@ def all_queries() -> dict[str, Query]:
         "metering_snapshot": metering_snapshot,
         "perf_daily_incremental": incremental(performance.perf_daily),
         "queue_daily_incremental": incremental(performance.queue_daily),
+        "top_regressions_staged": top_regressions_staged,
         "decision_incremental": incremental(reports.REPORTS["migration_decision"]),
     }
     for suffix, workload in (("", events_workload), ("_orders", orders_workload)):

@@ -307,7 +307,7 @@ def perf_tail(b: dict) -> str:
     )
 
 
-def perf_welch_test(b: dict) -> str:
+def perf_welch_test(b: dict, least: int = 4) -> str:
     speed = r("(1 - mg / nullif(mb, 0)) * 100", 2)
     return statement(
         b,
@@ -316,7 +316,7 @@ def perf_welch_test(b: dict) -> str:
             {speed} AS speedup_pct, {r("t", 3)} AS t_statistic, {r("df", 1)} AS degrees_of_freedom,
             {T} AS t_critical_90, {r(f"{speed} - {half()}", 2)} AS speedup_ci_lower_90,
             {r(f"{speed} + {half()}", 2)} AS speedup_ci_upper_90, {label("t", "df")} AS significance
-        FROM dw WHERE nb >= 4 AND ng >= 4""",
+        FROM dw WHERE nb >= {least} AND ng >= {least}""",
         pd=f"SELECT *, {DOW} FROM perf",
         dw=welch("pd", "med", "day_of_week_num, day_of_week"),
     )
@@ -400,7 +400,7 @@ def cost_weighted(b: dict) -> str:
     )
 
 
-def error_analysis(b: dict) -> str:
+def error_analysis(b: dict, sample: str = "min(left(query_text, 200))") -> str:
     return statement(
         b,
         f"""SELECT status AS execution_status, b AS gen1_error_count, g AS gen2_error_count,
@@ -411,7 +411,7 @@ def error_analysis(b: dict) -> str:
             n1 AS gen1_total_queries, n2 AS gen2_total_queries,
             {r("n2 * 1.0 / d2", 1)} AS gen2_queries_per_day, {r("n1 * 1.0 / nullif(d1, 0)", 1)} AS gen1_queries_per_day,
             first_seen, last_seen,
-            (SELECT min(left(query_text, 200)) FROM qh WHERE qh.status = e.status AND qh.d = e.first_seen)
+            (SELECT {sample} FROM qh WHERE qh.status = e.status AND qh.d = e.first_seen)
               AS sample_query,
             CASE WHEN b = 0 THEN 'NEW IN GEN2'
                  WHEN rg > rb * 2.0 THEN 'RATE DOUBLED (per query)'
@@ -431,7 +431,14 @@ def error_analysis(b: dict) -> str:
     )
 
 
-def pattern_regressions(b: dict, where: str = "true", tail: str = "") -> str:
+#: Values of the first run of a group instead of the smallest ones.
+FIRST_TEXT = "first(left(query_text, 200) ORDER BY start_time, query_id)"
+FIRST_WAREHOUSE = "first(wh ORDER BY start_time, query_id)"
+
+
+def pattern_regressions(
+    b: dict, where: str = "true", tail: str = "", samples: tuple[str, str] = ("min(left(query_text, 200))", "min(wh)")
+) -> str:
     def side(p: str) -> str:
         return f"""SELECT hash, count(*) AS n, {r("median(ms / 1000.0)", 4)} AS x50,
             {r("quantile_cont(ms / 1000.0, 0.05)", 4)} AS x05, {r("quantile_cont(ms / 1000.0, 0.95)", 4)} AS x95,
@@ -452,14 +459,14 @@ def pattern_regressions(b: dict, where: str = "true", tail: str = "") -> str:
         good="SELECT * FROM qh WHERE bytes > 0 AND status = 'SUCCESS' AND hash IS NOT NULL",
         old=side("GEN1"),
         new=side("GEN2"),
-        sample="""SELECT hash, min(left(query_text, 200)) AS sample_query, min(wh) AS sample_warehouse
+        sample=f"""SELECT hash, {samples[0]} AS sample_query, {samples[1]} AS sample_warehouse
             FROM good JOIN old USING (hash) WHERE d = d1 GROUP BY hash""",
     )
 
 
-def top(b: dict, status: str) -> str:
+def top(b: dict, status: str, **samples) -> str:
     return pattern_regressions(
-        b, f"status = '{status}'", "ORDER BY impact_score DESC, pattern_hash LIMIT 20"
+        b, f"status = '{status}'", "ORDER BY impact_score DESC, pattern_hash LIMIT 20", **samples
     )
 
 
@@ -639,8 +646,13 @@ def all_statements() -> dict[str, str]:
         "high_water_mark": f"""SELECT coalesce(max(start_time), TIMESTAMP '1970-01-01 00:00:00') AS high_water_mark
             FROM ({EVENTS['runs']}) WHERE start_time < TIMESTAMP '2024-01-20 00:00:00'""",
     }
+    firsts = (FIRST_TEXT, FIRST_WAREHOUSE)
+    found["top_regressions_staged"] = top(ORDERS, "REGRESSION", samples=firsts)
     for suffix, b in (("", EVENTS), ("_orders", ORDERS)):
         found |= {
+            f"perf_welch_test_two_days{suffix}": perf_welch_test(b, 2),
+            f"error_analysis_first_runs{suffix}": error_analysis(b, FIRST_TEXT),
+            f"pattern_regressions_first_runs{suffix}": pattern_regressions(b, samples=firsts),
             f"scope_rows{suffix}": statement(
                 b,
                 """SELECT d AS activity_date, p AS period_type, count(*) AS total_queries,

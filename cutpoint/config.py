@@ -34,6 +34,9 @@ class Tuning:
     # Beyond them it is joined by a shuffle: runs, and bytes of patterns, that a partition should hold.
     shuffle_rows: int = 4_000_000
     shuffle_bytes: int = 128 * 1024 * 1024
+    # Values and files that a scan is told by name; more are found by joins.
+    lookup_values: int = 64
+    lookup_files: int = 1000
 
 
 @dataclass(frozen=True)
@@ -44,6 +47,8 @@ class Config:
     ``warehouse_name`` (``ALL`` or None: every named warehouse). ``keys`` are extra grouping
     columns found in both fact tables, for example ``("warehouse_name",)``: every report is then
     worked out per key in the same job. The empty tuple compares the workload as a whole.
+    ``first_run_samples``: sample texts are those of a group's first run (start time, then query id), whose row is
+    found without reading texts. Otherwise they are the smallest text of the group's first day.
     """
 
     cutover: date
@@ -51,6 +56,7 @@ class Config:
     lookback_days: int = 30
     lookahead_days: int = 29
     keys: tuple[str, ...] = ()
+    first_run_samples: bool = False
     thresholds: Thresholds = field(default_factory=Thresholds)
     tuning: Tuning = field(default_factory=Tuning)
 

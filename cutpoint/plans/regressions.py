@@ -12,12 +12,11 @@ from cutpoint.operators.compare import PERIODS, per_period
 from cutpoint.operators.daily import seconds
 from cutpoint.operators.patterns import mark_matched
 from cutpoint.operators.quantiles import exact_percentiles
+from cutpoint.operators.samples import SAMPLE_TEXT, first_samples, only_values
 from cutpoint.operators.scope import DID_WORK, PATTERN, SUCCEEDED, only_days, period_label
 from cutpoint.plans.workload import Workload
 from cutpoint.session import group_by, join_by, settle
 
-SAMPLE_LENGTH = 200
-
 
 def _compared_runs(w: Workload) -> DataFrame:
     """Successful runs of any pattern that did work."""
@@ -81,25 +80,17 @@ def _with_samples(w: Workload, patterns: DataFrame, *, few: bool) -> DataFrame:
     """Add a text and a warehouse of each pattern, taken from its first day before the change.
 
     Recurring patterns mostly appear in the first days, so the wide text column is read for few
-    days. ``few`` says that ``patterns`` was cut by a limit and may be broadcast; otherwise the
+    days. ``few`` says that ``patterns`` was cut by a limit and may be broadcast: its rows are then also
+    looked for by value, which staged tables answer by their Bloom filters and order. Otherwise the
     texts are combined per pattern and day before they are shuffled.
     """
     cfg = w.cfg
     by = [*cfg.keys, "pattern_hash"]
-    on = [*by, "activity_date"]
     first_days = patterns.selectExpr(*by, "first_day AS activity_date")
-    texts = only_days(_compared_runs(w), first_days).selectExpr(
-        *cfg.keys,
-        f"{PATTERN} AS pattern_hash",
-        "activity_date",
-        f"left(query_text, {SAMPLE_LENGTH}) AS sample",
-        "warehouse_name AS warehouse",
-    )
-    sample = ["min(sample) AS sample_query", "min(warehouse) AS sample_warehouse"]
-    if few:
-        samples = group_by(join_by(texts, first_days, cfg.keys, on, hint="broadcast"), by, sample)
+    if cfg.first_run_samples:
+        samples = first_samples(_compared_runs(w), first_days, cfg, PATTERN, "pattern_hash")
     else:
-        samples = join_by(group_by(texts, on, sample), first_days, cfg.keys, on).drop("activity_date")
+        samples = _least_samples(w, first_days, few=few)
     columns = [c for c in patterns.columns if c not in (*by, "first_day")]
     return join_by(patterns, samples, cfg.keys, by, "left").selectExpr(
         *by,
@@ -110,6 +101,27 @@ def _with_samples(w: Workload, patterns: DataFrame, *, few: bool) -> DataFrame:
     )
 
 
+def _least_samples(w: Workload, first_days: DataFrame, *, few: bool) -> DataFrame:
+    """The smallest text and the smallest warehouse of each pattern's first day."""
+    cfg = w.cfg
+    by = [*cfg.keys, "pattern_hash"]
+    on = [*by, "activity_date"]
+    runs = only_days(_compared_runs(w), first_days)
+    if few:
+        runs = only_values(runs, PATTERN, first_days, "pattern_hash", cfg.tuning.lookup_values)
+    texts = runs.selectExpr(
+        *cfg.keys,
+        f"{PATTERN} AS pattern_hash",
+        "activity_date",
+        f"{SAMPLE_TEXT} AS sample",
+        "warehouse_name AS warehouse",
+    )
+    sample = ["min(sample) AS sample_query", "min(warehouse) AS sample_warehouse"]
+    if few:
+        return group_by(join_by(texts, first_days, cfg.keys, on, hint="broadcast"), by, sample)
+    return join_by(group_by(texts, on, sample), first_days, cfg.keys, on).drop("activity_date")
+
+
 def pattern_regressions(w: Workload) -> DataFrame:
     """Every comparable pattern, largest impact (runs × seconds changed) first.
 

@@ -12,13 +12,11 @@ from cutpoint.functions.ladders import reliability as reliability_status
 from cutpoint.functions.numeric import percent, ratio, rounded, shown
 from cutpoint.functions.welch import INSUFFICIENT_DF, drop_significance
 from cutpoint.operators.compare import add, in_both_periods, moments, per_period, tested, with_welch
+from cutpoint.operators.samples import SAMPLE_TEXT, first_samples
 from cutpoint.operators.scope import FAILED, SUCCEEDED, only_days, period_label
 from cutpoint.plans.workload import Workload
 from cutpoint.session import group_by, join_by, settle
 
-SAMPLE_LENGTH = 200
-
-
 def success_daily(w: Workload) -> DataFrame:
     """Success rate of every run of each day: a cached success is a success.
 
@@ -136,10 +134,12 @@ def error_analysis(w: Workload) -> DataFrame:
     ).where("g_errors IS NOT NULL")
     on = [*keys, "execution_status", "activity_date"]
     first_days = errors.selectExpr(*keys, "execution_status", "first_seen AS activity_date")
-    texts = only_days(w.rows.where(FAILED), first_days).selectExpr(
-        *on, f"left(query_text, {SAMPLE_LENGTH}) AS sample"
-    )
-    samples = join_by(group_by(texts, on, ["min(sample) AS sample_query"]), first_days, keys, on).drop("activity_date")
+    if cfg.first_run_samples:
+        samples = first_samples(w.rows.where(FAILED), first_days, cfg, "execution_status", "execution_status")
+        samples = samples.drop("sample_warehouse")
+    else:
+        texts = only_days(w.rows.where(FAILED), first_days).selectExpr(*on, f"{SAMPLE_TEXT} AS sample")
+        samples = join_by(group_by(texts, on, ["min(sample) AS sample_query"]), first_days, keys, on).drop("activity_date")
     joined = join_by(errors, totals, keys, keys) if keys else errors.crossJoin(totals)
     joined = join_by(joined, samples, keys, [*keys, "execution_status"], "left")
     rates = {

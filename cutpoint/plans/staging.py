@@ -72,13 +72,16 @@ def _write(rows: DataFrame, path: str, sort_by: list[str], mode: str, overwrite:
     """Write by day, sorted for row-group skipping.
 
     Rebalancing brings a day's rows together and lets adaptive execution split a large day over
-    many tasks and files, so no day has to fit one task.
+    many tasks and files, so no day has to fit one task. The columns of ``sort_by`` get Bloom filters, no larger than
+    their row group needs: order alone tells little where a day has many files.
     """
+    blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in sort_by} | {"parquet.bloom.filter.adaptive.enabled": "true"}
     (
         rows.hint("rebalance", "activity_date")
         .sortWithinPartitions("activity_date", *sort_by)
         .write.mode(mode)
         .option("partitionOverwriteMode", overwrite)
+        .options(**blooms)
         .partitionBy("activity_date")
         .parquet(path)
     )

@@ -227,7 +227,9 @@ def without_prose(df: DataFrame) -> DataFrame:
     """Drop explanations: they are our own words and have no counterpart to compare with."""
     if "pattern_coverage_assessment" in df.columns:
         df = df.withColumn("pattern_coverage_assessment", F.substring_index("pattern_coverage_assessment", ":", 1))
-    prose = {*PROSE, "cost_metric_consistency"} - {"pattern_coverage_assessment"}
+    if "cost_metric_consistency" in df.columns:
+        df = df.withColumn("cost_metric_consistency", F.substring_index("cost_metric_consistency", " — ", 1))
+    prose = {*PROSE} - {"pattern_coverage_assessment", "cost_metric_consistency"}
     return df.drop(*[c for c in df.columns if c in prose or c.endswith("_explanation")])
 
 

@@ -232,7 +232,10 @@ COST_STEPS = {
                  WHEN a_chg <= 15 THEN 'COST HIGHER (per-query cost 5-15% above Gen1)'
                  ELSE 'COST SIGNIFICANTLY HIGHER (per-query cost >15% above Gen1)' END AS breakeven_status,
             {r("abs(a_chg - wa)", 1)} AS all_cpq_avg_vs_weighted_divergence_pp,
-            {r("abs(m_chg - wm)", 1)} AS pattern_cpq_avg_vs_weighted_divergence_pp
+            {r("abs(m_chg - wm)", 1)} AS pattern_cpq_avg_vs_weighted_divergence_pp,
+            CASE WHEN abs(a_chg - wa) > 10 OR abs(m_chg - wm) > 10 THEN 'WARNING: >10pp divergence'
+                 WHEN abs(a_chg - wa) > 5 OR abs(m_chg - wm) > 5 THEN 'NOTICE: 5-10pp divergence'
+                 ELSE 'OK: avg and weighted metrics agree (<5pp)' END AS cost_metric_consistency
         FROM cx""",
 }
 

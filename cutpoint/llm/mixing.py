@@ -105,17 +105,31 @@ def flight(size: list[int], chance: list[float], draw: random.Random, last: bool
 
 
 def correct(size: list[int], chance: list[float], state: list[float], turns: int = 4) -> None:
-    """A very long text can't be balanced by the few left at landing: turn the texts that cancel most of the rest."""
+    """A very long text can't be balanced by the few left at landing: turn the texts that cancel most of the rest.
+
+    Each turn takes one open text or two, whichever leaves the fewest words over: two also swap a text that is taken
+    for one that isn't. Nothing turns where that gains less than half a word.
+    """
     sizes, taken = np.array(size, float), np.array(state)
     over = float(sizes @ (taken - np.array(chance)))
-    free = np.array([NEAR < p < 1 - NEAR for p in chance])
-    for _ in range(turns):
-        after = np.where(free, np.abs(over + (1 - 2 * taken) * sizes), np.inf)
-        if not len(after) or after.min() >= abs(over) - 0.5:
+    free = np.flatnonzero([NEAR < p < 1 - NEAR for p in chance])
+    for _ in range(turns if len(free) else 0):
+        change = (1 - 2 * taken[free]) * sizes[free]
+        alone = np.abs(over + change)
+        left, turned = alone.min(), [int(alone.argmin())]
+        # The partner of each text: of those around what it leaves to cancel, one may be the text itself.
+        order = np.argsort(change, kind="stable")
+        near = np.searchsorted(change[order], -(over + change))
+        for beside in (-2, -1, 0, 1):
+            partner = order[np.clip(near + beside, 0, len(order) - 1)]
+            both = np.where(partner == np.arange(len(order)), np.inf, np.abs(over + change + change[partner]))
+            if both.min() < left:
+                first = int(both.argmin())
+                left, turned = both[first], [first, int(partner[first])]
+        if left >= abs(over) - 0.5:
             break
-        i = int(after.argmin())
-        over += (1 - 2 * taken[i]) * sizes[i]
-        taken[i] = 1 - taken[i]
+        over += float(change[turned].sum())
+        taken[free[turned]] = 1 - taken[free[turned]]
     state[:] = taken.tolist()
 
 

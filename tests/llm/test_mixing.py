@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 
 from cutpoint.llm import mixing
+from cutpoint.llm.mixing import correct
 
 
 def brute_targets(sizes: dict) -> dict:
@@ -106,3 +107,38 @@ def test_a_key_may_hold_most_of_a_source(llm_spark):
     for r in rows:
         of_rows[r[0], r[2], len(r[1].split())].append(copies[r])
     assert {k: sorted(v) for k, v in of_kind.items()} == {k: sorted(v) for k, v in of_rows.items()}
+
+
+def test_correct_turns_pairs_where_no_single_text_helps():
+    size, chance = [1403, 1121, 2000], [0.5, 0.5, 0.5]
+    state = [0.0, 1.0, 1.0]
+    over = sum(s * (t - p) for s, t, p in zip(size, state, chance))
+    assert over == 859
+    correct(size, chance, state)
+    left = abs(sum(s * (t - p) for s, t, p in zip(size, state, chance)))
+    assert left == min(
+        abs(sum(s * (t - p) for s, t, p in zip(size, (a, b, c), chance))) for a in (0, 1) for b in (0, 1) for c in (0, 1)
+    )
+    swapped = [0.0, 1.0]
+    correct([1403, 1121], [0.9, 0.1], swapped)
+    assert swapped == [1.0, 0.0]
+
+
+def test_correct_is_no_worse_than_any_turn_of_one_or_two():
+    draw = random.Random(5)
+    for _ in range(200):
+        size = [draw.randrange(0, 60) for _ in range(draw.randrange(0, 9))]
+        chance = [draw.choice([0.0, 0.25, 0.5, 0.75, 1.0]) for _ in size]
+        state = [p if p in (0, 1) else float(draw.random() < p) for p in chance]
+
+        def over(turned=()):
+            return abs(sum(s * ((1 - t if i in turned else t) - p) for i, (s, t, p) in enumerate(zip(size, state, chance))))
+
+        free = [i for i, p in enumerate(chance) if 0 < p < 1]
+        best = min([over(), *[over((i, j)) for i in free for j in free]])
+        settled = list(state)
+        correct(size, chance, settled)
+        assert all(settled[i] == p for i, p in enumerate(chance) if p in (0, 1))
+        assert set(settled) <= {0.0, 1.0}
+        state = settled
+        assert over() < best + 0.5
